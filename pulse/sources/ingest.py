@@ -1,12 +1,230 @@
-"""Validate, normalise, de-duplicate and register incoming events."""
+"""Tagged log lines -> validated, normalised, de-duplicated events; plus export and upkeep."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from pulse.functions import payload
+from pulse.functions.verdicts import live_types
+from pulse.operators.blocked import with_block
+
+# Fixed values of the wire format.
+EVENT_TAG = "OMWA1 "
+MAX_DATA_KEYS = 32
+MAX_DATA_BYTES = 2048
+KNOWN_ENVS = ("dev", "prod")
+DEFAULT_ENV = "prod"
+UNKNOWN_MOD = "unknown"
+MOD_ID_PATTERN = r"^[a-z0-9][a-z0-9._-]{0,63}$"
+UUID_PATTERN = (r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[1-8][0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-"
+                r"[0-9a-fA-F]{12}$")
+
+KEY = ["session_id", "seq"]
+
+
+# ---- scan ----------------------------------------------------------------------------------------
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """Closed log files, one row per line. Streams use `streaming.ingest.read_log_stream`."""
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+def tagged(lines: DataFrame, tag: str = EVENT_TAG) -> DataFrame:
+    """Keep lines carrying the tag anywhere; `body` is what follows, `doc` its JSON (or null)."""
+    at = F.instr("line", tag)
+    body = F.col("line").substr(at + len(tag), F.length("line"))
+    return (lines.filter(at > 0).withColumn("body", F.rtrim(body))
+            .withColumn("doc", F.try_parse_json("body")))
+
+
+# ---- validate ------------------------------------------------------------------------------------
+
+def _kind(key: str) -> Column:
+    return F.schema_of_variant(F.try_variant_get("doc", f"$.{key}", "variant"))
+
+
+def _string(key: str) -> Column:
+    """The field only if it is a JSON string; a number in its place is a violation, not a cast."""
+    return F.when(_kind(key) == "STRING", F.try_variant_get("doc", f"$.{key}", "string"))
+
+
+def _whole(key: str) -> Column:
+    number = F.try_variant_get("doc", f"$.{key}", "double")
+    return F.when(_kind(key).rlike("^(BIGINT|DECIMAL|DOUBLE)") & (number == F.floor(number)),
+                  number.cast("long"))
+
+
+def validate(rows: DataFrame) -> DataFrame:
+    """Envelope columns plus `violations`, the names of every rule the row breaks.
+
+    Rows are judged one by one: a bad event is quarantined without rejecting its batch.
+    """
+    typed = rows.select(
+        "*", _whole("v").alias("v"), _string("type").alias("type"), _whole("seq").alias("seq"),
+        F.lower(_string("install_id")).alias("install_id"),
+        F.lower(_string("session_id")).alias("session_id"), _whole("ts").alias("ts_ms"),
+        _string("mod_id").alias("mod_id_raw"), _kind("mod_id").alias("_mod"),
+        _kind("data").alias("_data"),
+        F.coalesce(F.to_json(F.try_variant_get("doc", "$.data", "variant")), F.lit("{}"))
+        .alias("data"))
+    broken = {
+        "payload": F.col("doc").isNull(),
+        "v": ~F.coalesce(F.col("v") > 0, F.lit(False)),
+        "type": F.coalesce(F.col("type"), F.lit("")) == "",
+        "seq": ~F.coalesce(F.col("seq") >= 0, F.lit(False)),
+        "install_id": ~F.coalesce(F.col("install_id").rlike(UUID_PATTERN), F.lit(False)),
+        "session_id": ~F.coalesce(F.col("session_id").rlike(UUID_PATTERN), F.lit(False)),
+        "ts": ~F.coalesce(F.col("ts_ms") > 0, F.lit(False)),
+        "mod_id": F.col("_mod").isNotNull() & (F.col("_mod") != "STRING"),
+        "data": F.col("_data").isNotNull() & ~F.col("_data").startswith("OBJECT"),
+        "data_keys": F.coalesce(F.size(F.json_object_keys("data")), F.lit(0)) > MAX_DATA_KEYS,
+        "data_bytes": F.octet_length("data") > MAX_DATA_BYTES,
+    }
+    # an unreadable payload breaks every rule; it is reported as that one cause
+    names = F.array_compact(F.array(*[F.when(test, name) for name, test in broken.items()]))
+    return typed.withColumn("violations", F.when(F.col("doc").isNull(), F.array(F.lit("payload")))
+                            .otherwise(names)).drop("_mod", "_data", "doc")
+
+
+def accepted(validated: DataFrame) -> DataFrame:
+    return validated.filter(F.size("violations") == 0)
+
+
+def quarantined(validated: DataFrame) -> DataFrame:
+    return validated.filter(F.size("violations") > 0)
+
+
+def violation_counts(validated: DataFrame) -> DataFrame:
+    return (validated.select(F.explode_outer("violations").alias("violation"))
+            .groupBy(F.coalesce("violation", F.lit("none")).alias("violation"))
+            .agg(F.count("*").alias("rows")))
+
+
+# ---- normalise -----------------------------------------------------------------------------------
+
+def stamp_env(header: Column) -> Column:
+    cleaned = F.lower(F.trim(header))
+    return F.when(cleaned.isin(*KNOWN_ENVS), cleaned).otherwise(DEFAULT_ENV)
+
+
+def normalise_mod_id(raw: Column) -> Column:
+    """A malformed id is relabelled, never a reason to lose the event."""
+    cleaned = F.lower(F.trim(raw))
+    return F.when(cleaned.rlike(MOD_ID_PATTERN), cleaned).otherwise(UNKNOWN_MOD)
+
+
+def promote(events: DataFrame) -> DataFrame:
+    """Hot payload keys as columns, computed here and nowhere else."""
+    return events.withColumns({k: payload.typed(k, kind) for k, kind in payload.PROMOTED.items()})
+
+
+def to_events(valid: DataFrame, env_header: Column, received_at: Column) -> DataFrame:
+    """Accepted envelope rows -> silver columns."""
+    rows = valid.select(
+        "install_id", "session_id", "seq", "type", F.col("v").cast("int").alias("v"),
+        F.timestamp_millis("ts_ms").alias("ts"), received_at.alias("received_at"),
+        stamp_env(env_header).alias("env"), normalise_mod_id(F.col("mod_id_raw")).alias("mod_id"),
+        "data")
+    return with_block(promote(rows))
+
+
+# ---- idempotent append ---------------------------------------------------------------------------
+
+def first_delivery(events: DataFrame) -> DataFrame:
+    """One row per (session_id, seq): the earliest delivery.
+
+    An aggregate, not a window: copies collapse on the map side, so a delivery repeated any
+    number of times never meets in one task.
+    """
+    rest = [c for c in events.columns if c not in KEY]
+    row = F.struct(*rest)
+    # the whole row as last tie-break keeps the choice stable when a stage is run again
+    return (events.groupBy(*KEY)
+            .agg(F.min_by(row, F.struct("received_at", F.xxhash64(*rest))).alias("_row"))
+            .select(*KEY, "_row.*").select(*events.columns))
+
+
+def new_rows(batch: DataFrame, stored: DataFrame) -> DataFrame:
+    """First deliveries whose key is not stored yet; reads only the key columns of the store."""
+    return first_delivery(batch).join(stored.select(*KEY), KEY, "left_anti")
+
+
+def ingest_report(batch: DataFrame, stored: DataFrame) -> DataFrame:
+    received = batch.agg(F.count("*").alias("received"))
+    inserted = new_rows(batch.select(*KEY, "received_at"), stored).agg(
+        F.count("*").alias("inserted"))
+    return received.crossJoin(F.broadcast(inserted)).withColumn(
+        "duplicates", F.col("received") - F.col("inserted"))
+
+
+def append_events(batch: DataFrame, path: str, stored: DataFrame | None) -> dict[str, int]:
+    """Append new rows, partitioned by day of event time. Counters come with the write itself."""
+    received, inserted = Observation("received"), Observation("inserted")
+    batch = batch.observe(received, F.count(F.lit(1)).alias("n"))
+    rows = first_delivery(batch) if stored is None else new_rows(batch, stored)
+    (rows.withColumn("event_date", F.to_date("ts"))
+     .observe(inserted, F.count(F.lit(1)).alias("n"))
+     .write.mode("append").partitionBy("event_date").parquet(path))
+    n, kept = received.get["n"], inserted.get["n"]
+    return {"received": n, "inserted": kept, "duplicates": n - kept}
+
+
+# ---- registry, heartbeats ------------------------------------------------------------------------
 
 def mod_registry(events: DataFrame) -> DataFrame:
     """Mods observed so far: a cache of what arrived, not an allow-list."""
     return events.groupBy("mod_id").agg(F.min("received_at").alias("first_seen_at"),
                                         F.max("received_at").alias("last_seen_at"))
+
+
+def latest_heartbeats(pings: DataFrame) -> DataFrame:
+    """Newest state per install; a ping without a seq or version keeps the last known one."""
+    def known(name: str) -> Column:
+        return F.max_by(name, F.when(F.col(name).isNotNull(), F.col("seen_at"))).alias(name)
+
+    # any 36 hex-or-dash characters: the heartbeat check is looser than the envelope's
+    valid = pings.filter(F.trim("install_id").rlike("(?i)^[0-9a-f-]{36}$")).select(
+        F.trim("install_id").alias("install_id"), "seen_at", "last_shipped_seq",
+        F.substring("shipper_version", 1, 64).alias("shipper_version"))
+    return valid.groupBy("install_id").agg(F.max("seen_at").alias("last_seen_at"),
+                                           known("last_shipped_seq"), known("shipper_version"))
+
+
+# ---- export and re-attribution -------------------------------------------------------------------
+
+def export_rows(events: DataFrame) -> DataFrame:
+    """Everything but retired types, in event-time order, timestamps as epoch milliseconds."""
+    return (events.filter(live_types())
+            .orderBy("ts", "session_id", "seq")
+            .withColumns({"ts": F.unix_millis("ts"), "received_at": F.unix_millis("received_at")}))
+
+
+def export_summary(events: DataFrame) -> DataFrame:
+    return events.filter(live_types()).groupBy("type").agg(
+        F.count("*").alias("events"), F.count_distinct("session_id").alias("sessions"))
+
+
+def attribute(events: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
+    """Fill in the mod of events that have none, by type. The mapping is a small constant."""
+    target = F.try_element_at(F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv]),
+                              F.col("type"))
+    return events.withColumn("mod_id", F.when(F.col("mod_id") == UNKNOWN_MOD,
+                                              F.coalesce(target, F.col("mod_id")))
+                             .otherwise(F.col("mod_id")))
+
+
+def attribution_preview(events: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
+    """Dry run: counts by (mod, type) before and after."""
+    after = attribute(events.withColumn("_was", F.col("mod_id")), mapping)
+    return after.groupBy(F.col("_was").alias("mod_before"), F.col("mod_id").alias("mod_after"),
+                         "type").agg(F.count("*").alias("events"))
+
+
+def write_snapshot(result: DataFrame, path: str, captured_at: Column) -> None:
+    """Replace a stored result; an empty one is refused so it cannot wipe a good snapshot."""
+    if result.isEmpty():
+        raise ValueError("refusing to replace a snapshot with an empty result")
+    result.withColumn("captured_at", captured_at).write.mode("overwrite").json(path)

@@ -24,6 +24,14 @@ def _id(prefix: str, n: Column) -> Column:
     return F.concat(F.lit(prefix), n.cast("string"))
 
 
+def _uuid(name: Column) -> Column:
+    """A stable version-4-shaped uuid for a name."""
+    h = F.md5(name.cast("binary"))
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4),
+                       F.concat(F.lit("4"), F.substring(h, 14, 3)),
+                       F.concat(F.lit("8"), F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
 @dataclass(frozen=True)
 class Tables:
     spark: SparkSession
@@ -137,6 +145,42 @@ class Tables:
                 "stat": F.when(shown, _id("st", k % 5)),
             })
 
+    def puzzles(self) -> DataFrame:
+        """Clicks read as puzzle attempts."""
+        return (self._envelope({"click": "PuzzleAttempted"}, 1_000_000)
+                .filter(F.col("type") == "PuzzleAttempted")
+                .withColumns({"puzzle_id": _id("pz", F.col("k") % 5),
+                              "passed": F.col("value") < 25}))
+
+    # ---- raw deliveries -----------------------------------------------------------------------
+
+    def envelopes(self) -> DataFrame:
+        """Telemetry as wire JSON: uuid identities, epoch milliseconds, payload object."""
+        events = self.with_payload(self.telemetry())
+        wire = F.to_json(F.struct(
+            F.lit(1).alias("v"), "type", "seq", _uuid(F.col("install_id")).alias("install_id"),
+            _uuid(F.col("session_id")).alias("session_id"), F.unix_millis("ts").alias("ts"),
+            F.concat(F.lit(" "), F.upper("mod_id")).alias("mod_id"),
+            F.parse_json("data").alias("data")))
+        return events.select("event_id", "k", "env", "received_at", "type", "ts",
+                             wire.alias("json"))
+
+    def log_lines(self) -> DataFrame:
+        """A noisy at-least-once log: every event arrives twice, a minute apart, between an
+        untagged line and a truncated one."""
+        tag = F.concat(F.lit("[12:00:00.000 I] Global[scripts/x.lua]: OMWA1 "), F.col("json"))
+        later = F.timestamp_micros(F.unix_micros("received_at") + 60_000_000)
+        line = F.struct
+        copies = F.array(
+            line(tag.alias("line"), F.col("received_at").alias("at")),
+            line(tag.alias("line"), later.alias("at")),
+            line(F.lit("[12:00:00.100 I] Loading cell").alias("line"),
+                 F.col("received_at").alias("at")),
+            line(F.substring(tag, 1, 60).alias("line"), F.col("received_at").alias("at")))
+        return (self.envelopes().select("env", F.explode(copies).alias("c"))
+                .select("c.line", F.col("c.at").alias("received_at"),
+                        F.concat(F.lit(" "), F.upper("env")).alias("env_header")))
+
     # ---- game content -----------------------------------------------------------------------
 
     def records(self) -> DataFrame:
