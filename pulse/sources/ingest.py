@@ -33,60 +33,56 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tagged(lines: DataFrame, tag: str = EVENT_TAG) -> DataFrame:
-    """Keep lines carrying the tag anywhere; `body` is what follows, `doc` its JSON (or null)."""
+    """Keep lines carrying the tag anywhere; `body` is the text after it."""
     at = F.instr("line", tag)
     body = F.col("line").substr(at + len(tag), F.length("line"))
-    return (lines.filter(at > 0).withColumn("body", F.rtrim(body))
-            .withColumn("doc", F.try_parse_json("body")))
+    return lines.filter(at > 0).withColumn("body", F.rtrim(body))
 
 
 # ---- validate ------------------------------------------------------------------------------------
 
-def _kind(key: str) -> Column:
-    return F.schema_of_variant(F.try_variant_get("doc", f"$.{key}", "variant"))
+# `type` and `mod_id` stay variants so that a number in place of a string is seen as a violation;
+# a whole number of the wrong JSON type reads as null. `data` keeps its text.
+_WIRE = ("v BIGINT, type VARIANT, seq BIGINT, install_id STRING, session_id STRING, ts BIGINT, "
+         "mod_id VARIANT, data STRING")
 
 
-def _string(key: str) -> Column:
-    """The field only if it is a JSON string; a number in its place is a violation, not a cast."""
-    return F.when(_kind(key) == "STRING", F.try_variant_get("doc", f"$.{key}", "string"))
-
-
-def _whole(key: str) -> Column:
-    number = F.try_variant_get("doc", f"$.{key}", "double")
-    return F.when(_kind(key).rlike("^(BIGINT|DECIMAL|DOUBLE)") & (number == F.floor(number)),
-                  number.cast("long"))
+def _string(col: Column) -> Column:
+    return F.when(F.schema_of_variant(col) == "STRING", F.try_variant_get(col, "$", "string"))
 
 
 def validate(rows: DataFrame) -> DataFrame:
     """Envelope columns plus `violations`, the names of every rule the row breaks.
 
-    Rows are judged one by one: a bad event is quarantined without rejecting its batch.
+    The body is parsed once. Rows are judged one by one: a bad event is quarantined without
+    rejecting its batch.
     """
-    typed = rows.select(
-        "*", _whole("v").alias("v"), _string("type").alias("type"), _whole("seq").alias("seq"),
-        F.lower(_string("install_id")).alias("install_id"),
-        F.lower(_string("session_id")).alias("session_id"), _whole("ts").alias("ts_ms"),
-        _string("mod_id").alias("mod_id_raw"), _kind("mod_id").alias("_mod"),
-        _kind("data").alias("_data"),
-        F.coalesce(F.to_json(F.try_variant_get("doc", "$.data", "variant")), F.lit("{}"))
-        .alias("data"))
-    broken = {
-        "payload": F.col("doc").isNull(),
-        "v": ~F.coalesce(F.col("v") > 0, F.lit(False)),
-        "type": F.coalesce(F.col("type"), F.lit("")) == "",
-        "seq": ~F.coalesce(F.col("seq") >= 0, F.lit(False)),
-        "install_id": ~F.coalesce(F.col("install_id").rlike(UUID_PATTERN), F.lit(False)),
-        "session_id": ~F.coalesce(F.col("session_id").rlike(UUID_PATTERN), F.lit(False)),
-        "ts": ~F.coalesce(F.col("ts_ms") > 0, F.lit(False)),
-        "mod_id": F.col("_mod").isNotNull() & (F.col("_mod") != "STRING"),
-        "data": F.col("_data").isNotNull() & ~F.col("_data").startswith("OBJECT"),
-        "data_keys": F.coalesce(F.size(F.json_object_keys("data")), F.lit(0)) > MAX_DATA_KEYS,
-        "data_bytes": F.octet_length("data") > MAX_DATA_BYTES,
+    typed = (rows.withColumn("_e", F.from_json("body", _WIRE))
+             .withColumn("_readable", F.json_object_keys("body").isNotNull())
+             .select(*rows.columns, "_readable", F.col("_e.v").alias("v"),
+                     _string(F.col("_e.type")).alias("type"), F.col("_e.seq").alias("seq"),
+                     F.lower("_e.install_id").alias("install_id"),
+                     F.lower("_e.session_id").alias("session_id"), F.col("_e.ts").alias("ts_ms"),
+                     _string(F.col("_e.mod_id")).alias("mod_id_raw"),
+                     F.col("_e.mod_id").isNotNull().alias("_mod"),
+                     F.coalesce("_e.data", F.lit("{}")).alias("data")))
+    ok = {
+        "v": F.col("v") > 0,
+        "type": F.col("type") != "",
+        "seq": F.col("seq") >= 0,
+        "install_id": F.col("install_id").rlike(UUID_PATTERN),
+        "session_id": F.col("session_id").rlike(UUID_PATTERN),
+        "ts": F.col("ts_ms") > 0,
+        "mod_id": ~F.col("_mod") | F.col("mod_id_raw").isNotNull(),
+        "data": F.col("data").startswith("{"),
+        "data_keys": F.coalesce(F.size(F.json_object_keys("data")), F.lit(0)) <= MAX_DATA_KEYS,
+        "data_bytes": F.octet_length("data") <= MAX_DATA_BYTES,
     }
+    broken = F.array_compact(F.array(
+        *[F.when(~F.coalesce(test, F.lit(False)), name) for name, test in ok.items()]))
     # an unreadable payload breaks every rule; it is reported as that one cause
-    names = F.array_compact(F.array(*[F.when(test, name) for name, test in broken.items()]))
-    return typed.withColumn("violations", F.when(F.col("doc").isNull(), F.array(F.lit("payload")))
-                            .otherwise(names)).drop("_mod", "_data", "doc")
+    return typed.withColumn("violations", F.when(~F.col("_readable"), F.array(F.lit("payload")))
+                            .otherwise(broken)).drop("_mod", "_readable")
 
 
 def accepted(validated: DataFrame) -> DataFrame:

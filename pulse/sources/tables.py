@@ -168,18 +168,19 @@ class Tables:
     def log_lines(self) -> DataFrame:
         """A noisy at-least-once log: every event arrives twice, a minute apart, between an
         untagged line and a truncated one."""
+        # the JSON is built below the explode, once per event
+        copies = self.envelopes().select(
+            "env", "received_at", "json",
+            F.explode(F.array(*[F.lit(n) for n in range(4)])).alias("copy"))
+        copy = F.col("copy")
         tag = F.concat(F.lit("[12:00:00.000 I] Global[scripts/x.lua]: OMWA1 "), F.col("json"))
-        later = F.timestamp_micros(F.unix_micros("received_at") + 60_000_000)
-        line = F.struct
-        copies = F.array(
-            line(tag.alias("line"), F.col("received_at").alias("at")),
-            line(tag.alias("line"), later.alias("at")),
-            line(F.lit("[12:00:00.100 I] Loading cell").alias("line"),
-                 F.col("received_at").alias("at")),
-            line(F.substring(tag, 1, 60).alias("line"), F.col("received_at").alias("at")))
-        return (self.envelopes().select("env", F.explode(copies).alias("c"))
-                .select("c.line", F.col("c.at").alias("received_at"),
-                        F.concat(F.lit(" "), F.upper("env")).alias("env_header")))
+        line = (F.when(copy == 2, "[12:00:00.100 I] Loading cell")
+                .otherwise(F.substring(tag, F.lit(1), F.when(copy == 3, 60)
+                                       .otherwise(F.length(tag)))))
+        delay = F.when(copy == 1, 60_000_000).otherwise(0)
+        return copies.select(line.alias("line"), F.timestamp_micros(
+            F.unix_micros("received_at") + delay).alias("received_at"),
+            F.concat(F.lit(" "), F.upper("env")).alias("env_header"))
 
     # ---- game content -----------------------------------------------------------------------
 
