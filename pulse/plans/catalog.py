@@ -37,4 +37,4 @@ def oracles() -> dict[str, str]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from pulse.plans import queries_events, queries_stats  # noqa: F401
+    from pulse.plans import queries_corpus, queries_events, queries_stats  # noqa: F401

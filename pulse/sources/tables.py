@@ -223,6 +223,60 @@ class Tables:
             F.lower(_id("Part_", F.col("l_partkey"))).alias("item_record_id"),
             F.col("l_quantity").cast("long").alias("count"))
 
+    def dump_rows(self) -> DataFrame:
+        """Parts, nations and regions printed as a record dump, cut at record headers."""
+        def line(*parts: Column | str) -> Column:
+            return F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string")
+                              for x in parts], F.lit("\n"))
+
+        def effect(e: Column) -> Column:
+            kind, n = F.initcap(e["affected_kind"]), F.substring(e["affected"], 3, 9)
+            head = F.concat(e["effect_name"], F.lit(" ("), e["effect_id"].cast("string"),
+                            F.lit(")"))
+            indexed = F.concat(
+                line("  Effect[", e["ordinal"], "]: ", head), line("    ", kind, ": ",
+                     F.upper(e["affected"]), " (", n, ")"), line("    Range: Self (0)"),
+                line("    Duration: ", e["duration"]),
+                line("    Magnitude: ", e["magnitude_min"], "-", e["magnitude_max"]))
+            flat = F.concat(
+                line("  Effect: ", head),
+                line("  Skill: ", F.when(kind == "Skill", F.concat(e["affected"], F.lit(" ("), n,
+                     F.lit(")"))).otherwise("Invalid (-1)")),
+                line("  Attribute: ", F.when(kind == "Attribute", F.concat(
+                    e["affected"], F.lit(" ("), n, F.lit(")"))).otherwise("Invalid (-1)")))
+            return F.when(e["magnitude_min"].isNull(), flat).otherwise(indexed)
+
+        per_record = self.effects().groupBy("record_id").agg(F.sort_array(F.collect_list(F.struct(
+            "ordinal", "effect_id", "effect_name", "affected", "affected_kind", "magnitude_min",
+            "magnitude_max", "duration"))).alias("effects"))
+        parts = self.records().join(per_record, "record_id", "left")
+        printed = F.array_join(F.transform(F.coalesce("effects", F.array()), effect), "")
+        head = line(F.col("type"), ' "', F.col("record_id"), '"')
+        name = line("  Name: ", F.col("name"))
+        body = (F.when(F.col("type") == "INFO", F.concat(
+                    line('DIAL "topic ', F.col("record_id"), '"'), F.lit("  Deleted: 0\nRecord: "),
+                    head, line("  Text: ", F.col("full_text"))))
+                .when(F.col("type") == "BOOK", F.concat(
+                    head, name, line("  Text:"), line("START------"),
+                    line("<DIV>", F.col("full_text"), "<BR>"), line('Record: NPC_ "quoted"'),
+                    line("  Name: not a field"), line("END------")))
+                .when(F.col("type") == "ENCH", F.concat(head, printed))
+                .otherwise(F.concat(head, name, printed)))
+        at = F.substring("record_id", 6, 20).cast("long")
+        places = self.raw("nation").select(
+            F.lit("places").alias("file"), F.col("n_nationkey").cast("long").alias("at"),
+            F.concat(line("CELL"), line("  Name: ", F.col("n_name")), line("Record: LAND"),
+                     line("  Coordinates: (1,2)")).alias("text"))
+        skills = self.raw("region").select(
+            F.lit("skills").alias("file"), F.col("r_regionkey").cast("long").alias("at"),
+            F.concat(line("SKIL"), line("  ID: ", F.col("r_name"), " (", F.col("r_regionkey"), ")"),
+                     line("  Description: About ", F.col("r_name"))).alias("text"))
+        texts = parts.select(F.col("source").alias("file"), at.alias("at"), body.alias("text"))
+        return (texts.unionByName(places).unionByName(skills)
+                .select("file", "at", F.posexplode(F.split("text", "\nRecord: ")).alias("i", "body"))
+                .select("file", F.floor(F.col("at") / 300).alias("block"),
+                        (F.col("at") * 4 + F.col("i")).alias("pos"), "body"))
+
     def passages(self) -> DataFrame:
         """Search corpus: documents as records, their lines as chunks.
 
