@@ -65,24 +65,30 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
             .withColumn(out, F.col(out) + F.coalesce(F.col("_offset"), F.lit(0))).drop("_offset"))
 
 
-def carry_last(df: DataFrame, keys: Sequence[str], order: str, value: Column,
-               out: str, inclusive: bool = False) -> DataFrame:
-    """Last non-null `value` at earlier rows of the key (`inclusive`: at this row or earlier)."""
+def carry_last(df: DataFrame, keys: Sequence[str], order: str, values: dict[str, Column],
+               inclusive: bool = False) -> DataFrame:
+    """Add each column of `values`: its last non-null value at earlier rows of the key.
+
+    `inclusive` counts the row itself as earlier. All values share one pass.
+    """
     keys = list(keys)
-    df = df.withColumn("_v", value)
+    df = df.withColumns({f"_{name}": value for name, value in values.items()})
     window = (Window.partitionBy(*keys, BLOCK).orderBy(F.asc(order))
               .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
-    inside = df.withColumn(out, F.last("_v", ignorenulls=True).over(window))
+    inside = df.withColumns({name: F.last(f"_{name}", ignorenulls=True).over(window)
+                             for name in values})
     spilled = df.filter(F.col(BLOCK) > 0).select(*keys).distinct()
-    # a bounded summary per block: its last non-null value
+    # a bounded summary per block: its last non-null values
     tails = (df.join(spilled, keys, "left_semi").groupBy(*keys, BLOCK)
-             .agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(order))).alias("_tail")))
+             .agg(*[F.max_by(f"_{name}", F.when(F.col(f"_{name}").isNotNull(), F.col(order)))
+                    .alias(name) for name in values]))
     before = (Window.partitionBy(*keys).orderBy(BLOCK)
               .rowsBetween(Window.unboundedPreceding, -1))
-    carried = tails.select(*keys, BLOCK, F.last("_tail", ignorenulls=True).over(before)
-                           .alias("_carry"))
-    return (inside.join(carried, [*keys, BLOCK], "left")
-            .withColumn(out, F.coalesce(F.col(out), F.col("_carry"))).drop("_carry", "_v"))
+    carried = tails.select(*keys, BLOCK, *[F.last(name, ignorenulls=True).over(before)
+                                           .alias(f"_carry_{name}") for name in values])
+    joined = inside.join(carried, [*keys, BLOCK], "left")
+    return joined.withColumns({name: F.coalesce(name, f"_carry_{name}") for name in values}).drop(
+        *[f"_{name}" for name in values], *[f"_carry_{name}" for name in values])
 
 
 def dense_sequence(df: DataFrame, key: str, ts: str, tie: str, out: str = "seq",

@@ -181,7 +181,7 @@ def completion_by_route(events: DataFrame) -> DataFrame:
 def boosted_passes(events: DataFrame) -> DataFrame:
     """Passes that a boost decided (base < threshold <= value), by the last item consumed."""
     relevant = events.filter(F.col("type").isin("ItemConsumed", "SkillCheckResolved"))
-    carried = carry_last(relevant, ["session_id"], "seq", F.col("item_id"), "last_item")
+    carried = carry_last(relevant, ["session_id"], "seq", {"last_item": F.col("item_id")})
     passes = carried.filter((F.col("type") == "SkillCheckResolved")
                             & (F.col("skill_value") >= F.col("threshold")))
     boosted = F.col("base_value") < F.col("threshold")

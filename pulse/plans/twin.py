@@ -1,5 +1,7 @@
 """The same views over the given tables as ANSI SQL, for checking results in another engine."""
 
+from pulse.functions.text import STOP_WORDS
+
 FEED = """
 feed AS (
   SELECT event_id, ts, event_type, value, user_id,
@@ -145,6 +147,96 @@ query_texts AS (
   WHERE trim(text) <> '')"""
 
 
+HYBRID_TEXTS = """
+firsts AS (
+  SELECT label, min(vec_id) AS doc_id, arg_min(CAST(embedding AS DOUBLE[]), vec_id) AS q
+  FROM embeddings GROUP BY label),
+query_texts AS (
+  SELECT 'label' || CAST(label AS VARCHAR) AS query_id,
+    concat_ws(' or ', w[1], w[3], w[5]) AS text
+  FROM (SELECT label, string_split(string_split(text, chr(10))[1], ' ') AS w
+        FROM firsts JOIN documents USING (doc_id)))"""
+
+WEB_TEXTS = QUERY_TEXTS.replace("query_texts AS", "plain_texts AS") + """,
+query_texts AS (
+  SELECT query_id, '"' || w[1] || ' ' || w[2] || '" ' || w[3] || ' or ' || w[4] || ' -' || w[5]
+    AS text
+  FROM (SELECT query_id, string_split(text, ' ') AS w FROM plain_texts) WHERE len(w) >= 5)"""
+
+
+def _terms(word: str) -> str:
+    return (f"CASE WHEN length({word}) > 4 THEN regexp_replace({word}, '(ing|ed|es|s)$', '') "
+            f"ELSE {word} END")
+
+
+def _kept(word: str) -> str:
+    return f"{word} <> '' AND {word} NOT IN ({', '.join(repr(w) for w in STOP_WORDS)})"
+
+
+def _words(text: str) -> str:
+    return f"string_split_regex(lower({text}), '[^\\p{{L}}\\p{{N}}]+')"
+
+
+# Brute force: every query word against every position.
+LEXICAL = f"""
+positions AS (
+  SELECT chunk_id, pos, {_terms("word")} AS term
+  FROM (SELECT chunk_id, unnest(w) AS word, unnest(range(0, len(w))) AS pos
+        FROM (SELECT chunk_id, {_words("text")} AS w FROM passages))
+  WHERE {_kept("word")}),
+lengths AS (SELECT chunk_id, count(*) AS n_terms FROM positions GROUP BY ALL),
+tokens AS (
+  SELECT query_id, unnest(t) AS token, unnest(range(0, len(t))) AS clause
+  FROM (SELECT query_id, regexp_extract_all(text, '-?"[^"]*"|\\S+') AS t FROM query_texts)),
+alts AS (
+  SELECT *, sum(CAST(lower(token) = 'or' AS INT)) OVER (PARTITION BY query_id ORDER BY clause)
+    AS alt FROM tokens),
+query_words AS (
+  SELECT query_id, alt, clause, negative, "offset", {_terms("word")} AS term
+  FROM (SELECT query_id, alt, clause, starts_with(token, '-') AS negative, unnest(w) AS word,
+          unnest(range(0, len(w))) AS "offset"
+        FROM (SELECT *, {_words("token")} AS w FROM alts WHERE lower(token) <> 'or'))
+  WHERE {_kept("word")}),
+idf AS (
+  SELECT term, ln(1 + (SELECT count(DISTINCT chunk_id) FROM positions) / count(DISTINCT chunk_id))
+    AS idf FROM positions GROUP BY term),
+clauses AS (
+  SELECT query_id, alt, clause, negative, count(*) AS width, sum(idf) AS weight
+  FROM query_words LEFT JOIN idf USING (term) GROUP BY ALL),
+wanted AS (
+  SELECT query_id, alt, count(*) AS wanted FROM clauses WHERE NOT negative GROUP BY ALL),
+lined AS (
+  SELECT q.query_id, q.alt, q.clause, p.chunk_id, p.pos - q."offset" AS start, count(*) AS hit
+  FROM query_words q JOIN positions p ON p.term = q.term GROUP BY ALL),
+satisfied AS (
+  SELECT query_id, alt, clause, negative, weight, chunk_id, count(*) AS tf
+  FROM lined JOIN clauses USING (query_id, alt, clause) WHERE hit = width GROUP BY ALL),
+per_alt AS (
+  SELECT query_id, alt, chunk_id, count(*) FILTER (WHERE NOT negative) AS got,
+    count(*) FILTER (WHERE negative) AS banned,
+    sum(tf * weight / n_terms) FILTER (WHERE NOT negative) AS score
+  FROM satisfied JOIN lengths USING (chunk_id) GROUP BY ALL),
+scores AS (
+  SELECT query_id, chunk_id, round(sum(score), 9) AS score
+  FROM per_alt JOIN wanted USING (query_id, alt) WHERE got = wanted AND banned = 0 GROUP BY ALL),
+ranked_lexical AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)
+    AS lexical_rank FROM scores QUALIFY lexical_rank <= 100)"""
+
+
+def distance_sql(a: str, b: str) -> str:
+    return f"round(1 - list_cosine_similarity({a}, {b}), 6)"
+
+
+def nearest_sql(k: int, keep: str = "true") -> str:
+    return f"""
+near AS (
+  SELECT query_id, chunk_id, {distance_sql("q", "v")} AS distance,
+    row_number() OVER (PARTITION BY query_id ORDER BY {distance_sql("q", "v")}, chunk_id)
+      AS vector_rank
+  FROM query_vectors, vectors WHERE {keep} QUALIFY vector_rank <= {k})"""
+
+
 def sql(*views: str, body: str, recursive: bool = False) -> str:
     head = "WITH RECURSIVE " if recursive else "WITH "
     return head + ",".join(views) + body

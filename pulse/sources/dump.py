@@ -75,20 +75,21 @@ def assemble(rows: DataFrame) -> DataFrame:
     settles = (F.when(ends, F.when(_left_open(after_end) == _left_open(F.col("body")),
                                    _left_open(F.col("body"))))
                .when(_left_open(F.col("body")), F.lit(True)))
-    stated = carry_last(rows, ["file"], "pos", settles, "_inside")
+    stated = carry_last(rows, ["file"], "pos", {"inside": settles})
     head = F.substring_index("body", "\n", 1)
-    header = ~F.coalesce("_inside", F.lit(False)) & head.rlike(HEADER)
+    header = ~F.coalesce("inside", F.lit(False)) & head.rlike(HEADER)
     typed = stated.withColumns({
-        "_header": header, "type": F.when(header, F.regexp_extract(head, HEADER, 1)),
-        "quoted_id": F.when(header, F.regexp_extract(head, HEADER, 2))}).drop("_inside")
-    with_dial = carry_last(typed, ["file"], "pos",
-                           F.when(F.col("type") == CONTAINER, F.col("quoted_id")), "dial")
-    owned = carry_last(with_dial, ["file"], "pos", F.when(F.col("_header"), F.col("pos")), "_rec",
-                       inclusive=True).filter(F.col("_rec").isNotNull())
+        "type": F.when(header, F.regexp_extract(head, HEADER, 1)),
+        "quoted_id": F.when(header, F.regexp_extract(head, HEADER, 2))}).drop("inside")
+    # a record row is never a container row, so counting the row itself changes nothing for it
+    owned = carry_last(typed, ["file"], "pos", {
+        "rec": F.when(F.col("type").isNotNull(), F.col("pos")),
+        "dial": F.when(F.col("type") == CONTAINER, F.col("quoted_id"))}, inclusive=True)
+    owned = owned.filter(F.col("rec").isNotNull())
     pieces = F.sort_array(F.collect_list(F.struct("pos", "body")))
-    return owned.groupBy("file", F.col("_rec").alias("pos")).agg(
+    return owned.groupBy("file", F.col("rec").alias("pos")).agg(
         F.max("type").alias("type"), F.max("quoted_id").alias("quoted_id"),
-        F.max(F.when(F.col("_header"), F.col("dial"))).alias("dial"),
+        F.max(F.when(F.col("type").isNotNull(), F.col("dial"))).alias("dial"),
         F.array_join(F.transform(pieces, lambda p: p["body"]), SEPARATOR).alias("body"))
 
 

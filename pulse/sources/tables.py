@@ -313,6 +313,23 @@ class Tables:
                 .agg(F.min_by("embedding", "vec_id").alias("vector"))
                 .select(_id("label", F.col("label")).alias("query_id"), "vector"))
 
+    def hybrid_queries(self) -> DataFrame:
+        """Query vectors with a text: three words of the passage each vector belongs to."""
+        first = self.raw("embeddings").groupBy("label").agg(
+            F.min("vec_id").alias("doc_id"), F.min_by("embedding", "vec_id").alias("vector"))
+        words = F.split(F.split("text", "\n")[0], " ")
+        parts = [F.try_element_at(words, F.lit(i)) for i in (1, 3, 5)]
+        return first.join(self.raw("documents").select("doc_id", "text"), "doc_id").select(
+            _id("label", F.col("label")).alias("query_id"),
+            F.concat_ws(" or ", *parts).alias("text"), "vector")
+
+    def web_queries(self) -> DataFrame:
+        """Benchmark lines rewritten with a phrase, an alternative and an exclusion."""
+        w = F.split("text", " ")
+        return self.benchmark_queries().filter(F.size(w) >= 5).select("query_id", F.concat(
+            F.lit('"'), w[0], F.lit(" "), w[1], F.lit('" '), w[2], F.lit(" or "), w[3],
+            F.lit(" -"), w[4]).alias("text"))
+
     def benchmark_queries(self) -> DataFrame:
         """Every line of every benchmark item as one search text."""
         return (self.raw("benchmark")
