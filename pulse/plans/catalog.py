@@ -38,4 +38,5 @@ def oracles() -> dict[str, str]:
 def load() -> None:
     """Import the modules that register queries."""
     from pulse.plans import (  # noqa: F401
-        queries_corpus, queries_events, queries_search, queries_stats)
+        queries_corpus, queries_events, queries_insights, queries_rollup, queries_search,
+        queries_stats)
