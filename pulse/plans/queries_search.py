@@ -182,7 +182,8 @@ SHOWN = ("query_id", "chunk_id", "record_id", "type", "name", "source", "lexical
          "vector_rank", "mode", "rank")
 
 
-@query("hybrid_search", sql(PASSAGES, VECTORS, HYBRID_TEXTS, LEXICAL, nearest_sql(100), FUSED,
+@query("hybrid_search", sql(PASSAGES, VECTORS, HYBRID_TEXTS, LEXICAL, nearest_sql(
+    100, "chunk_id IN (SELECT chunk_id FROM passages)"), FUSED,
                             body="""
 SELECT query_id, chunk_id, record_id, type, name, source, lexical_rank, vector_rank,
   'hybrid' AS mode, rank, round(rrf, 6) AS rrf_score FROM hits"""))
