@@ -47,9 +47,9 @@ def test_fold_plus_live_equals_recompute_at_every_step(spark, events, scratch):
     assert folded == store.read_all("sessions_done").count() > 0
     # a second run right after finds nothing, changes nothing, and still reports itself alive
     before = store.read_all("friction").drop("version").groupBy().sum("count").first()[0]
-    assert rollup.fold(store, arrived(events, 19), at(19, 1)) == 0
+    assert rollup.fold(store, arrived(events, 19), at(19)) == 0
     assert store.read_all("friction").groupBy().sum("count").first()[0] == before
-    state = rollup.coverage(store, arrived(events, 19), at(19, 2)).first()
+    state = rollup.coverage(store, arrived(events, 19), at(19, 1)).first()
     assert state.fold_stale_seconds == 3600 and state.live_sessions > 0
 
     # incremental equals rebuilt, and many folds equal one
