@@ -32,7 +32,9 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = session.build("bench", f"local[{cpus}]", **{
         "spark.ui.enabled": "false", "spark.driver.memory": "12g",
-        "spark.sql.shuffle.partitions": cpus})
+        "spark.sql.shuffle.partitions": cpus,
+        # a hundred megabytes would otherwise be coalesced to one or two tasks
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k"})
     spark.sparkContext.setLogLevel("ERROR")
     queries = catalog.callables()
     names = sys.argv[1:] or HEADLINE

@@ -95,15 +95,23 @@ def dense_sequence(df: DataFrame, key: str, ts: str, tie: str, out: str = "seq",
                    hot_rows: int = 1_000_000) -> DataFrame:
     """Number rows 0.. per key by `(ts, tie)` and attach `block`, for feeds that carry no `seq`.
 
-    Keys above `hot_rows` are cut into one-minute blocks; all others stay in block 0. At most
-    total_rows / hot_rows keys can be hot, which bounds the broadcast below (a million keys per
-    10^12 rows). Sizes are counted with map-side partial aggregation.
+    Keys above `hot_rows` are cut into one-minute blocks and numbered block by block; all others
+    stay in block 0. At most total_rows / hot_rows keys can be hot, which bounds the broadcasts
+    (a million keys per 10^12 rows). Sizes are counted with map-side partial aggregation. The two
+    kinds are separate branches, so for ordinary data the second one vanishes at run time.
     """
-    hot = (df.groupBy(key).agg(F.count("*").alias("_rows"))
-           .filter(F.col("_rows") > hot_rows).select(key, F.lit(True).alias("_hot")))
+    hot = F.broadcast(df.groupBy(key).agg(F.count("*").alias("_rows"))
+                      .filter(F.col("_rows") > hot_rows).select(key))
+    order = [F.asc(ts), F.asc(tie)]
+    cold = df.join(hot, key, "left_anti").withColumn(BLOCK, F.lit(0).cast("long"))
+    cold = cold.withColumn(out, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
     minute = F.floor(F.unix_micros(F.col(ts)) / F.lit(60_000_000)).cast("long")
-    blocked = (df.join(F.broadcast(hot), key, "left")
-               .withColumn(BLOCK, F.when(F.col("_hot"), minute).otherwise(F.lit(0).cast("long")))
-               .drop("_hot"))
-    return (number_rows(blocked, [key], [F.asc(ts), F.asc(tie)], out)
+    cut = df.join(hot, key).withColumn(BLOCK, minute)
+    inside = cut.withColumn(
+        out, F.row_number().over(Window.partitionBy(key, BLOCK).orderBy(*order)))
+    before = Window.partitionBy(key).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut.groupBy(key, BLOCK).agg(F.count("*").alias("_n")).select(
+        key, BLOCK, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    counted = inside.join(offsets, [key, BLOCK]).withColumn(out, F.col(out) + F.col("_offset"))
+    return (cold.unionByName(counted.select(*cold.columns))
             .withColumn(out, (F.col(out) - 1).cast("long")))

@@ -125,7 +125,7 @@ def _(t):
 SELECT mod_id, min(received_us) // 1000 AS first_seen_ms, max(received_us) // 1000 AS last_seen_ms
 FROM telemetry GROUP BY ALL"""))
 def _(t):
-    return ingest.mod_registry(t.telemetry()).select(
+    return ingest.mod_registry(t.unordered()).select(
         "mod_id", F.unix_millis("first_seen_at").alias("first_seen_ms"),
         F.unix_millis("last_seen_at").alias("last_seen_ms"))
 
@@ -179,7 +179,7 @@ SELECT count(*) AS shippers,
   120 AS stale_after_minutes
 FROM latest"""))
 def _(t):
-    report = explorer.freshness_report(ingest.latest_heartbeats(_pings(t)), t.telemetry(),
+    report = explorer.freshness_report(ingest.latest_heartbeats(_pings(t)), t.unordered(),
                                        F.lit(AS_OF))
     return report.select("shippers", "stale_shippers",
                          F.unix_millis("newest_event_at").alias("newest_event_ms"), "ok",
@@ -198,7 +198,7 @@ def _(t):
 SELECT type, count(*) AS events, count(DISTINCT session_id) AS sessions
 FROM telemetry WHERE type NOT IN ('Heartbeat', 'SpikeStarted') GROUP BY ALL"""))
 def _(t):
-    return ingest.export_summary(t.telemetry())
+    return ingest.export_summary(t.unordered())
 
 
 ATTRIBUTION = {"AreaEntered": "base", "ConfrontationAttempted": "casefile",
@@ -213,7 +213,7 @@ SELECT was AS mod_before, type, count(*) AS events,
 FROM (SELECT *, CASE WHEN mod_id = 'mod0' THEN 'unknown' ELSE mod_id END AS was FROM telemetry)
 GROUP BY ALL"""))
 def _(t):
-    events = t.telemetry().withColumn("mod_id", F.when(F.col("mod_id") == "mod0", "unknown")
+    events = t.unordered().withColumn("mod_id", F.when(F.col("mod_id") == "mod0", "unknown")
                                       .otherwise(F.col("mod_id")))
     return ingest.attribution_preview(events, ATTRIBUTION)
 
@@ -224,7 +224,7 @@ SELECT count(*) AS events, count(suspect) AS suspect, count(topic) AS topic,
 FROM telemetry"""))
 def _(t):
     # promoted columns against the payload they come from
-    events = t.with_payload(t.telemetry())
+    events = t.with_payload(t.unordered())
     drift = F.lit(False)
     for key, kind in payload.PROMOTED.items():
         drift = drift | ~F.col(key).eqNullSafe(payload.typed(key, kind))
@@ -282,7 +282,7 @@ def _(t):
 @query("daily_counts", sql(TELEMETRY, body="""
 SELECT strftime(ts, '%Y-%m-%d') AS day, type, count(*) AS events FROM telemetry GROUP BY ALL"""))
 def _(t):
-    return flow.daily_counts(t.telemetry())
+    return flow.daily_counts(t.unordered())
 
 
 @query("sequence_gaps", sql(TELEMETRY, body=""",
@@ -304,7 +304,7 @@ SELECT env, hour, count(*) AS n, percentile_disc(0.5) WITHIN GROUP (ORDER BY lat
   percentile_disc(0.9) WITHIN GROUP (ORDER BY late) AS p90, max(late) AS max
 FROM late GROUP BY ALL"""))
 def _(t):
-    return flow.lateness(t.telemetry())
+    return flow.lateness(t.unordered())
 
 
 @query("drop_off", sql(TELEMETRY, body=""",
@@ -339,7 +339,7 @@ SELECT install_id, count(*) AS sessions, round(CAST(sum(gap) AS DOUBLE) / 3.6e9,
     AS total_break_hours, round(max(gap) / 3.6e9, 3) AS longest_break_hours
 FROM gaps GROUP BY ALL"""))
 def _(t):
-    return flow.returns(t.telemetry())
+    return flow.returns(t.unordered())
 
 
 @query("milestone_funnel", sql(TELEMETRY, body=""",
@@ -359,7 +359,7 @@ UNION ALL SELECT 4, 'success', count(*), round(avg(d - c) / 1e6, 1) FROM firsts
 def _(t):
     kind = F.col("type")
     tried = kind == "ConfrontationAttempted"
-    return flow.funnel(t.telemetry(), {
+    return flow.funnel(t.unordered(), {
         "arrived": kind == "AreaEntered", "topic": kind == "ConfrontationTopicEntered",
         "attempt": tried, "success": tried & F.col("passed")})
 
@@ -374,7 +374,7 @@ SELECT suspect, topic, count(*) AS exposed, count(*) FILTER (WHERE engaged) AS e
   round(avg(CAST(engaged AS INT)), 3) AS engaged_share
 FROM pairs WHERE exposed GROUP BY ALL"""))
 def _(t):
-    return flow.engagement(t.telemetry())
+    return flow.engagement(t.unordered())
 
 
 @query("route_share", sql(TELEMETRY, body=""",
@@ -383,7 +383,7 @@ counts AS (
   WHERE type = 'SkillCheckResolved' AND threshold_passed AND skill_route IS NOT NULL GROUP BY ALL)
 SELECT *, round(passes / sum(passes) OVER (PARTITION BY check_id), 3) AS share FROM counts"""))
 def _(t):
-    used = t.telemetry().filter((F.col("type") == "SkillCheckResolved") & F.col("threshold_passed")
+    used = t.unordered().filter((F.col("type") == "SkillCheckResolved") & F.col("threshold_passed")
                                 & F.col("skill_route").isNotNull())
     return flow.share_within(used.withColumn("route", F.col("skill_route")),
                              ["check_id", "route"], "passes", ["check_id"])
@@ -397,7 +397,7 @@ SELECT *, round(passes / sum(passes) OVER (PARTITION BY check_id), 3) AS share,
   count(*) OVER (PARTITION BY check_id) AS routes
 FROM counts QUALIFY routes > 1"""))
 def _(t):
-    return flow.solution_share(t.telemetry())
+    return flow.solution_share(t.unordered())
 
 
 @query("completion_by_route", sql(TELEMETRY, body=""",
@@ -411,7 +411,7 @@ SELECT route, count(*) AS sessions, count(*) FILTER (WHERE c) AS completed_sessi
   round(avg(CAST(c AS INT)), 3) AS completion_rate
 FROM used JOIN done USING (session_id) GROUP BY ALL"""))
 def _(t):
-    return flow.completion_by_route(t.telemetry())
+    return flow.completion_by_route(t.unordered())
 
 
 # ---- exploration ---------------------------------------------------------------------------------
@@ -489,7 +489,7 @@ FROM records LEFT JOIN seen ON item_id = lower(record_id) WHERE type IN ('ALCH',
 def _(t):
     manifest = t.records().filter(F.col("type").isin("ALCH", "INGR")).select(
         F.lower("record_id").alias("item_id"))
-    seen = (t.exploration().filter(F.col("type") == "ItemConsumed").groupBy("item_id")
+    seen = (t.exploration(hot_rows=None).filter(F.col("type") == "ItemConsumed").groupBy("item_id")
             .agg(F.count("*").alias("seen")))
     return flow.discovery(manifest, seen, "item_id")
 
@@ -502,7 +502,7 @@ SELECT item_id, r.record_id, type, consumed, ordinal, effect_name, affected, aff
 FROM eaten JOIN records r ON lower(r.record_id) = item_id
 JOIN effects e ON e.record_id = r.record_id"""))
 def _(t):
-    return flow.consumed_effects(t.exploration(), t.records(), t.effects())
+    return flow.consumed_effects(t.exploration(hot_rows=None), t.records(), t.effects())
 
 
 @query("area_content", sql(TELEMETRY, CONTENT, body=""",
@@ -511,4 +511,4 @@ content AS (SELECT area, count(*) AS items, CAST(sum(count) AS BIGINT) AS object
             FROM placements GROUP BY ALL)
 SELECT * FROM visits JOIN content USING (area)"""))
 def _(t):
-    return flow.area_content(t.telemetry(), placement_tally(t.sightings()))
+    return flow.area_content(t.unordered(), placement_tally(t.sightings()))

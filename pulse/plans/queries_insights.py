@@ -169,7 +169,7 @@ SELECT check_id, stat, stat_kind, threshold,
 FROM asked LEFT JOIN classified USING (check_id, stat, stat_kind, threshold)"""))
 def _(t):
     # every check ever resolved asks for evidence; those nobody failed have no gate
-    asked = t.telemetry().filter(F.col("type") == "SkillCheckResolved").select(*GATE)
+    asked = t.unordered().filter(F.col("type") == "SkillCheckResolved").select(*GATE)
     return insights.requested_status(asked, plain_evidence(t))
 
 
@@ -180,9 +180,9 @@ def _(t):
 SELECT check_id, stat, stat_kind, threshold, fails, gap_p50, gap_p90
 FROM gates JOIN asked USING (check_id, stat, stat_kind, threshold)"""))
 def _(t):
-    asked = t.telemetry().filter((F.col("type") == "SkillCheckResolved")
+    asked = t.unordered().filter((F.col("type") == "SkillCheckResolved")
                                  & (F.col("env") == "dev"))
-    return sufficiency.match_gate(sufficiency.gate_gaps(t.telemetry()), asked)
+    return sufficiency.match_gate(sufficiency.gate_gaps(t.unordered()), asked)
 
 
 # ---- review --------------------------------------------------------------------------------------

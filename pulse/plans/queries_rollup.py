@@ -18,7 +18,7 @@ settled AS (
 
 
 def settled(t):
-    return rollup.settled(t.telemetry(), F.lit(AS_OF))
+    return rollup.settled(t.unordered(), F.lit(AS_OF))
 
 
 @query("settled_sessions", sql(TELEMETRY, SETTLED, body=" SELECT * FROM settled"))
@@ -82,7 +82,7 @@ SELECT count(DISTINCT session_id) AS live_sessions,
     - 86400000000) AS in_window
 FROM telemetry WHERE session_id NOT IN (SELECT session_id FROM settled)"""))
 def _(t):
-    events, done = t.telemetry(), settled(t)
+    events, done = t.unordered(), settled(t)
     live = rollup.unfolded(events, done).agg(F.count("*").alias("live_sessions"))
     recent = rollup.unfolded(events, done, F.lit(datetime(2024, 1, 31)), timedelta(days=1)).agg(
         F.count("*").alias("in_window"))

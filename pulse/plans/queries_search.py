@@ -227,7 +227,7 @@ def _(t):
         F.concat_ws("/", "affected", "affected_kind").alias("cell"),
         F.concat_ws("#", "record_id", F.col("ordinal").cast("string")).alias("chunk_id"),
         "embedding", F.col("magnitude_max").alias("strength"))
-    demands = sufficiency.gate_gaps(t.telemetry()).select("stat", "stat_kind", "gap_p90").distinct()
+    demands = sufficiency.gate_gaps(t.unordered()).select("stat", "stat_kind", "gap_p90").distinct()
     asked = demands.join(t.query_vectors().withColumnRenamed("query_id", "label"),
                          F.col("label") == F.concat(F.lit("label"), F.substring("stat", 3, 9)))
     return vector.nearest_within(chunks, asked.select(

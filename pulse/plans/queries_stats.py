@@ -117,13 +117,13 @@ classified AS (
 @query("confrontations_by_topic", sql(TELEMETRY, BY_TOPIC, body="""
 SELECT *, round(CAST(passes AS DOUBLE) / attempts, 3) AS pass_rate FROM topics"""))
 def _(t):
-    return stats.by_topic(t.telemetry())
+    return stats.by_topic(t.unordered())
 
 
 @query("failure_reasons", sql(TELEMETRY, body=f"""
 SELECT reason, count(*) AS count FROM telemetry WHERE {TRIED} AND NOT passed GROUP BY ALL"""))
 def _(t):
-    return stats.by_reason(t.telemetry())
+    return stats.by_reason(t.unordered())
 
 
 @query("overall_attempts", sql(TELEMETRY, body=f"""
@@ -131,7 +131,7 @@ SELECT count(*) AS attempts, count(*) FILTER (WHERE passed) AS passes,
        round(CAST(count(*) FILTER (WHERE passed) AS DOUBLE) / count(*), 3) AS pass_rate
 FROM telemetry WHERE {TRIED}"""))
 def _(t):
-    return stats.overall(t.telemetry())
+    return stats.overall(t.unordered())
 
 
 RANKING = """
@@ -147,7 +147,7 @@ FROM topics, prior"""
 
 @query("stuck_ranking", sql(TELEMETRY, BY_TOPIC + ",", body=RANKING))
 def _(t):
-    return stats.in_ranking_order(stats.stuck_ranking(stats.by_topic(t.telemetry())))
+    return stats.in_ranking_order(stats.stuck_ranking(stats.by_topic(t.unordered())))
 
 
 # ---- sequences -----------------------------------------------------------------------------------
@@ -213,7 +213,7 @@ def _(t):
 
 @query("skill_by_check", sql(TELEMETRY, CHECKS, body=" SELECT * FROM by_check"))
 def _(t):
-    return stats.by_check(t.telemetry())
+    return stats.by_check(t.unordered())
 
 
 @query("collapsed_checks", sql(TELEMETRY, CHECKS, body="""
@@ -224,7 +224,7 @@ FROM by_check WHERE closest_fail_margin IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY check_id
   ORDER BY closest_fail_margin DESC, attempts DESC, stat, stat_kind) = 1"""))
 def _(t):
-    return stats.collapse_checks(stats.by_check(t.telemetry()))
+    return stats.collapse_checks(stats.by_check(t.unordered()))
 
 
 @query("failure_distance", sql(TELEMETRY, CHECKS, body=""",
@@ -238,7 +238,7 @@ SELECT band, count(*) AS count, round(avg(margin), 1) AS avg_margin,
   CASE band WHEN 'near_miss' THEN 1 WHEN 'moderate_gap' THEN 2 ELSE 3 END AS band_rank
 FROM banded GROUP BY band"""))
 def _(t):
-    return stats.failure_distance(t.telemetry())
+    return stats.failure_distance(t.unordered())
 
 
 @query("stat_coverage", sql(TELEMETRY, body="""
@@ -246,14 +246,14 @@ SELECT stat, stat_kind, trigger, count(*) AS checks, count(DISTINCT check_id) AS
   round(avg(CAST(threshold_passed AS INT)), 3) AS pass_rate
 FROM telemetry WHERE type = 'SkillCheckResolved' GROUP BY ALL"""))
 def _(t):
-    return stats.stat_coverage(t.telemetry())
+    return stats.stat_coverage(t.unordered())
 
 
 @query("routes_taken", sql(TELEMETRY, body="""
 SELECT skill_route AS route, count(*) AS passes FROM telemetry
 WHERE type = 'SkillCheckResolved' AND skill_route IS NOT NULL AND threshold_passed GROUP BY ALL"""))
 def _(t):
-    events = t.with_payload(t.telemetry())
+    events = t.with_payload(t.unordered())
     return stats.routes_taken(events, payload.has_key("skill_route"))
 
 
@@ -262,7 +262,7 @@ SELECT check_id, stat AS skill, CAST(sum(skill_value - threshold) AS BIGINT) AS
   count(*) FILTER (WHERE passed) AS passes, count(*) AS checks
 FROM telemetry WHERE type = 'SkillCheckResolved' GROUP BY ALL"""))
 def _(t):
-    rows = t.with_payload(t.telemetry()).filter(F.col("type") == "SkillCheckResolved").select(
+    rows = t.with_payload(t.unordered()).filter(F.col("type") == "SkillCheckResolved").select(
         payload.text("check_id").alias("check_id"), payload.text("skill").alias("skill"),
         (payload.typed("skill_value", "int") - payload.typed("threshold", "int")).alias("margin"),
         payload.typed("passed", "boolean").alias("passed"))
@@ -275,14 +275,14 @@ def _(t):
 
 @query("gate_gaps", sql(TELEMETRY, gates_sql(), body=" SELECT * FROM gates"))
 def _(t):
-    return sufficiency.gate_gaps(t.telemetry())
+    return sufficiency.gate_gaps(t.unordered())
 
 
 @query("gate_sufficiency", sql(TELEMETRY, CONTENT, gates_sql(), REMEDIES, SUFFICIENCY,
                                body=" SELECT * FROM classified"))
 def gate_sufficiency(t):
     placements = sufficiency.placement_tally(t.sightings())
-    return sufficiency.sufficiency(t.telemetry(), t.effects(), t.records(), placements,
+    return sufficiency.sufficiency(t.unordered(), t.effects(), t.records(), placements,
                                    t.raw("nation"))
 
 
@@ -314,7 +314,7 @@ QUALIFY rank <= 6"""))
 def _(t):
     rows = sufficiency.remedies(t.effects(), t.records(),
                                 sufficiency.placement_tally(t.sightings()))
-    return sufficiency.top_remedies(sufficiency.gate_gaps(t.telemetry()), rows)
+    return sufficiency.top_remedies(sufficiency.gate_gaps(t.unordered()), rows)
 
 
 @query("placement_tally", sql(CONTENT, body=" SELECT * FROM placements"))
@@ -332,7 +332,7 @@ SELECT scope, env_note, count(*) AS events FROM scopes JOIN telemetry
   ON scope = 'all' OR (scope = 'synthetic') = (env = 'synthetic') GROUP BY ALL"""))
 def _(t):
     # all three scopes in one pass: filtered counts, then one row per scope
-    counts = t.telemetry().agg(*[F.count_if(env_predicate(s)).alias(s) for s in SCOPES])
+    counts = t.unordered().agg(*[F.count_if(env_predicate(s)).alias(s) for s in SCOPES])
     rows = F.explode(F.array(*[F.struct(F.lit(s).alias("scope"), F.lit(env_note(s))
                                         .alias("env_note"), F.col(s).alias("events"))
                                for s in SCOPES]))
@@ -342,13 +342,13 @@ def _(t):
 @query("counts_by_mod_type", sql(TELEMETRY, body="""
 SELECT mod_id, type, count(*) AS events FROM telemetry GROUP BY ALL"""))
 def _(t):
-    return stats.counts_by(t.telemetry(), "mod_id", "type")
+    return stats.counts_by(t.unordered(), "mod_id", "type")
 
 
 @query("counts_by_env", sql(TELEMETRY, body="""
 SELECT env, count(*) AS events FROM telemetry GROUP BY ALL"""))
 def _(t):
-    return stats.counts_by(t.telemetry(), "env")
+    return stats.counts_by(t.unordered(), "env")
 
 
 @query("mods_list", sql(TELEMETRY, body="""
@@ -357,7 +357,7 @@ SELECT mod_id, min(received_us) // 1000 AS first_seen_ms, max(received_us) // 10
 FROM telemetry GROUP BY ALL"""))
 def _(t):
     from pulse.sources.ingest import mod_registry
-    events = t.telemetry()
+    events = t.unordered()
     mods = mod_registry(events).select(
         "mod_id", F.unix_millis("first_seen_at").alias("first_seen_ms"),
         F.unix_millis("last_seen_at").alias("last_seen_ms"))
@@ -372,4 +372,4 @@ SELECT 'all' AS scope, count(*) AS sessions,
   percentile_disc(0.99) WITHIN GROUP (ORDER BY size) AS p99, max(size) AS max
 FROM sizes"""))
 def _(t):
-    return stats.session_sizes(t.telemetry())
+    return stats.session_sizes(t.unordered())

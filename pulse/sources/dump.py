@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pulse.functions.text import strip_markup
 from pulse.operators.blocked import BLOCK, carry_last
+from pulse.operators.once import compute_once
 
 SEPARATOR = "\nRecord: "
 CONTAINER = "DIAL"
@@ -75,7 +76,8 @@ def assemble(rows: DataFrame) -> DataFrame:
     settles = (F.when(ends, F.when(_left_open(after_end) == _left_open(F.col("body")),
                                    _left_open(F.col("body"))))
                .when(_left_open(F.col("body")), F.lit(True)))
-    stated = carry_last(rows, ["file"], "pos", {"inside": settles})
+    stated = carry_last(compute_once(rows, settles=settles), ["file"], "pos",
+                        {"inside": F.col("settles")}).drop("settles")
     head = F.substring_index("body", "\n", 1)
     header = ~F.coalesce("inside", F.lit(False)) & head.rlike(HEADER)
     typed = stated.withColumns({
@@ -98,11 +100,11 @@ def parse(rows: DataFrame) -> DataFrame:
     (emitted / container / skipped)."""
     fields = F.regexp_replace(F.regexp_replace("body", CLOSED_BLOCK, ""), rf"(?ms){OPEN}.*\Z", "")
     dialogue = F.col("type") == "INFO"
-    base = assemble(rows).withColumn("fields", fields)
+    base = compute_once(assemble(rows), fields=fields)
     quoted = _or_null(F.col("quoted_id"))
     block = _last(F.col("body"), BLOCK_TEXT, 1)
     identity = F.when(quoted.isNull(), _first(F.col("fields"), IDENTITY, 2))
-    base = base.withColumns({
+    base = compute_once(base, **{
         "name": F.when(dialogue, F.col("dial")).otherwise(F.coalesce(
             F.when(identity.isNotNull(), _first(F.col("fields"), IDENTITY, 1)),
             _or_null(_last(F.col("fields"), NAME, 1)))),
@@ -110,12 +112,12 @@ def parse(rows: DataFrame) -> DataFrame:
                            _or_null(_last(F.col("fields"), INLINE_TEXT, 1)),
                            _or_null(_first(F.col("fields"), DESCRIPTION, 1))),
         "effects": effect_structs(F.col("fields")),
-        "_identity": identity})
+        "identity": identity})
     own = F.coalesce(
         F.when(dialogue & (F.coalesce("dial", F.lit("")) != ""),
                F.concat("dial", F.lit("#"), "quoted_id")),
         quoted,
-        F.concat("type", F.lit(":"), F.coalesce("_identity", "name")))
+        F.concat("type", F.lit(":"), F.coalesce("identity", "name")))
     content = F.col("text").isNotNull() | F.col("name").isNotNull() | (F.size("effects") > 0)
     return (base.withColumn("record_id", own)
             .withColumn("outcome", F.when(F.col("type") == CONTAINER, "container")

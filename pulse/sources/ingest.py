@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pulse.functions import payload
 from pulse.functions.verdicts import live_types
 from pulse.operators.blocked import with_block
+from pulse.operators.once import compute_once
 
 # Fixed values of the wire format.
 EVENT_TAG = "OMWA1 "
@@ -57,8 +58,8 @@ def validate(rows: DataFrame) -> DataFrame:
     The body is parsed once. Rows are judged one by one: a bad event is quarantined without
     rejecting its batch.
     """
-    typed = (rows.withColumn("_e", F.from_json("body", _WIRE))
-             .withColumn("_readable", F.json_object_keys("body").isNotNull())
+    typed = (compute_once(rows, _e=F.from_json("body", _WIRE),
+                          _readable=F.json_object_keys("body").isNotNull())
              .select(*rows.columns, "_readable", F.col("_e.v").alias("v"),
                      _string(F.col("_e.type")).alias("type"), F.col("_e.seq").alias("seq"),
                      F.lower("_e.install_id").alias("install_id"),

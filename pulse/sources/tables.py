@@ -56,14 +56,16 @@ class Tables:
             F.concat(F.col("user_id").cast("string"), F.lit("-"),
                      F.floor(day / 3).cast("string")).alias("session_id"))
 
-    def _envelope(self, mapping: dict[str, str], hot_rows: int) -> DataFrame:
+    def _envelope(self, mapping: dict[str, str], hot_rows: int | None) -> DataFrame:
+        """`hot_rows=None` leaves out `seq` and `block`, and with them every shuffle."""
         k = F.col("k")
         kind = F.col("event_type")
         named = F.when(k % 25 == 24, "Heartbeat")
         for raw, name in mapping.items():
             named = named.when(kind == raw, name)
-        return (dense_sequence(self.feed(), "session_id", "ts", "event_id", hot_rows=hot_rows)
-                .withColumns({
+        rows = self.feed() if hot_rows is None else dense_sequence(
+            self.feed(), "session_id", "ts", "event_id", hot_rows=hot_rows)
+        return (rows.withColumns({
                     "type": named,
                     "env": F.when(k % 10 == 0, "synthetic").when(k % 10 < 4, "dev")
                             .otherwise("prod"),
@@ -71,7 +73,11 @@ class Tables:
                     "received_at": F.timestamp_micros(
                         F.unix_micros("ts") + k.cast("long") * 1_000_000)}))
 
-    def telemetry(self, hot_rows: int = 1_000_000) -> DataFrame:
+    def unordered(self) -> DataFrame:
+        """Telemetry for questions in which the order inside a session plays no part."""
+        return self.telemetry(hot_rows=None)
+
+    def telemetry(self, hot_rows: int | None = 1_000_000) -> DataFrame:
         """Confrontations, areas and skill checks with their promoted payload columns."""
         k = F.col("k")
         check = "SkillCheckResolved"
@@ -117,7 +123,7 @@ class Tables:
             *[F.col(c) for c in keys], F.col("stat").alias("skill"),
             F.col("stat_kind").alias("stat_type"))))
 
-    def exploration(self, hot_rows: int = 1_000_000) -> DataFrame:
+    def exploration(self, hot_rows: int | None = 1_000_000) -> DataFrame:
         """A second reading of the feed: evidence, consumables, puzzles and displayed checks."""
         k = F.col("k")
         value = F.floor("value").cast("int")
