@@ -107,7 +107,7 @@ STRIP = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_r
 
 @query("markup_strip", f"SELECT page_id, url, {STRIP} AS text FROM pages")
 def _(t):
-    return t.raw("pages").select("page_id", "url", text.strip_markup(F.col("html")).alias("text"))
+    return t.texts("pages", "page_id").select("page_id", "url", text.strip_markup(F.col("html")).alias("text"))
 
 
 def books(t):

@@ -45,11 +45,13 @@ def evidence(t):
     # prose search per stat: the name of the record numbered like the stat stands for its theme
     theme = t.records().select(F.concat(F.lit("st"), F.substring("record_id", 6, 20))
                                .alias("stat"), F.col("name").alias("text"))
-    by_stat = search(t, gates.select("stat").distinct().join(theme, "stat").select(
-        F.col("stat").alias("query_id"), "text"))
+    # both kinds of query run as one search; their ids tell them apart
+    asked = gates.select("stat").distinct().join(theme, "stat").select(
+        F.col("stat").alias("query_id"), "text").unionByName(insights.name_queries(top, " or "))
+    found = search(t, asked)
     situational = keys.select("query_id", "stat").join(
-        by_stat.withColumnRenamed("query_id", "stat"), "stat").drop("stat")
-    by_name = search(t, insights.name_queries(top, " or "))
+        found.withColumnRenamed("query_id", "stat"), "stat").drop("stat")
+    by_name = found.join(keys.select("query_id"), "query_id", "left_semi")
     banned = top.withColumn("query_id", insights.gate_id())
 
     def kept(hits):

@@ -43,6 +43,13 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def texts(self, name: str, key: str) -> DataFrame:
+        """A table of long texts. One that arrives as fewer splits than there are cores is spread
+        first, because the work per row is large; a table of ordinary size is read as it lies."""
+        rows = self.raw(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
+
     # ---- telemetry ------------------------------------------------------------------------
 
     def feed(self) -> DataFrame:
@@ -302,7 +309,7 @@ class Tables:
     def documents(self) -> DataFrame:
         kind = (F.when(F.col("lang") == "en", "BOOK").when(F.col("lang") == "fr", "INFO")
                 .when(F.col("lang") == "de", "CELL").otherwise("SKIL"))
-        return self.raw("documents").select(
+        return self.texts("documents", "doc_id").select(
             "doc_id", _id("Doc_", F.col("doc_id")).alias("record_id"), "source",
             kind.alias("type"), F.concat(F.lit("Document "), F.col("doc_id").cast("string"))
             .alias("name"), F.col("text").alias("full_text"))
