@@ -7,6 +7,7 @@ from pulse.operators.sufficiency import GATE
 from pulse.plans.catalog import query
 from pulse.plans.queries_stats import REMEDIES, SUFFICIENCY, gate_sufficiency, gates_sql
 from pulse.plans.twin import CONTENT, LEXICAL, TELEMETRY, sql
+from pulse.session import stored
 
 GATES = (TELEMETRY, CONTENT, gates_sql(), REMEDIES, SUFFICIENCY)
 
@@ -32,15 +33,21 @@ def narrative(t):
 
 def search(t, queries):
     chunks = narrative(t)
-    found = lexical.lexical_scores(lexical.term_positions(chunks), lexical.parse_queries(queries))
+    found = lexical.lexical_scores(lexical.term_positions(chunks),
+                                   lexical.parse_queries(queries), stored)
     return fuse.hits(fuse.fuse(lexical.top_lexical(found), None), chunks)
 
 
-def evidence(t):
-    gates = gate_sufficiency(t)
+def gates_and_remedies(t):
+    """Gates and their strongest remedies, both small, computed once for all that follows."""
+    gates = stored(gate_sufficiency(t), "gates")
     rows = sufficiency.remedies(t.effects(), t.records(),
                                 sufficiency.placement_tally(t.sightings()))
-    top = sufficiency.top_remedies(gates, rows)
+    return gates, stored(sufficiency.top_remedies(gates, rows), "top")
+
+
+def evidence(t):
+    gates, top = gates_and_remedies(t)
     keys = gates.withColumn("query_id", insights.gate_id())
     # prose search per stat: the name of the record numbered like the stat stands for its theme
     theme = t.records().select(F.concat(F.lit("st"), F.substring("record_id", 6, 20))
@@ -48,7 +55,7 @@ def evidence(t):
     # both kinds of query run as one search; their ids tell them apart
     asked = gates.select("stat").distinct().join(theme, "stat").select(
         F.col("stat").alias("query_id"), "text").unionByName(insights.name_queries(top, " or "))
-    found = search(t, asked)
+    found = stored(search(t, asked), "hits")  # bounded: ten per query
     situational = keys.select("query_id", "stat").join(
         found.withColumnRenamed("query_id", "stat"), "stat").drop("stat")
     by_name = found.join(keys.select("query_id"), "query_id", "left_semi")
@@ -108,10 +115,7 @@ def _(t):
 
 def plain_evidence(t):
     """Gates with remedies and no passages: enough for the text checks."""
-    gates = gate_sufficiency(t)
-    rows = sufficiency.remedies(t.effects(), t.records(),
-                                sufficiency.placement_tally(t.sightings()))
-    top = sufficiency.top_remedies(gates, rows)
+    gates, top = gates_and_remedies(t)
     none = narrative(t).limit(0).select(
         F.lit("").alias("query_id"), F.lit(1).alias("place"), "record_id", "name",
         F.col("text").alias("snippet"))
@@ -203,7 +207,7 @@ decided AS (
   FROM stored LEFT JOIN labels l ON l.doc_id = id)"""
 
 
-def stored(t):
+def all_insights(t):
     """One pending insight per document."""
     d = F.col("doc_id")
     bars = F.array(*[F.lit(b) for b in (25, 30, 40, 50, 60, 75, 100)])
@@ -223,7 +227,7 @@ def decided(t):
         F.col("quality") == 1, "approved").otherwise("rejected").alias("decision"))
     second = labels.select(F.col("doc_id").alias("id"), F.lit(2).alias("decided_at"), F.when(
         F.col("toxic") == 1, "rejected").otherwise("approved").alias("decision"))
-    return insights.review(stored(t), first.unionByName(second))
+    return insights.review(all_insights(t), first.unionByName(second))
 
 
 COLUMNS = ("id", "check_id", "stat", "stat_kind", "threshold", "status")

@@ -8,11 +8,12 @@ from pulse.plans.catalog import query
 from pulse.plans.queries_stats import REMEDIES, gates_sql
 from pulse.plans.twin import (CONTENT, DOCS, HYBRID_TEXTS, LEXICAL, PASSAGES, QUERY_TEXTS,
                               TELEMETRY, VECTORS, WEB_TEXTS, distance_sql, nearest_sql, sql)
+from pulse.session import stored
 
 
 def scores(t, queries):
     return lexical.lexical_scores(lexical.term_positions(t.passages()),
-                                  lexical.parse_queries(queries))
+                                  lexical.parse_queries(queries), stored)
 
 
 # ---- lexical -------------------------------------------------------------------------------------
