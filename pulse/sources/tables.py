@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulse.operators.blocked import dense_sequence
+from pulse.operators.once import compute_once
 
 EPOCH_DAY = "2024-01-01"
 
@@ -70,8 +71,12 @@ class Tables:
         named = F.when(k % 25 == 24, "Heartbeat")
         for raw, name in mapping.items():
             named = named.when(kind == raw, name)
-        rows = self.feed() if hot_rows is None else dense_sequence(
-            self.feed(), "session_id", "ts", "event_id", hot_rows=hot_rows)
+        rows = self.feed()
+        if hot_rows is None:
+            # the number is read by most columns; without a shuffle in between, each would parse it
+            rows = compute_once(rows.withColumnRenamed("k", "_k"), k=F.col("_k")).drop("_k")
+        else:
+            rows = dense_sequence(rows, "session_id", "ts", "event_id", hot_rows=hot_rows)
         return (rows.withColumns({
                     "type": named,
                     "env": F.when(k % 10 == 0, "synthetic").when(k % 10 < 4, "dev")
