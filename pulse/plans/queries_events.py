@@ -87,11 +87,11 @@ def _(t):
 
 
 @query("mod_id_normalise", sql(FEED, body="""
-SELECT CASE k % 5 WHEN 0 THEN 'ccff' WHEN 1 THEN 'a.b_c-1' ELSE 'unknown' END AS mod_id,
+SELECT CASE k % 5 WHEN 0 THEN 'casefile' WHEN 1 THEN 'a.b_c-1' ELSE 'unknown' END AS mod_id,
   count(*) AS events
 FROM feed GROUP BY ALL"""))
 def _(t):
-    raw = F.element_at(F.array(F.lit(" CCFF "), F.lit("a.b_c-1"), F.lit("-leading"),
+    raw = F.element_at(F.array(F.lit(" CaseFile "), F.lit("a.b_c-1"), F.lit("-leading"),
                                F.repeat(F.lit("x"), F.lit(65)), F.lit(None).cast("string")),
                        F.col("k") % 5 + 1)
     return t.feed().groupBy(ingest.normalise_mod_id(raw).alias("mod_id")).agg(
