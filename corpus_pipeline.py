@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulse.llm import exact, quality
+from pulse.llm import exact, quality, substrings
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,7 +17,12 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.deduplicate(docs, smallest=False)
 
 
-STAGES = [("quality_rules", quality_stage), ("exact_dedup", exact_stage)]
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 20 words or more that an earlier document (or part) holds are cut."""
+    return substrings.remove_repeats(docs)
+
+
+STAGES = [("quality_rules", quality_stage), ("exact_dedup", exact_stage), ("substring_dedup", substring_stage)]
 ORACLE_SQL = None
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulse.llm import exact, hosts, quality
+from pulse.llm import exact, hosts, quality, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,6 +33,21 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
 
 
+@query("op5_substring_dedup", """
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20),
+keys AS (SELECT doc_id, i, hash(ws[i:i + 19]) AS h, md5(array_to_string(ws[i:i + 19], ' ')) AS m FROM starts),
+ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY h, m ORDER BY doc_id, i) AS r FROM keys),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM ranked WHERE r > 1),
+cut AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(len(ps), 0) AS n_removed,
+       sha256(array_to_string(list_filter(ws, lambda x, p: NOT coalesce(list_contains(ps, p), false)), ' ')) AS kept_sha256
+FROM w LEFT JOIN cut USING (doc_id)""")
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words covered by a 20-word window that also starts earlier are cut."""
+    return substrings.digest(table(spark, sf_dir, "documents")).drop("cuts")
+
+
 @query("op10_exact_dedup", """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
