@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulse.llm import exact, quality, substrings
+from pulse.llm import exact, packing, quality, substrings
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +22,13 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return substrings.remove_repeats(docs)
 
 
-STAGES = [("quality_rules", quality_stage), ("exact_dedup", exact_stage), ("substring_dedup", substring_stage)]
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left goes into sequences of at most 1024 ids."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("quality_rules", quality_stage), ("exact_dedup", exact_stage), ("substring_dedup", substring_stage),
+          ("best_fit_packing", packing_stage)]
 ORACLE_SQL = None
 
 
