@@ -1,13 +1,16 @@
 """Removal of passages that repeat: Rabin-Karp hashes of every fixed-length window of words.
 
-Every window of ``size`` words gets a 64-bit rolling hash. Each task first keeps only the earliest
-occurrence of a hash in each slice of its input, so a passage held by a third of all rows reaches the
-exchange once per slice. What is left is dealt out by hash range; a task counts the windows of one
-range after the other and reports the positions of all occurrences but the earliest. The positions of a
-document (never more than its words) meet its text again, merge into maximal intervals and are cut.
+Every window of ``size`` words gets a rolling hash. Each task first keeps only the earliest occurrence
+of a hash in each slice of its input, so a passage held by a third of all rows reaches the exchange once
+per slice. What is left is dealt out by the window's smallest inner hash of ``INNER`` words (equal
+windows share it, and neighbours mostly do, so a run of windows needs one position). A task counts the
+windows of one range after the other and reports the positions of all occurrences but the earliest. The
+positions of a document (never more than its words) meet its text again, merge into maximal intervals
+and are cut.
 
 The number of ranges follows the number of input partitions, so a range stays small at any input size.
-Two different windows are taken for equal with probability 2^-64 a pair.
+56 bits of the hash are compared within a range: two different windows of one range are taken for equal
+with probability 2^-56.
 
 Defined results: an earlier window is one in a smaller doc_id or earlier in the same document; null
 ids come first; rows that share an id are told apart by a hash of their text, rows that share both are
@@ -30,12 +33,16 @@ from pulse.llm import texts
 SIZE = 20
 SLICE = 12 << 20
 RANGES_PER_PARTITION = 16
+INNER = 8
 FLUSH = 1 << 20
 
-DEALT = "part int, ids binary, contents binary, counts binary, hashes binary, at binary"
-_DEALT_ARROW = pa.schema([("part", pa.int32()), *((n, pa.binary()) for n in ("ids", "contents", "counts", "hashes", "at"))])
-FOUND = "__id long, __content long, at binary"
-_FOUND_ARROW = pa.schema([("__id", pa.int64()), ("__content", pa.int64()), ("at", pa.binary())])
+# One dealt row: the documents of a slice with windows in a range (first id and differences), the runs
+# of each, where each run starts, its length, and 7 bytes of every hash (none for known repeats).
+_FIELDS = ("ids", "contents", "runs", "starts", "lengths", "hashes")
+DEALT = "part int, first long, " + ", ".join(f"{n} binary" for n in _FIELDS)
+_DEALT_ARROW = pa.schema([("part", pa.int32()), ("first", pa.int64()), *((n, pa.binary()) for n in _FIELDS)])
+FOUND = "__id long, __content int, at binary"
+_FOUND_ARROW = pa.schema([("__id", pa.int64()), ("__content", pa.int32()), ("at", pa.binary())])
 NO_ID = -(1 << 63)
 
 
@@ -44,10 +51,42 @@ def _ids(column: pa.Array) -> np.ndarray:
 
 
 def _row(part: int, ids, contents, owner, hashes, at) -> tuple:
-    """One dealt row; ``owner`` ascends, so a count per document replaces an index per window."""
-    docs, counts = np.unique(owner, return_counts=True)
-    return (part, ids[docs].tobytes(), contents[docs].tobytes(), counts.astype(np.uint32).tobytes(),
-            hashes.tobytes(), at.astype(np.uint32).tobytes())
+    """One dealt row; windows ascend by document and position."""
+    begins = np.concatenate([[0], np.flatnonzero((owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1)) + 1])
+    lengths = np.diff(begins, append=len(at))
+    docs, runs = np.unique(owner[begins], return_counts=True)
+    steps = np.diff(ids[docs], prepend=ids[docs[:1]])
+    small = np.uint32 if len(steps) == 0 or 0 <= steps.min() and steps.max() < 1 << 32 else np.int64
+    return (part, int(ids[docs[0]]), steps.astype(small).tobytes(), contents[docs].tobytes(), runs.astype(np.uint32).tobytes(),
+            at[begins].astype(np.uint32).tobytes(), lengths.astype(np.uint32).tobytes(),
+            np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]).tobytes())
+
+
+def _unpack(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, contents, positions, hashes) of the windows of dealt rows."""
+    ids, contents, at = [], [], []
+    for _, first, steps, content, runs, starts, lengths, _ in rows:
+        content = np.frombuffer(content, np.int32)
+        steps = np.frombuffer(steps, np.uint32 if len(steps) == 4 * len(content) else np.int64).astype(np.int64)
+        runs, lengths = np.frombuffer(runs, np.uint32), np.frombuffer(lengths, np.uint32).astype(np.int64)
+        per_doc = np.add.reduceat(lengths, (np.cumsum(runs) - runs).astype(np.int64))
+        ids.append(np.repeat(first + np.cumsum(steps), per_doc))
+        contents.append(np.repeat(content, per_doc))
+        at.append(texts.ranges(np.frombuffer(starts, np.uint32).astype(np.int64), lengths))
+    raw = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(-1, 7)
+    hashes = np.zeros((len(raw), 8), np.uint8)
+    hashes[:, :7] = raw
+    return np.concatenate(ids), np.concatenate(contents), np.concatenate(at), hashes.view("<u8").ravel()
+
+
+def smallest_inner(hashes: np.ndarray, size: int, inner: int) -> np.ndarray:
+    """For each window of ``size`` words the smallest hash of its sub-windows of ``inner`` words."""
+    low, width, span = texts.window_hashes(hashes, inner), 1, size - inner + 1
+    while width < span:
+        step = min(width, span - width)
+        low = np.minimum(low[:-step], low[step:])
+        width += step
+    return low
 
 
 def _deal(size: int, ranges: int):
@@ -65,7 +104,9 @@ def _deal(size: int, ranges: int):
         inside = np.flatnonzero(texts.whole_windows(word_offsets, size))
         if not len(inside):
             return
-        hashes = texts.window_hashes(texts.word_hashes(data, starts, ends), size)[inside]
+        by_word = texts.word_hashes(data, starts, ends)
+        hashes = texts.window_hashes(by_word, size)[inside]
+        target = (texts.mix(smallest_inner(by_word, size, min(INNER, size))[inside]) >> shift).astype(kind)
         owner = np.searchsorted(word_offsets, inside, "right") - 1
         at = inside - word_offsets[owner]
         by_hash = np.argsort(hashes, kind="stable")
@@ -79,10 +120,9 @@ def _deal(size: int, ranges: int):
         else:
             again_or_copy = again
         if again.any():
-            yield _row(int(hashes[0] >> shift), ids, contents, owner[again], np.zeros(0, np.uint64), at[again])
+            yield _row(int(target[0]), ids, contents, owner[again], np.zeros(0, np.uint64), at[again])
         first = ~again_or_copy
-        hashes, owner, at = hashes[first], owner[first], at[first]
-        target = (hashes >> shift).astype(kind)
+        hashes, owner, at, target = hashes[first], owner[first], at[first], target[first]
         order = np.argsort(target, kind="stable")
         hashes, owner, at, target = hashes[order], owner[order], at[order], target[order]
         cuts = np.flatnonzero(np.diff(target)) + 1
@@ -96,7 +136,7 @@ def _deal(size: int, ranges: int):
                 held, weight = [], 0
                 for row in rows(part):
                     held.append(row)
-                    weight += len(row[4]) + len(row[5])
+                    weight += len(row[5]) + len(row[7])
                     if weight > FLUSH:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), _DEALT_ARROW.types)], schema=_DEALT_ARROW)
                         held, weight = [], 0
@@ -105,10 +145,6 @@ def _deal(size: int, ranges: int):
     return run
 
 
-def _join(parts: list[bytes], kind) -> np.ndarray:
-    return np.frombuffer(b"".join(parts), kind)
-
-
 def later_ones(hashes: np.ndarray, ids: np.ndarray, contents: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Indexes of all entries but the earliest of each hash."""
     order = np.argsort(hashes, kind="stable")
@@ -137,10 +173,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(ids[lows]), pa.array(contents[lows]), at_column], schema=_FOUND_ARROW)
 
     def settle(rows: list[tuple]) -> int:
-        counts = [np.frombuffer(r[3], np.uint32) for r in rows]
-        ids, contents = (np.repeat(_join([r[k] for r in rows], np.int64), np.concatenate(counts)) for k in (1, 2))
-        at = _join([r[5] for r in rows], np.uint32)
-        hashes = _join([r[4] for r in rows], np.uint64)
+        ids, contents, at, hashes = _unpack(rows)
         n = len(at) - len(hashes)  # rows without hashes come first: known repeats
         if n:
             pending.append((ids[:n], contents[:n], at[:n]))
@@ -152,7 +185,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             if held and row[0] != held[0][0]:
-                waiting += settle(sorted(held, key=lambda r: len(r[4]) > 0))
+                waiting += settle(sorted(held, key=lambda r: len(r[7]) > 0))
                 held = []
                 if waiting > FLUSH:
                     yield flush()
@@ -160,7 +193,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     waiting = 0
             held.append(row)
     if held:
-        waiting += settle(sorted(held, key=lambda r: len(r[4]) > 0))
+        waiting += settle(sorted(held, key=lambda r: len(r[7]) > 0))
     if waiting:
         yield flush()
 
@@ -173,7 +206,7 @@ def repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(docs["doc_id"].cast("long").alias("__id"), F.xxhash64(docs["text"]).alias("__content"), docs["text"])
+    return docs.select(docs["doc_id"].cast("long").alias("__id"), F.hash(docs["text"]).alias("__content"), docs["text"])
 
 
 def covered(n_words: int, at: np.ndarray, size: int) -> np.ndarray:
@@ -195,7 +228,7 @@ def with_cuts(docs: DataFrame, size: int = SIZE) -> DataFrame:
     found = (repeats(keyed(docs), size).groupBy("__id", "__content")
              .agg(F.collect_list("at").alias("__at")))
     own = docs.withColumns({"__own": F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)),
-                            "__own_content": F.xxhash64(docs["text"])})
+                            "__own_content": F.hash(docs["text"])})
     return own.join(found, (F.col("__own") == F.col("__id")) & (F.col("__own_content") == F.col("__content")), "left")
 
 
