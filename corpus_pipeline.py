@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulse.llm import exact, packing, quality, substrings
+from pulse.llm import exact, jaccard, packing, quality, substrings
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,6 +17,11 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.deduplicate(docs, smallest=False)
 
 
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of documents with five-word shingles alike by 80 per cent the smallest doc_id stays."""
+    return jaccard.keep_one(docs, words=5, share=80)
+
+
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 20 words or more that an earlier document (or part) holds are cut."""
     return substrings.remove_repeats(docs)
@@ -27,7 +32,8 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack_documents(docs)
 
 
-STAGES = [("quality_rules", quality_stage), ("exact_dedup", exact_stage), ("substring_dedup", substring_stage),
+STAGES = [("quality_rules", quality_stage), ("exact_dedup", exact_stage), ("jaccard_join", jaccard_stage),
+          ("substring_dedup", substring_stage),
           ("best_fit_packing", packing_stage)]
 ORACLE_SQL = None
 
