@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulse.llm import bpe, exact, hosts, jaccard, packing, quality, substrings
+from pulse.llm import bpe, chat, exact, hosts, jaccard, packing, passages, quality, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,6 +33,32 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
 
 
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Noisy-or of sentence scores."""
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("offending")
+
+
+@query("op3_chat_format", """
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length(regexp_replace(replace(role, '\\', '\\\\'), '(<|\\[)(\\||/?s>|/?INST\\]|</?SYS>>)', '\\1\\\\\\2', 'g'))
+              + length(regexp_replace(replace(text, '\\', '\\\\'), '(<|\\[)(\\||/?s>|/?INST\\]|</?SYS>>)', '\\1\\\\\\2', 'g')) + 24 AS width FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(width) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id""")
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, a record per turn, and conversation -1."""
+    said = F.lit("</s>[INST] ok [/INST]")
+    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    record = F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"})
+    return chat.digests(chat.format_records(rows.select("conv_id", "turn", record.alias("record"))))
+
+
 @query("op4_jaccard_join", """
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -66,6 +92,13 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(table(spark, sf_dir, "documents")).drop("cuts")
 
 
+@query("op6_passage_quality")
+def op6_passage_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attention over passages."""
+    found = passages.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 @query("op7_bpe")
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and what they decode to."""
