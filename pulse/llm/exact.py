@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulse.llm import texts
 from pulse.session import stored
 
 TRIE_BYTES = 24 << 20
@@ -217,10 +218,11 @@ def deduplicate(docs: DataFrame, smallest: bool = True) -> DataFrame:
     The decisions are narrow and written once, so the planner knows how many rows they drop.
     """
     groups = stored(exact_groups(docs.select("doc_id", "text"), smallest), "exact-groups")
-    dropped = groups.filter(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__gone_sha")).distinct()
-    repeated = stored(groups.filter("kept and keep_rows > 1").select(F.col("text_sha256").alias("__again")).distinct(), "exact-repeats")
-    keyed = docs.withColumn("__sha", F.sha2(body(docs["text"]), 256))
-    stay = keyed.join(dropped, keyed["doc_id"].eqNullSafe(F.col("__gone")) & (F.col("__sha") == F.col("__gone_sha")), "left_anti")
-    once = stay.join(repeated, F.col("__sha") == F.col("__again"), "left_anti")
-    twice = stay.join(repeated, F.col("__sha") == F.col("__again"), "left_semi").dropDuplicates(["__sha"])
+    sha, gone, gone_sha, again = (texts.fresh(n, docs) for n in ("sha", "gone", "gone_sha", "again"))
+    dropped = groups.filter(~F.col("kept")).select(F.col("doc_id").alias(gone), F.col("text_sha256").alias(gone_sha)).distinct()
+    repeated = stored(groups.filter("kept and keep_rows > 1").select(F.col("text_sha256").alias(again)).distinct(), "exact-repeats")
+    keyed = docs.withColumn(sha, F.sha2(body(docs["text"]), 256))
+    stay = keyed.join(dropped, F.col("doc_id").cast("long").eqNullSafe(F.col(gone)) & (F.col(sha) == F.col(gone_sha)), "left_anti")
+    once = stay.join(repeated, F.col(sha) == F.col(again), "left_anti")
+    twice = stay.join(repeated, F.col(sha) == F.col(again), "left_semi").dropDuplicates([sha])
     return once.unionByName(twice).select(*(F.col(f"`{c}`") for c in docs.columns))

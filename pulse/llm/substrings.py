@@ -223,18 +223,18 @@ def intervals(gone: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(steps == 1).tolist(), np.flatnonzero(steps == -1).tolist()))
 
 
-def with_cuts(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """All columns of ``docs`` and __at: an array of binary pieces, null when nothing repeats."""
-    found = (repeats(keyed(docs), size).groupBy("__id", "__content")
-             .agg(F.collect_list("at").alias("__at")))
-    own = docs.withColumns({"__own": F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)),
-                            "__own_content": F.hash(docs["text"])})
-    return own.join(found, (F.col("__own") == F.col("__id")) & (F.col("__own_content") == F.col("__content")), "left")
+def with_cuts(docs: DataFrame, at: str, size: int = SIZE) -> DataFrame:
+    """All columns of ``docs`` and ``at``: an array of binary pieces, null when nothing repeats."""
+    own, own_content, other, other_content = (texts.fresh(n, docs) for n in ("own", "own_content", "other", "other_content"))
+    found = (repeats(keyed(docs), size).groupBy(F.col("__id").alias(other), F.col("__content").alias(other_content))
+             .agg(F.collect_list("at").alias(at)))
+    rows = docs.withColumns({own: F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)), own_content: F.hash(docs["text"])})
+    return rows.join(found, (F.col(own) == F.col(other)) & (F.col(own_content) == F.col(other_content)), "left")
 
 
-def _cut_rows(part: pa.RecordBatch, size: int) -> Iterator[tuple[int, int, bytes | None, list]]:
+def _cut_rows(part: pa.RecordBatch, at: str, size: int) -> Iterator[tuple[int, int, bytes | None, list]]:
     """(words, removed, kept words joined by a space, intervals) of each row."""
-    for text, pieces in zip(part.column("text").to_pylist(), part.column("__at").to_pylist()):
+    for text, pieces in zip(part.column("text").to_pylist(), part.column(at).to_pylist()):
         words = (text or "").encode().split()
         if not pieces:
             yield len(words), 0, b" ".join(words), []
@@ -248,28 +248,28 @@ def digest(docs: DataFrame, size: int = SIZE) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in texts.slices(batch, "text"):
-                rows = [(n, gone, hashlib.sha256(kept).hexdigest(), [list(c) for c in cuts]) for n, gone, kept, cuts in _cut_rows(part, size)]
+                rows = [(n, gone, hashlib.sha256(kept).hexdigest(), [list(c) for c in cuts]) for n, gone, kept, cuts in _cut_rows(part, "at", size)]
                 n, gone, sha, cuts = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()),
                      pa.array(cuts, pa.list_(pa.list_(pa.int32())))],
                     names=["doc_id", "n_words", "n_removed", "kept_sha256", "cuts"])
-    rows = with_cuts(docs.select("doc_id", "text"), size).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "__at")
+    rows = with_cuts(docs.select("doc_id", "text"), "at", size).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "at")
     return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, cuts array<array<int>>")
 
 
 def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """``docs`` with repeated passages cut from ``text`` (others keep their text as it is) and, where
     there is such a column, ``n_chars`` counted anew."""
-    names = docs.columns
+    names, at = docs.columns, texts.fresh("at", docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in texts.slices(batch, "text"):
                 old = part.column("text").to_pylist()
-                new = [t if not gone else kept.decode() for t, (_, gone, kept, _) in zip(old, _cut_rows(part, size))]
+                new = [t if not gone else kept.decode() for t, (_, gone, kept, _) in zip(old, _cut_rows(part, at, size))]
                 columns = [part.column(c) for c in names]
                 columns[names.index("text")] = pa.array(new, part.schema.field("text").type)
                 yield pa.RecordBatch.from_arrays(columns, names=names)
-    cut = with_cuts(docs, size).select(*(F.col(f"`{c}`") for c in names), "__at").mapInArrow(run, docs.schema)
+    cut = with_cuts(docs, at, size).select(*(F.col(f"`{c}`") for c in names), at).mapInArrow(run, docs.schema)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else cut

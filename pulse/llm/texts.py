@@ -156,6 +156,14 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def fresh(name: str, frame) -> str:
+    """``name``, made longer until no column of the frame has it."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def partitions(frame) -> int:
     """Input partitions of a DataFrame; grows with the input and sizes what is dealt out by hash."""
     return max(1, frame.rdd.getNumPartitions())
