@@ -2,11 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from pulse.operators import fuse, insights, lexical, sufficiency
+from pulse.operators import fuse, insights, lexical, sufficiency, vector
 from pulse.operators.sufficiency import GATE
 from pulse.plans.catalog import query
+from pulse.plans.queries_search import FUSED
 from pulse.plans.queries_stats import REMEDIES, SUFFICIENCY, gate_sufficiency, gates_sql
-from pulse.plans.twin import CONTENT, LEXICAL, TELEMETRY, sql
+from pulse.plans.twin import CONTENT, LEXICAL, TELEMETRY, nearest_sql, sql
 from pulse.session import stored
 
 GATES = (TELEMETRY, CONTENT, gates_sql(), REMEDIES, SUFFICIENCY)
@@ -25,17 +26,24 @@ KEY_SQL = "check_id || '/' || stat || '/' || stat_kind || '/' || CAST(threshold
 
 
 def narrative(t):
-    """Narrative records as one-chunk search corpus."""
-    return t.records().filter(F.col("type").isin(*insights.NARRATIVE_TYPES)).select(
+    """Narrative records as one-chunk search corpus; `vec_id` = part number gives the vectors."""
+    vectors = t.raw("embeddings").select(
+        F.concat(F.lit("Part_"), F.col("vec_id").cast("string")).alias("record_id"), "embedding")
+    told = t.records().filter(F.col("type").isin(*insights.NARRATIVE_TYPES))
+    return told.join(vectors, "record_id", "left").select(
         F.concat("record_id", F.lit("#0")).alias("chunk_id"), "record_id", "type", "name",
-        "source", F.col("full_text").alias("text"), F.sha2("record_id", 256).alias("text_hash"))
+        "source", F.col("full_text").alias("text"), F.sha2("full_text", 256).alias("text_hash"),
+        "embedding")
 
 
-def search(t, queries):
+def search(t, queries, query_vectors):
+    """Hybrid search of the narrative records; CANDIDATE_PASSAGES hits a query."""
     chunks = narrative(t)
-    found = lexical.lexical_scores(lexical.term_positions(chunks),
+    found = lexical.lexical_scores(lexical.term_positions(chunks.drop("embedding")),
                                    lexical.parse_queries(queries), stored)
-    return fuse.hits(fuse.fuse(lexical.top_lexical(found), None), chunks)
+    near = vector.nearest(chunks, query_vectors, lexical.CANDIDATES)
+    return fuse.hits(fuse.fuse(lexical.top_lexical(found), near), chunks.drop("embedding"),
+                     insights.CANDIDATE_PASSAGES)
 
 
 def gates_and_remedies(t):
@@ -49,13 +57,19 @@ def gates_and_remedies(t):
 def evidence(t):
     gates, top = gates_and_remedies(t)
     keys = gates.withColumn("query_id", insights.gate_id())
-    # prose search per stat: the name of the record numbered like the stat stands for its theme
-    theme = t.records().select(F.concat(F.lit("st"), F.substring("record_id", 6, 20))
-                               .alias("stat"), F.col("name").alias("text"))
+    stats = gates.select("stat").distinct()
     # both kinds of query run as one search; their ids tell them apart
-    asked = gates.select("stat").distinct().join(theme, "stat").select(
-        F.col("stat").alias("query_id"), "text").unionByName(insights.name_queries(top, " or "))
-    found = stored(search(t, asked), "hits")  # bounded: ten per query
+    asked = stats.select(F.col("stat").alias("query_id"),
+                         insights.situation_text(F.col("stat")).alias("text")).unionByName(
+                             insights.name_queries(top))
+    # the given vectors stand for an embedder: a stat asks with the vector of its number, a gate's
+    # names with that of its strongest remedy
+    known = t.raw("embeddings").select(F.col("vec_id").cast("string").alias("n"),
+                                       F.col("embedding").alias("vector"))
+    asks = stats.select(F.col("stat").alias("query_id"), F.substring("stat", 3, 20).alias("n")).unionByName(
+        top.filter("rank = 1").select(insights.gate_id().alias("query_id"), F.substring("record_id", 6, 20).alias("n")))
+    vectors = known.join(asks, "n").select("query_id", "vector")
+    found = stored(search(t, asked, vectors), "hits")  # bounded: forty per query
     situational = keys.select("query_id", "stat").join(
         found.withColumnRenamed("query_id", "stat"), "stat").drop("stat")
     by_name = found.join(keys.select("query_id"), "query_id", "left_semi")
@@ -69,20 +83,27 @@ def evidence(t):
     return insights.assemble(gates, top, passages)
 
 
-@query("evidence_assembly", sql(*GATES, TOP, f"""
+EVIDENCE = (TOP, f"""
 passages AS (
-  SELECT record_id || '#0' AS chunk_id, record_id, full_text AS text FROM records
+  SELECT record_id || '#0' AS chunk_id, record_id, type, name, source, full_text AS text,
+    sha256(full_text) AS text_hash FROM records
   WHERE type IN ('INFO', 'BOOK')),
 query_texts AS (
-  SELECT DISTINCT stat AS query_id, name AS text
-  FROM gates JOIN records ON record_id = 'Part_' || substr(stat, 3)
+  SELECT DISTINCT stat AS query_id, 'how can I improve my ' || stat ||
+    ', or get help passing a difficult ' || stat || ' check' AS text
+  FROM gates
   UNION ALL
-  SELECT {KEY_SQL}, string_agg(name, ' or ' ORDER BY rank) FROM top GROUP BY 1)""", LEXICAL,
-    f""",
-found AS (
-  SELECT query_id, record_id,
-    row_number() OVER (PARTITION BY query_id ORDER BY lexical_rank) AS rank
-  FROM ranked_lexical JOIN passages USING (chunk_id) QUALIFY rank <= 10),
+  SELECT {KEY_SQL}, string_agg(name, ' ' ORDER BY rank) FROM top GROUP BY 1),
+vectors AS (
+  SELECT chunk_id, CAST(embedding AS DOUBLE[]) AS v
+  FROM embeddings JOIN passages ON record_id = 'Part_' || CAST(vec_id AS VARCHAR)),
+query_vectors AS (
+  SELECT query_id, CAST(embedding AS DOUBLE[]) AS q FROM (
+    SELECT DISTINCT stat AS query_id, substr(stat, 3) AS n FROM gates
+    UNION ALL SELECT {KEY_SQL}, substr(record_id, 6) FROM top WHERE rank = 1)
+  JOIN embeddings ON CAST(vec_id AS VARCHAR) = n)""", LEXICAL, nearest_sql(100),
+            FUSED.replace("rank <= 10", "rank <= 40"), f"""
+found AS (SELECT query_id, record_id, rank FROM hits),
 keys AS (SELECT {KEY_SQL} AS gate, * FROM classified),
 lists AS (
   SELECT gate, 0 AS list_no, record_id, rank FROM keys JOIN found ON query_id = gate
@@ -98,9 +119,12 @@ once AS (
 placed AS (
   SELECT gate, record_id, row_number() OVER (PARTITION BY gate ORDER BY turn, list_no) AS place
   FROM once WHERE n = 1 QUALIFY place <= 8),
-told AS (SELECT gate, string_agg(record_id, ',' ORDER BY place) AS passages FROM placed GROUP BY 1),
+told AS (SELECT gate, string_agg(record_id, ',' ORDER BY place) AS passages FROM placed GROUP BY 1)""")
+
+
+@query("evidence_assembly", sql(*GATES, *EVIDENCE, f"""
 named AS (SELECT {KEY_SQL} AS gate, string_agg(record_id, ',' ORDER BY rank) AS remedies
-          FROM top GROUP BY 1)""".lstrip(","), body="""
+          FROM top GROUP BY 1)""", body="""
 SELECT check_id, stat, stat_kind, threshold, fails, gap_p90, verdict,
   coalesce(remedies, '') AS remedies, coalesce(passages, '') AS passages,
   CASE WHEN passages IS NULL THEN 'no_evidence' ELSE 'ready' END AS status
@@ -113,15 +137,6 @@ def _(t):
                               ids("passages"), "status")
 
 
-def plain_evidence(t):
-    """Gates with remedies and no passages: enough for the text checks."""
-    gates, top = gates_and_remedies(t)
-    none = narrative(t).limit(0).select(
-        F.lit("").alias("query_id"), F.lit(1).alias("place"), "record_id", "name",
-        F.col("text").alias("snippet"))
-    return insights.assemble(gates, top, none)
-
-
 def candidates(evidence_rows):
     """A drafted text per gate; some invent a number, cite a stranger, promise goods or are blank."""
     fails = F.col("fails") + F.when(F.col("threshold") == 100, 100000).otherwise(0)
@@ -145,7 +160,7 @@ SELECT check_id, stat, stat_kind, threshold,
   CASE WHEN stat = 'st2' THEN 2 ELSE 0 END AS reachability_claim
 FROM classified"""))
 def _(t):
-    rows = plain_evidence(t)
+    rows = evidence(t)
     checked = insights.check(candidates(rows), rows)
     rules = ("empty_field", "unknown_number", "uncited_record", "reachability_claim")
 
@@ -160,23 +175,24 @@ SELECT check_id, stat, stat_kind, threshold, 'Lower the bar' AS recommendation,
   'pending' AS status
 FROM classified WHERE stat NOT IN ('st2', 'st3') AND stat_kind <> 'skill' AND threshold <> 100"""))
 def _(t):
-    rows = plain_evidence(t)
+    rows = evidence(t)
     stored = insights.accept(insights.check(candidates(rows), rows),
                              F.lit("2024-01-31").cast("timestamp"), 3, "external")
     return stored.select(*GATE, "recommendation", "prompt_version", "status")
 
 
-@query("requested_gates", sql(*GATES, body="""
+@query("requested_gates", sql(*GATES, *EVIDENCE, body="""
 , asked AS (
   SELECT DISTINCT check_id, stat, stat_kind, threshold FROM telemetry
   WHERE type = 'SkillCheckResolved')
 SELECT check_id, stat, stat_kind, threshold,
-  CASE WHEN fails IS NULL THEN 'no_gate' ELSE 'no_evidence' END AS status
-FROM asked LEFT JOIN classified USING (check_id, stat, stat_kind, threshold)"""))
+  CASE WHEN fails IS NULL THEN 'no_gate' WHEN passages IS NULL THEN 'no_evidence'
+       ELSE 'ready' END AS status
+FROM asked LEFT JOIN keys USING (check_id, stat, stat_kind, threshold) LEFT JOIN told USING (gate)"""))
 def _(t):
     # every check ever resolved asks for evidence; those nobody failed have no gate
     asked = t.unordered().filter(F.col("type") == "SkillCheckResolved").select(*GATE)
-    return insights.requested_status(asked, plain_evidence(t))
+    return insights.requested_status(asked, evidence(t))
 
 
 @query("matched_gates", sql(*GATES, body="""

@@ -9,6 +9,8 @@ from pulse.plans import rollup
 from pulse.plans.catalog import query
 from pulse.plans.queries_stats import AFTER, ATTEMPTS, NEXT, TO_PASS
 from pulse.plans.twin import TELEMETRY, sql
+from pulse.plans.versions import Versions
+from pulse.session import scratch_path
 
 AS_OF = datetime(2024, 1, 20)
 SETTLED = """
@@ -18,7 +20,7 @@ settled AS (
 
 
 def settled(t):
-    return rollup.settled(t.unordered(), F.lit(AS_OF))
+    return rollup.settled(t.unordered(), F.lit(AS_OF)).select("session_id")
 
 
 @query("settled_sessions", sql(TELEMETRY, SETTLED, body=" SELECT * FROM settled"))
@@ -40,26 +42,35 @@ def _(t):
     return sequence.confrontation_attempts(rollup.only(t.telemetry(), settled(t)))
 
 
-def halves(t):
-    """Folded and live events, as two sets of whole sessions."""
-    events = t.telemetry()
-    done = settled(t)
-    return rollup.only(events, done), rollup.only(events, rollup.unfolded(events, done))
+# Two runs of the standing job, just after session boundaries of the feed.
+FOLDS = (datetime(2024, 1, 10, 0, 2), datetime(2024, 1, 19, 0, 2))
+NOW = datetime(2024, 1, 31)
+DONE = "done AS (" + " UNION ".join(f"""
+  SELECT session_id FROM telemetry WHERE received_us < epoch_us(TIMESTAMP '{at}') GROUP BY ALL
+  HAVING max(received_us) < epoch_us(TIMESTAMP '{at}') - 600000000""" for at in FOLDS) + ")"
+_folded: dict[tuple[str, str], Versions] = {}
+
+
+def folded_store(t):
+    """The rollup after both folds; written once for each session and folder, then only read."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _folded:
+        store = Versions(t.spark, scratch_path(t.spark, "rollup"))
+        for at in FOLDS:
+            seen = t.telemetry().filter(F.col("received_at") < F.lit(at))
+            rollup.fold(store, seen, F.lit(at))
+        _folded[key] = store
+    return _folded[key]
 
 
 @query("hybrid_after_failure", sql(TELEMETRY, NEXT, AFTER, body=" SELECT * FROM after_failure"))
 def _(t):
-    folded, live = halves(t)
-    return sequence.after_failure(
-        sequence.after_failure_partials(folded, *rollup.GRAIN).unionByName(
-            sequence.after_failure_partials(live, *rollup.GRAIN)))
+    return rollup.friction_read(folded_store(t), t.telemetry())[0]
 
 
 @query("hybrid_attempts_to_pass", sql(TELEMETRY, ATTEMPTS, TO_PASS, body=" SELECT * FROM to_pass"))
 def _(t):
-    folded, live = halves(t)
-    return sequence.attempts_to_pass(sequence.confrontation_attempts(folded).unionByName(
-        sequence.confrontation_attempts(live)))
+    return rollup.friction_read(folded_store(t), t.telemetry())[1]
 
 
 @query("rollup_equals_recompute", sql(TELEMETRY, body="""
@@ -67,26 +78,49 @@ SELECT count(*) AS rows, 0 AS only_in_one FROM (
   SELECT DISTINCT session_id, suspect, topic FROM telemetry
   WHERE type = 'ConfrontationAttempted')"""))
 def _(t):
-    # symmetric difference of the two halves' union and a full recompute
-    folded, live = halves(t)
-    union = sequence.confrontation_attempts(folded).unionByName(
-        sequence.confrontation_attempts(live))
-    full = sequence.confrontation_attempts(t.telemetry())
+    # symmetric difference of what the folds wrote, with the live rest, and a full recompute
+    store, events = folded_store(t), t.telemetry()
+    live = rollup.only(events, rollup.unfolded(events, store.read_all("sessions_done")))
+    union = sequence.confrontation_attempts(live).unionByName(
+        store.read_all("attempts").drop("version"))
+    full = sequence.confrontation_attempts(events)
     differing = rollup.difference(union, full).agg(F.count("*").cast("int").alias("only_in_one"))
     return full.agg(F.count("*").alias("rows")).crossJoin(F.broadcast(differing))
 
 
-@query("live_coverage", sql(TELEMETRY, SETTLED, body="""
-SELECT count(DISTINCT session_id) AS live_sessions,
-  count(DISTINCT session_id) FILTER (WHERE received_us > epoch_us(TIMESTAMP '2024-01-31')
-    - 86400000000) AS in_window
-FROM telemetry WHERE session_id NOT IN (SELECT session_id FROM settled)"""))
+@query("fold_log", sql(TELEMETRY, DONE, body="""
+SELECT (SELECT count(*) FROM done) AS sessions_folded, 2 AS runs"""))
+def _(t):
+    return folded_store(t).commits().agg(F.sum("sessions_folded").alias("sessions_folded"),
+                                         F.count("*").cast("int").alias("runs"))
+
+
+@query("rebuilt_rollup", sql(TELEMETRY, NEXT, body=f"""
+, at_end AS (
+  SELECT session_id FROM telemetry WHERE received_us < epoch_us(TIMESTAMP '{FOLDS[-1]}') GROUP BY ALL
+  HAVING max(received_us) < epoch_us(TIMESTAMP '{FOLDS[-1]}') - 600000000)
+SELECT env, mod_id, suspect, topic, next_action, count(*) AS count
+FROM fails WHERE session_id IN (SELECT session_id FROM at_end) GROUP BY ALL"""))
+def _(t):
+    at = F.lit(FOLDS[-1])
+    store = rollup.rebuild(t.spark, scratch_path(t.spark, "rebuilt"),
+                           t.telemetry().filter(F.col("received_at") < at), at)
+    return store.read_all("friction").select(*rollup.GRAIN, *sequence.PARTIAL_KEYS, "count")
+
+
+@query("live_coverage", sql(TELEMETRY, DONE, body=f"""
+SELECT epoch(TIMESTAMP '{NOW}') - epoch(TIMESTAMP '{FOLDS[-1]}') AS fold_stale_seconds,
+  count(DISTINCT session_id) AS live_sessions,
+  count(DISTINCT session_id) FILTER (WHERE received_us > epoch_us(TIMESTAMP '{NOW}') - 86400000000)
+    AS in_window
+FROM telemetry WHERE session_id NOT IN (SELECT session_id FROM done)"""))
 def _(t):
-    events, done = t.unordered(), settled(t)
-    live = rollup.unfolded(events, done).agg(F.count("*").alias("live_sessions"))
-    recent = rollup.unfolded(events, done, F.lit(datetime(2024, 1, 31)), timedelta(days=1)).agg(
+    store, events = folded_store(t), t.unordered()
+    recent = rollup.unfolded(events, store.read_all("sessions_done"), F.lit(NOW), timedelta(days=1)).agg(
         F.count("*").alias("in_window"))
-    return live.crossJoin(F.broadcast(recent))
+    state = rollup.coverage(store, events, F.lit(NOW))
+    return state.select(F.col("fold_stale_seconds").cast("double").alias("fold_stale_seconds"),
+                        "live_sessions").crossJoin(F.broadcast(recent))
 
 
 @query("late_after_fold", sql(TELEMETRY, body=""",
@@ -94,7 +128,7 @@ early AS (
   SELECT session_id FROM telemetry WHERE received_us < epoch_us(TIMESTAMP '2024-01-17 12:00:00')
   GROUP BY ALL HAVING max(received_us) < epoch_us(TIMESTAMP '2024-01-17 12:00:00') - 600000000)
 SELECT session_id, seq, type FROM telemetry JOIN early USING (session_id)
-WHERE received_us > epoch_us(TIMESTAMP '2024-01-17 12:00:00')"""))
+WHERE received_us >= epoch_us(TIMESTAMP '2024-01-17 12:00:00')"""))
 def _(t):
     # a fold in the middle of the month, seen from its end
     at = F.lit(datetime(2024, 1, 17, 12))

@@ -22,9 +22,11 @@ GRAIN = ("env", "mod_id")
 
 def settled(events: DataFrame, as_of: Column, done: DataFrame | None = None,
             lateness: timedelta = LATENESS) -> DataFrame:
-    """Sessions whose newest delivery is older than `lateness` (arrival time, not event time)."""
-    idle = (events.groupBy("session_id").agg(F.max("received_at").alias("last_at"))
-            .filter(F.col("last_at") < as_of - F.lit(lateness)).select("session_id"))
+    """(session_id, last_at, events) of sessions whose newest delivery is older than `lateness`
+    (arrival time, not event time)."""
+    idle = (events.groupBy("session_id").agg(F.max("received_at").alias("last_at"),
+                                             F.count(F.lit(1)).alias("events"))
+            .filter(F.col("last_at") < as_of - F.lit(lateness)))
     return idle if done is None else idle.join(done.select("session_id"), "session_id",
                                                "left_anti")
 
@@ -54,15 +56,13 @@ def fold(store: Versions, events: DataFrame, as_of: Column,
     done = store.read_all("sessions_done")
     version = (store.latest() or 0) + 1
     # written before it is used, so all three outputs come from the same set whatever arrives
-    settled(events, as_of, done, lateness).withColumn("rolled_at", as_of).write.mode(
-        "overwrite").parquet(store._path("sessions_done", version))
+    store.write_uncommitted("sessions_done", version,
+                            settled(events, as_of, done, lateness).withColumn("rolled_at", as_of))
     sessions = store.read("sessions_done", version)
     folded = sessions.count()
     rows = only(events, sessions)
-    sequence.after_failure_partials(rows, *GRAIN).write.mode("overwrite").parquet(
-        store._path("friction", version))
-    sequence.confrontation_attempts(rows).write.mode("overwrite").parquet(
-        store._path("attempts", version))
+    store.write_uncommitted("friction", version, sequence.after_failure_partials(rows, *GRAIN))
+    store.write_uncommitted("attempts", version, sequence.confrontation_attempts(rows))
     store.commit(version, store.spark.range(1).select(
         as_of.alias("last_run_at"), F.lit(folded).cast("long").alias("sessions_folded")))
     return folded
@@ -93,9 +93,21 @@ def coverage(store: Versions, events: DataFrame, as_of: Column) -> DataFrame:
 
 
 def late_after_fold(events: DataFrame, done: DataFrame) -> DataFrame:
-    """Events that arrived after their session was folded: stored, but never in the rollup."""
-    return events.join(done.select("session_id", "rolled_at"), "session_id").filter(
-        F.col("received_at") > F.col("rolled_at")).drop("rolled_at")
+    """Events newer than what their session's fold saw: stored, but never in the rollup.
+
+    Compared with the newest arrival that was folded, not with the time of the fold: a batch that
+    was stamped before a fold and became visible after it is late as well.
+    """
+    return events.join(done.select("session_id", "last_at"), "session_id").filter(
+        F.col("received_at") > F.col("last_at")).drop("last_at")
+
+
+def changed_sessions(events: DataFrame, done: DataFrame) -> DataFrame:
+    """(session_id, folded, now) of folded sessions that hold another number of events by now,
+    whatever arrival time the new ones carry."""
+    now = events.groupBy("session_id").agg(F.count(F.lit(1)).alias("now"))
+    return (now.join(done.select("session_id", F.col("events").alias("folded")), "session_id")
+            .filter("now <> folded").select("session_id", "folded", "now"))
 
 
 def rebuild(spark: SparkSession, base: str, events: DataFrame, as_of: Column) -> Versions:

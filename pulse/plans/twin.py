@@ -108,8 +108,7 @@ placements AS (
   SELECT 'area' || CAST(s_nationkey AS VARCHAR) AS area, s_nationkey % 2 = 0 AS is_exterior,
     lower('Part_' || CAST(l_partkey AS VARCHAR)) AS item_record_id,
     CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS count
-  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
-  WHERE l_returnflag = 'R' GROUP BY ALL)"""
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)"""
 
 DOCS = """
 docs AS (
@@ -153,15 +152,16 @@ firsts AS (
   FROM embeddings GROUP BY label),
 query_texts AS (
   SELECT 'label' || CAST(label AS VARCHAR) AS query_id,
-    concat_ws(' or ', w[1], w[3], w[5]) AS text
+    array_to_string(w, ' or ') AS text
   FROM (SELECT label, string_split(string_split(text, chr(10))[1], ' ') AS w
         FROM firsts JOIN documents USING (doc_id)))"""
 
 WEB_TEXTS = QUERY_TEXTS.replace("query_texts AS", "plain_texts AS") + """,
 query_texts AS (
-  SELECT query_id, '"' || w[1] || ' ' || w[2] || '" ' || w[3] || ' or ' || w[4] || ' -' || w[5]
-    AS text
-  FROM (SELECT query_id, string_split(text, ' ') AS w FROM plain_texts) WHERE len(w) >= 5)"""
+  SELECT query_id, CASE WHEN len(w) >= 5
+    THEN '"' || w[1] || ' ' || w[2] || '" ' || array_to_string(w[3:len(w) - 1], ' or ') || ' -' || w[len(w)]
+    ELSE text END AS text
+  FROM (SELECT query_id, text, string_split(text, ' ') AS w FROM plain_texts))"""
 
 
 def _terms(word: str) -> str:

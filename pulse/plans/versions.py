@@ -9,12 +9,26 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 
+# A folder that is not there, or holds no data file yet. Any other error is a fault of the storage or
+# of a file, and must not be taken for an empty table.
+NOTHING_THERE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
+def read_if_there(reader: DataFrameReader, path: str) -> DataFrame | None:
+    """A Parquet table, or None before anything was written."""
+    try:
+        return reader.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in NOTHING_THERE:
+            return None
+        raise
+
+
 class Versions:
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base.rstrip("/")
@@ -25,10 +39,7 @@ class Versions:
 
     def commits(self) -> DataFrame | None:
         """Committed versions with their run details; None before the first one."""
-        try:
-            return self.spark.read.option("mergeSchema", "true").parquet(self._path("commits"))
-        except (AnalysisException, Py4JJavaError):
-            return None
+        return read_if_there(self.spark.read.option("mergeSchema", "true"), self._path("commits"))
 
     def latest(self) -> int | None:
         commits = self.commits()
@@ -38,10 +49,14 @@ class Versions:
         """Write all tables of one version, then its one-row commit record."""
         version = (self.latest() or 0) + 1
         for name, rows in tables.items():
-            rows.write.mode("overwrite").parquet(self._path(name, version))
+            self.write_uncommitted(name, version, rows)
         self.commit(version, details)
         return version
 
+    def write_uncommitted(self, table: str, version: int, rows: DataFrame) -> None:
+        """One table of a version; readers see it once the version is committed."""
+        rows.write.mode("overwrite").parquet(self._path(table, version))
+
     def commit(self, version: int, details: DataFrame | None = None) -> None:
         row = details if details is not None else self.spark.range(1).select(
             F.current_timestamp().alias("committed_at"))

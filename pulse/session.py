@@ -38,7 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's setting, or a new one when it is unset."""
     folder = spark.conf.get(CHECKPOINT_SETTING, None)
     if not folder:
-        # only reached in local mode, where driver and executors share one machine
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError(f"{CHECKPOINT_SETTING} must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set(CHECKPOINT_SETTING, folder)
     return folder.rstrip("/")

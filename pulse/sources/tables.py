@@ -234,8 +234,7 @@ class Tables:
 
     def sightings(self) -> DataFrame:
         """Single objects seen by the world survey, before the tally."""
-        returned = self.raw("lineitem").filter(F.col("l_returnflag") == "R")
-        return returned.join(self.raw("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(
+        return self.raw("lineitem").join(self.raw("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(
             _id("area", F.col("s_nationkey")).alias("area"),
             (F.col("s_nationkey") % 2 == 0).alias("is_exterior"),
             F.lower(_id("Part_", F.col("l_partkey"))).alias("item_record_id"),
@@ -332,21 +331,23 @@ class Tables:
                 .select(_id("label", F.col("label")).alias("query_id"), "vector"))
 
     def hybrid_queries(self) -> DataFrame:
-        """Query vectors with a text: three words of the passage each vector belongs to."""
+        """Query vectors with a text: the words of the first line of the passage of each vector, any
+        of which may match."""
         first = self.raw("embeddings").groupBy("label").agg(
             F.min("vec_id").alias("doc_id"), F.min_by("embedding", "vec_id").alias("vector"))
         words = F.split(F.split("text", "\n")[0], " ")
-        parts = [F.try_element_at(words, F.lit(i)) for i in (1, 3, 5)]
         return first.join(self.raw("documents").select("doc_id", "text"), "doc_id").select(
             _id("label", F.col("label")).alias("query_id"),
-            F.concat_ws(" or ", *parts).alias("text"), "vector")
+            F.array_join(words, " or ").alias("text"), "vector")
 
     def web_queries(self) -> DataFrame:
-        """Benchmark lines rewritten with a phrase, an alternative and an exclusion."""
+        """Every benchmark line rewritten as a phrase of its first two words, then its other words as
+        alternatives, the last one excluded (when there are five)."""
         w = F.split("text", " ")
-        return self.benchmark_queries().filter(F.size(w) >= 5).select("query_id", F.concat(
-            F.lit('"'), w[0], F.lit(" "), w[1], F.lit('" '), w[2], F.lit(" or "), w[3],
-            F.lit(" -"), w[4]).alias("text"))
+        rest = F.array_join(F.slice(w, 3, F.greatest(F.size(w) - 3, F.lit(1))), " or ")
+        return self.benchmark_queries().select("query_id", F.when(F.size(w) >= 5, F.concat(
+            F.lit('"'), w[0], F.lit(" "), w[1], F.lit('" '), rest, F.lit(" -"),
+            F.element_at(w, -1))).otherwise(F.col("text")).alias("text"))
 
     def benchmark_queries(self) -> DataFrame:
         """Every line of every benchmark item as one search text."""

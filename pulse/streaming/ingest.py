@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from pulse.plans.versions import read_if_there
 from pulse.sources import ingest
 from pulse.sources.schemas import EVENTS
 
@@ -31,10 +31,8 @@ def drop_repeats(events: DataFrame, within: str = "1 hour") -> DataFrame:
 
 
 def stored_keys(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path).select(*ingest.KEY)
-    except AnalysisException:
-        return None  # nothing was written yet
+    rows = read_if_there(spark.read, path)
+    return None if rows is None else rows.select(*ingest.KEY)
 
 
 def append_batch(lines: DataFrame, batch_id: int, base: str, env: str) -> None:
