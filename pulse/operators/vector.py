@@ -1,8 +1,8 @@
 """Vector retrieval: exact and cluster-pruned nearest neighbours by cosine distance.
 
 Comparing every query with every chunk is the definition of exact search; what must not happen is
-writing those pairs out. Distances are computed as matrix products inside tasks and each task emits
-at most `k` rows per query.
+writing those pairs out. Distances are computed as matrix products of bounded blocks inside tasks and
+each block emits at most `k` rows per query.
 """
 
 from __future__ import annotations
@@ -14,10 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Query vectors up to this many bytes are shipped to the tasks; more are matched block by block.
-BROADCAST_BYTES = 32 * 1024 * 1024
+# Rows that one task holds of each side, and distances it computes at a time (8 bytes each).
 QUERY_BLOCK = 2_000
 CHUNK_BLOCK = 50_000
+STEP = 2_000_000
+# Most cells that are shipped to tasks: with 1,024 dimensions, 64 MB.
+MOST_CELLS = 8_192
 
 _FOUND = "query_id string, chunk_id string, distance double"
 
@@ -55,28 +57,6 @@ def _table(query_ids: list[str], ids: np.ndarray, distance: np.ndarray) -> pa.Ta
                      "distance": pa.array(distance, pa.float64())})
 
 
-def _scan(query_ids: np.ndarray, queries: np.ndarray, k: int):
-    """Arrow batches of (chunk_id, embedding) -> running best k per query."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple[np.ndarray, np.ndarray]] = [
-            (np.empty(0, dtype=object), np.empty(0))] * len(query_ids)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            distances = _distances(queries, _matrix(batch.column(1)))
-            for q, row in enumerate(distances):
-                pick = _best(ids, row, k)
-                all_ids = np.concatenate([kept[q][0], ids[pick]])
-                all_d = np.concatenate([kept[q][1], row[pick]])
-                again = _best(all_ids, all_d, k)
-                kept[q] = (all_ids[again], all_d[again])
-        for q, (ids, distance) in enumerate(kept):
-            yield from _table([query_ids[q]] * len(ids), ids, distance).to_batches()
-
-    return run
-
-
 def _rank(found: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("query_id").orderBy(F.asc("distance"), F.asc("chunk_id"))
     return found.withColumn("vector_rank", F.row_number().over(best)).filter(
@@ -84,32 +64,38 @@ def _rank(found: DataFrame, k: int) -> DataFrame:
 
 
 def _match_blocks(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Best k per query within each (cell, slot); both sides hold bounded blocks.
+    """Best k per query within each (cell, slot, turn); both sides hold bounded blocks.
 
     Chunks may carry a `strength` and queries an `at_least` that a match has to reach.
     """
     measured = "strength" in chunks.columns
 
-
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _table([], np.empty(0, dtype=object), np.empty(0))
-        ids = left["chunk_id"].to_numpy()
-        distances = _distances(_matrix(right["vector"]), _matrix(left["embedding"]))
-        if measured:
-            weak = left["strength"].to_numpy() < right["at_least"].to_numpy()[:, None]
-            distances[weak] = np.nan
-        parts = []
-        for query_id, row in zip(right["query_id"].to_pylist(), distances):
-            pick = _best(ids, row, k)
-            parts.append(_table([query_id] * len(pick), ids[pick], row[pick]))
-        return pa.concat_tables(parts)
+        names = right["query_id"].to_pylist()
+        asked = _matrix(right["vector"])
+        step = max(k, STEP // len(names))
+        kept = [(np.empty(0, dtype=object), np.empty(0))] * len(names)
+        for at in range(0, left.num_rows, step):
+            part = left.slice(at, step)
+            ids = part["chunk_id"].to_numpy()
+            distances = _distances(asked, _matrix(part["embedding"]))
+            if measured:
+                distances[part["strength"].to_numpy() < right["at_least"].to_numpy()[:, None]] = np.nan
+            for q, row in enumerate(distances):
+                pick = _best(ids, row, k)
+                all_ids = np.concatenate([kept[q][0], ids[pick]])
+                all_distances = np.concatenate([kept[q][1], row[pick]])
+                again = _best(all_ids, all_distances, k)
+                kept[q] = all_ids[again], all_distances[again]
+        return pa.concat_tables([_table([name] * len(ids), ids, far) for name, (ids, far) in zip(names, kept)])
 
     extra = (["strength"], ["at_least"]) if measured else ([], [])
-    left = chunks.select("cell", "slot", "chunk_id", "embedding", *extra[0])
-    right = queries.select("cell", "slot", "query_id", "vector", *extra[1])
-    return (left.groupBy("cell", "slot").cogroup(right.groupBy("cell", "slot"))
-            .applyInArrow(run, _FOUND))
+    block = ["cell", "slot", "turn"]
+    left = chunks.select(*block, "chunk_id", "embedding", *extra[0])
+    right = queries.select(*block, "query_id", "vector", *extra[1])
+    return left.groupBy(*block).cogroup(right.groupBy(*block)).applyInArrow(run, _FOUND)
 
 
 def _embedded(chunks: DataFrame) -> DataFrame:
@@ -117,31 +103,16 @@ def _embedded(chunks: DataFrame) -> DataFrame:
     return chunks.filter(F.col("embedding").isNotNull()).select("chunk_id", "embedding")
 
 
-def nearest(chunks: DataFrame, queries: DataFrame, k: int,
-            broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def nearest(chunks: DataFrame, queries: DataFrame, k: int, block: int = CHUNK_BLOCK,
+            query_block: int = QUERY_BLOCK) -> DataFrame:
     """Exact k nearest chunks per query: (query_id, chunk_id, distance, vector_rank).
 
     Filter `chunks` before the call to restrict the search; filtering its result would lose hits.
+    All chunks form one cell, cut into blocks on both sides like any other.
     """
-    chunks = _embedded(chunks)
-    size = queries.select(F.count("*").alias("n"),
-                          F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("d")).first()
-    if size["n"] * size["d"] * 8 <= broadcast_bytes:
-        rows = queries.select("query_id", "vector").collect()  # size checked above
-        if not rows:
-            return chunks.sparkSession.createDataFrame([], f"{_FOUND}, vector_rank int")
-        ids = np.array([r["query_id"] for r in rows], dtype=object)
-        matrix = np.array([r["vector"] for r in rows], dtype=np.float64)
-        return _rank(chunks.mapInArrow(_scan(ids, matrix, k), _FOUND), k)
-    cells = -(-size["n"] // QUERY_BLOCK)
-    slots = max(1, -(-chunks.count() // CHUNK_BLOCK))
-    spread = chunks.select("*", F.pmod(F.xxhash64("chunk_id"), F.lit(slots)).alias("slot"),
-                           F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
-    asked = queries.select("query_id", "vector",
-                           F.pmod(F.xxhash64("query_id"), F.lit(cells)).cast("int").alias("cell"),
-                           F.explode(F.sequence(F.lit(0).cast("long"),
-                                                F.lit(slots - 1).cast("long"))).alias("slot"))
-    return _rank(_match_blocks(spread, asked, k), k)
+    whole = F.lit("all").alias("cell")
+    return _rank(_in_cells(_embedded(chunks).select("*", whole),
+                           queries.select("query_id", "vector", whole), k, block, query_block), k)
 
 
 def train_centroids(chunks: DataFrame, cells: int, seed: int = 7) -> DataFrame:
@@ -183,21 +154,27 @@ def nearest_within(chunks: DataFrame, queries: DataFrame, k: int,
     return _rank(_in_cells(chunks.filter(F.col("embedding").isNotNull()), queries, k, block), k)
 
 
-def _in_cells(chunks: DataFrame, queries: DataFrame, k: int, block: int) -> DataFrame:
-    """Cut each cell into slots of about `block` chunks and match slot by slot."""
+def _in_cells(chunks: DataFrame, queries: DataFrame, k: int, block: int,
+              query_block: int = QUERY_BLOCK) -> DataFrame:
+    """Cut each cell into slots of about `block` chunks and turns of about `query_block` queries,
+    and match them block by block, so neither a dense nor a popular cell becomes one task."""
     # one row per cell; cells are centroids or filter values, not data
-    sizes = chunks.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("long").alias("slots"))
-    spread = chunks.join(sizes, "cell").withColumn(
-        "slot", F.pmod(F.xxhash64("chunk_id"), F.col("slots")))
-    probing = queries.join(sizes, "cell").withColumn(
-        "slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)))
+    asked = queries.groupBy("cell").agg(F.ceil(F.count("*") / query_block).cast("long").alias("turns"))
+    sizes = chunks.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("long").alias("slots")).join(asked, "cell")
+    every = {c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{c}s") - 1)) for c in ("slot", "turn")}
+    spread = (chunks.join(sizes, "cell").withColumn("slot", F.pmod(F.xxhash64("chunk_id"), F.col("slots")))
+              .withColumn("turn", every["turn"]))
+    probing = (queries.join(sizes, "cell").withColumn("turn", F.pmod(F.xxhash64("query_id"), F.col("turns")))
+               .withColumn("slot", every["slot"]))
     return _match_blocks(spread, probing, k)
 
 
 def assign_cells(chunks: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Chunks with the id of their nearest centroid. Centroids are a fixed, small table."""
-    rows = (centroids.select("query_id", "vector").orderBy("query_id")
+    """Chunks with the id of their nearest centroid, of which there are MOST_CELLS at most."""
+    rows = (centroids.select("query_id", "vector").orderBy("query_id").limit(MOST_CELLS + 1)
             .collect())  # one row per cell; sorted, so ties go to the smaller id
+    if len(rows) > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} cells")
     ids = np.array([r["query_id"] for r in rows], dtype=object)
     centres = np.array([r["vector"] for r in rows], dtype=np.float64)
 

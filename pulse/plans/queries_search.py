@@ -1,5 +1,6 @@
 """Registered queries: lexical, vector and hybrid retrieval."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pulse.functions import vectors
@@ -64,8 +65,8 @@ def knn_exact(t):
 
 @query("knn_blocks", sql(VECTORS, nearest_sql(10), body=" SELECT * FROM near"))
 def _(t):
-    # the same search on the path taken when the queries are too many to ship
-    return vector.nearest(t.vectors(), t.query_vectors(), 10, broadcast_bytes=0)
+    # the same search cut into many small blocks on both sides
+    return vector.nearest(t.vectors(), t.query_vectors(), 10, block=70, query_block=3)
 
 
 @query("knn_filtered", sql(VECTORS, DOCS, nearest_sql(
@@ -118,6 +119,27 @@ def _(t):
     return vector.recall(knn_exact(t), knn_pruned(t), 10)
 
 
+CELLS, PROBES = 8, (1, 2, 4, 8)
+
+
+@query("recall_by_probes", sql(VECTORS, nearest_sql(10), body=f"""
+SELECT probes, (SELECT count(*) FROM near) AS expected, true AS none_lost, true AS whole_when_all
+FROM (VALUES {", ".join(f"({p})" for p in PROBES)}) AS v(probes)"""))
+def _(t):
+    # cells trained on the vectors; recall never falls with more probes and is whole with all
+    truth, chunks = knn_exact(t), t.vectors()
+    cells = stored(vector.train_centroids(chunks, CELLS), "centroids")
+    rows = None
+    for probes in PROBES:
+        found = vector.nearest_pruned(chunks, t.query_vectors(), cells, 10, probes)
+        row = vector.recall(truth, found, 10).withColumn("probes", F.lit(probes))
+        rows = row if rows is None else rows.unionByName(row)
+    # one row per number of probes
+    before = F.lag("found", 1, 0).over(Window.orderBy("probes"))
+    return rows.select("probes", "expected", (F.col("found") >= before).alias("none_lost"),
+                       ((F.col("probes") < CELLS) | (F.col("found") == F.col("expected"))).alias("whole_when_all"))
+
+
 @query("truncated_vectors", sql(VECTORS, body=""",
 heads AS (SELECT vec_id, v[1:16] AS h, sqrt(list_dot_product(v[1:16], v[1:16])) AS n FROM vectors)
 SELECT vec_id, len(h) AS dims, round(list_sum(h) / n, 6) AS total, CAST(1 AS DOUBLE) AS norm FROM heads"""))

@@ -353,7 +353,7 @@ def test_vector_paths_agree_and_skip_missing_vectors(spark, tables):
         spark.createDataFrame([("none", None), ("zero", [0.0] * 64)],
                               "chunk_id string, embedding array<float>"))
     a = vector.nearest(data, tables.query_vectors(), 5)
-    b = vector.nearest(data, tables.query_vectors(), 5, broadcast_bytes=0)
+    b = vector.nearest(data, tables.query_vectors(), 5, block=40, query_block=2)
     assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty() and a.count() == 50
     # every cell probed makes the pruned search exact, cut into many slots or not
     centres = vector.train_centroids(data.filter("chunk_id <> 'zero'"), 4)
