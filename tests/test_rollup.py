@@ -1,5 +1,6 @@
 """Fold invariants: nothing is counted twice or lost, whatever the order of folds."""
 
+import pathlib
 from datetime import datetime
 
 import pytest
@@ -99,3 +100,39 @@ def test_shuffled_and_repeated_input_changes_nothing(events):
     from pulse.sources.ingest import first_delivery
     noisy = first_delivery(events.unionByName(events).orderBy(F.rand(5)))
     assert equal(full(noisy)[0], full(events)[0]) and equal(full(noisy)[1], full(events)[1])
+
+
+def test_a_damaged_commit_is_an_error_and_not_an_empty_store(spark, scratch):
+    base = scratch("damaged")
+    store = Versions(spark, base)
+    assert store.latest() is None
+    store.write({"rows": spark.range(3)})
+    store.write({"rows": spark.range(5)})
+    part = next(p for p in pathlib.Path(base, "commits", "version=2").iterdir() if p.name.startswith("part-"))
+    part.write_bytes(b"no longer a table")
+    part.with_name(f".{part.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(Exception):
+        store.latest()
+    with pytest.raises(Exception):
+        store.write({"rows": spark.range(9)})
+    assert spark.read.parquet(f"{base}/rows/version=1").count() == 3
+
+
+def test_a_slow_batch_is_reported_late(spark, scratch):
+    columns = "session_id string, install_id string, seq long, block long, type string, env string, mod_id string, suspect string, " \
+        "topic string, passed boolean, completed boolean, ts timestamp, received_at timestamp"
+
+    def event(seq, minute, passed):
+        at = datetime(2024, 1, 1, 11, minute)
+        return ("s", "i", seq, 0, "ConfrontationAttempted", "prod", "m", "a", "t", passed, None, at, at)
+    seen = spark.createDataFrame([event(0, 10, False), event(1, 20, False)], columns)
+    store = Versions(spark, scratch("slow"))
+    assert rollup.fold(store, seen, F.lit(datetime(2024, 1, 1, 12))) == 1
+    # stamped before the fold, visible only after it
+    now = seen.unionByName(spark.createDataFrame([event(2, 40, True)], columns))
+    done = store.read_all("sessions_done")
+    assert [r.seq for r in rollup.late_after_fold(now, done).collect()] == [2]
+    # one stamped even before the newest folded arrival shows in the count
+    odd = seen.unionByName(spark.createDataFrame([event(3, 15, True)], columns))
+    assert [tuple(r) for r in rollup.changed_sessions(odd, done).collect()] == [("s", 2, 3)]
+    assert rollup.changed_sessions(seen, done).isEmpty()
