@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pulse.functions.text import strip_markup
 from pulse.operators.blocked import BLOCK, carry_last
 from pulse.operators.once import compute_once
+from pulse.session import stored
 
 SEPARATOR = "\nRecord: "
 CONTAINER = "DIAL"
@@ -76,23 +77,35 @@ def assemble(rows: DataFrame) -> DataFrame:
     settles = (F.when(ends, F.when(_left_open(after_end) == _left_open(F.col("body")),
                                    _left_open(F.col("body"))))
                .when(_left_open(F.col("body")), F.lit(True)))
-    stated = carry_last(compute_once(rows, settles=settles), ["file"], "pos",
-                        {"inside": F.col("settles")}).drop("settles")
     head = F.substring_index("body", "\n", 1)
-    header = ~F.coalesce("inside", F.lit(False)) & head.rlike(HEADER)
-    typed = stated.withColumns({
-        "type": F.when(header, F.regexp_extract(head, HEADER, 1)),
-        "quoted_id": F.when(header, F.regexp_extract(head, HEADER, 2))}).drop("inside")
+    named = head.rlike(HEADER)
+    # the regular expressions run once; what follows reads narrow columns of the written rows
+    rows = stored(compute_once(rows, settles=settles).withColumns({
+        "head_type": F.when(named, F.regexp_extract(head, HEADER, 1)),
+        "head_id": F.when(named, F.regexp_extract(head, HEADER, 2))}), "dump-rows")
+    stated = carry_last(rows.drop("body"), ["file"], "pos", {"inside": F.col("settles")})
+    header = ~F.coalesce("inside", F.lit(False)) & F.col("head_type").isNotNull()
+    typed = stated.withColumns({"type": F.when(header, F.col("head_type")),
+                                "quoted_id": F.when(header, F.col("head_id"))})
     # a record row is never a container row, so counting the row itself changes nothing for it
     owned = carry_last(typed, ["file"], "pos", {
         "rec": F.when(F.col("type").isNotNull(), F.col("pos")),
         "dial": F.when(F.col("type") == CONTAINER, F.col("quoted_id"))}, inclusive=True)
-    owned = owned.filter(F.col("rec").isNotNull())
-    pieces = F.sort_array(F.collect_list(F.struct("pos", "body")))
-    return owned.groupBy("file", F.col("rec").alias("pos")).agg(
+    owned = owned.filter(F.col("rec").isNotNull()).select(
+        "file", "pos", "rec", "type", "quoted_id", "dial")
+    # a block still open at the end of its file has no text; what it quotes is left uncollected
+    unclosed = rows.groupBy("file").agg(F.max_by("settles", F.when(
+        F.col("settles").isNotNull(), F.col("pos"))).alias("open")).filter("open")
+    ends = owned.groupBy("file").agg(F.max("rec").alias("last_rec")).join(unclosed, "file")
+    pieces = (rows.select("file", "pos", "body").join(owned, ["file", "pos"])
+              .join(ends.select("file", "last_rec"), "file", "left")
+              .filter((F.col("pos") == F.col("rec")) | F.col("last_rec").isNull()
+                      | (F.col("rec") < F.col("last_rec"))))
+    in_order = F.sort_array(F.collect_list(F.struct("pos", "body")))
+    return pieces.groupBy("file", F.col("rec").alias("pos")).agg(
         F.max("type").alias("type"), F.max("quoted_id").alias("quoted_id"),
         F.max(F.when(F.col("type").isNotNull(), F.col("dial"))).alias("dial"),
-        F.array_join(F.transform(pieces, lambda p: p["body"]), SEPARATOR).alias("body"))
+        F.array_join(F.transform(in_order, lambda p: p["body"]), SEPARATOR).alias("body"))
 
 
 def parse(rows: DataFrame) -> DataFrame:
