@@ -18,7 +18,8 @@ def live_types(type_col: Column | None = None) -> Column:
 
 
 def next_action(suspect: Column, topic: Column, nxt: Column) -> Column:
-    """Bucket what followed a failed attempt. One definition for batch, fold and stream.
+    """Bucket what followed a failed attempt, for batch and fold; the stream's state machine has the
+    same ladder for one pair of events (`streaming.settle.bucket`), held equal by a test.
 
     A null suspect or topic compares as unknown, so it cannot read as a retry of the same topic.
     """

@@ -3,12 +3,17 @@
 The session is digested as it arrives. Sequence numbers are dense, so events are consumed in order
 as soon as they are contiguous and only the out-of-order remainder is buffered; running counters
 hold the rest. State is bounded by disorder and by the number of buckets, not by session length.
-Events of a session that was already emitted come out as `late` rows and change nothing.
+Events of a session that was already emitted come out as `late` rows and change nothing; a session is
+forgotten `FORGET` after that, and what comes later still is told by comparing with the fold log.
+
+Silence is measured on the arrival watermark (for replays) or on the clock of the job, which goes on
+when traffic stops (for the standing job).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,6 +23,8 @@ from pyspark.sql.streaming.stateful_processor import (ExpiredTimerInfo, Stateful
 
 from pulse.functions.verdicts import RETIRED_TYPES
 
+FORGET = timedelta(days=2)
+
 OUTPUT = ("session_id string, kind string, install_id string, suspect string, topic string, "
           "next_action string, count long, gap_count long, sum_gap_us long, total_attempts long, "
           "attempts_to_pass long, seq long")
@@ -49,6 +56,10 @@ def row(**values) -> pd.DataFrame:
 
 
 class SettleSessions(StatefulProcessor):
+    def __init__(self, idle_ms: int | None, forget_ms: int):
+        """`idle_ms`: silence on the job's clock; None waits for the arrival watermark."""
+        self.idle_ms, self.forget_ms = idle_ms, forget_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.progress = handle.getValueState("progress", PROGRESS)
@@ -83,12 +94,14 @@ class SettleSessions(StatefulProcessor):
         for old in self.handle.listTimers():
             self.handle.deleteTimer(old)
         # the watermark already trails the newest arrival by the allowed lateness
-        self.handle.registerTimer(state["last_ms"])
+        self.handle.registerTimer(state["last_ms"] if self.idle_ms is None else
+                                  timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
         self._save(state)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo: ExpiredTimerInfo):
         state = self._load()
         if state["emitted"]:
+            self.progress.clear()
             return
         # whatever is still missing was lost on the way; the rest is consumed in order
         for (seq,), found in sorted((tuple(k), tuple(v)) for k, v in self.buffer.iterator()):
@@ -107,6 +120,7 @@ class SettleSessions(StatefulProcessor):
             part.clear()
         state.update(emitted=True, waiting=False)
         self._save(state)
+        self.handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + self.forget_ms)
 
     def close(self) -> None:
         pass
@@ -143,12 +157,22 @@ class SettleSessions(StatefulProcessor):
             state.update(waiting=True, suspect=at[0], topic=at[1], ts_us=event["ts_us"])
 
 
-def settle(events: DataFrame, lateness: str = "10 minutes") -> DataFrame:
+def settle(events: DataFrame, lateness: str = "10 minutes", idle: timedelta | None = None,
+           forget: timedelta = FORGET) -> DataFrame:
     """Streaming events -> one `after_failure` row per bucket and one `attempts` row per subject of
-    each settled session, plus `late` rows. Lateness is measured on arrival time."""
-    narrow = events.withWatermark("received_at", lateness).select(
+    each settled session, plus `late` rows.
+
+    A session settles when the arrival watermark has passed its newest event by `lateness`, or, with
+    `idle`, when the job has heard nothing of it for so long.
+    """
+    watermarked = events.withWatermark("received_at", lateness) if idle is None else events
+    narrow = watermarked.select(
         "session_id", "install_id", "seq", "type", "suspect", "topic", "passed", "completed",
         F.unix_micros("ts").alias("ts_us"), F.unix_millis("received_at").alias("received_ms"),
         "received_at")
+
+    def ms(span: timedelta) -> int:
+        return int(span.total_seconds() * 1000)
     return narrow.groupBy("session_id").transformWithStateInPandas(
-        SettleSessions(), OUTPUT, "Append", "EventTime")
+        SettleSessions(None if idle is None else ms(idle), ms(forget)), OUTPUT, "Append",
+        "EventTime" if idle is None else "ProcessingTime")

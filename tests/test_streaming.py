@@ -1,10 +1,14 @@
 """Streaming ingest and the stateful fold agree with their batch forms."""
 
 import json
+import time
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from pulse.functions import verdicts
 from pulse.operators import sequence
+from pulse.plans.versions import Versions
 from pulse.streaming import ingest as stream
 from pulse.streaming import settle as settling
 
@@ -125,3 +129,58 @@ def test_late_events_are_reported(spark, tmp_path):
     drain()
     late = spark.read.parquet(str(tmp_path / "out")).filter("kind = 'late'").collect()
     assert [(r.session_id, r.seq) for r in late] == [("old", 1)]
+
+
+def test_the_last_session_settles_when_traffic_stops(spark, tmp_path):
+    columns = ("session_id string, install_id string, seq long, type string, suspect string, topic string, "
+               "passed boolean, completed boolean, ts timestamp, received_at timestamp")
+    at = datetime(2024, 1, 1, 10)
+    rows = [("s", "i", n, "ConfrontationAttempted", "a", "t", n == 1, None, at, at) for n in range(2)]
+    spark.createDataFrame(rows, columns).coalesce(1).write.parquet(str(tmp_path / "in"))
+    events = spark.readStream.schema(columns).parquet(str(tmp_path / "in"))
+    q = (settling.settle(events, idle=timedelta(seconds=2), forget=timedelta(seconds=2))
+         .writeStream.format("memory").queryName("idle").outputMode("append")
+         .option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="1 second").start())
+    try:
+        for _ in range(120):
+            time.sleep(0.5)
+            if spark.table("idle").count() == 2:
+                break
+        got = {r.kind: r for r in spark.table("idle").collect()}
+        assert got["attempts"].attempts_to_pass == 2 and got["after_failure"].next_action == "retried_same"
+        for _ in range(120):  # and its state goes
+            time.sleep(0.5)
+            if q.lastProgress and sum(o["numRowsTotal"] for o in q.lastProgress["stateOperators"]) == 0:
+                break
+        assert sum(o["numRowsTotal"] for o in q.lastProgress["stateOperators"]) == 0
+    finally:
+        q.stop()
+
+
+def test_the_standing_fold_runs_on_its_cadence(spark, tables, tmp_path):
+    store = Versions(spark, str(tmp_path / "store"))
+    events = tables.telemetry().filter(F.col("received_at") < F.lit(datetime(2024, 1, 10, 0, 2)))
+    pings = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    q = stream.start_fold(pings, store, lambda: events, lambda: F.lit(datetime(2024, 1, 10, 0, 2)),
+                             str(tmp_path / "ck"), every="1 second")
+    try:
+        for _ in range(240):
+            time.sleep(0.5)
+            if (store.latest() or 0) >= 2:
+                break
+    finally:
+        q.stop()
+    runs = store.commits().orderBy("version").collect()
+    assert len(runs) >= 2 and runs[0].sessions_folded > 0 and runs[1].sessions_folded == 0
+
+
+def test_the_two_ladders_agree(spark):
+    kinds = ["ConfrontationAttempted", "ConfrontationExited", "AreaEntered", "Other"]
+    rows = [(a, b, k, c, d, e) for a in ("x", None) for b in ("t", None) for k in kinds
+            for c in ("x", "y", None) for d in ("t", None) for e in (True, False, None)]
+    frame = spark.createDataFrame(rows, "suspect string, topic string, type string, s2 string, t2 string, completed boolean")
+    nxt = F.struct("type", F.col("s2").alias("suspect"), F.col("t2").alias("topic"), "completed")
+    got = frame.select("*", verdicts.next_action(F.col("suspect"), F.col("topic"), nxt).alias("action")).collect()
+    for r in got:
+        event = {"type": r.type, "suspect": r.s2, "topic": r.t2, "completed": r.completed}
+        assert settling.bucket(r.suspect, r.topic, event) == r.action
