@@ -1,6 +1,6 @@
 """Registered queries: lexical, vector and hybrid retrieval."""
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulse.functions import vectors
@@ -12,9 +12,22 @@ from pulse.plans.twin import (CONTENT, DOCS, HYBRID_TEXTS, LEXICAL, PASSAGES, QU
 from pulse.session import stored
 
 
+_index: dict[tuple[str, str], DataFrame] = {}
+
+
+def lexical_index(t):
+    """Term positions of the corpus, written once for each session and folder, ordered by term."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _index:
+        positions = lexical.term_positions(t.lines())
+        # by range of (term, chunk), so a popular term is split
+        _index[key] = stored(positions.repartitionByRange("term", "chunk_id")
+                             .sortWithinPartitions("term", "chunk_id"), "lexical-index")
+    return _index[key]
+
+
 def scores(t, queries):
-    return lexical.lexical_scores(lexical.term_positions(t.passages()),
-                                  lexical.parse_queries(queries), stored)
+    return lexical.lexical_scores(lexical_index(t), lexical.parse_queries(queries), stored)
 
 
 # ---- lexical -------------------------------------------------------------------------------------
@@ -23,7 +36,7 @@ def scores(t, queries):
 SELECT term, count(*) AS occurrences, count(DISTINCT chunk_id) AS chunks
 FROM positions GROUP BY ALL"""))
 def _(t):
-    return lexical.term_positions(t.passages()).groupBy("term").agg(
+    return lexical_index(t).groupBy("term").agg(
         F.count("*").alias("occurrences"), F.count_distinct("chunk_id").alias("chunks"))
 
 
@@ -50,8 +63,8 @@ SELECT query_id, record_id, round(max(score), 6) AS best, round(avg(score), 6) A
 FROM scores JOIN passages USING (chunk_id) GROUP BY ALL"""))
 def _(t):
     found = scores(t, t.web_queries())
-    best = fuse.record_scores(found, t.passages())
-    mean = fuse.record_scores(found, t.passages(), "avg")
+    best = fuse.record_scores(found, t.lines())
+    mean = fuse.record_scores(found, t.lines(), "avg")
     return best.withColumnRenamed("score", "best").join(
         mean.withColumnRenamed("score", "mean"), ["query_id", "record_id"])
 
@@ -178,7 +191,7 @@ def _(t):
 @query("text_embedding", sql(PASSAGES, body="""
 SELECT DISTINCT text_hash, 32 AS dims, CAST(1 AS DOUBLE) AS norm FROM passages"""))
 def _(t):
-    texts = t.passages().groupBy("text_hash").agg(F.min("text").alias("text"))
+    texts = t.lines().groupBy("text_hash").agg(F.min("text").alias("text"))
     embedded = texts.select("text_hash", vectors.hash_embedder(32).column(F.col("text"))
                             .alias("v"))
     return embedded.select("text_hash", F.size("v").alias("dims"),
@@ -214,7 +227,7 @@ def _(t):
     queries = t.hybrid_queries()
     fused = fuse.fuse(lexical.top_lexical(scores(t, queries)),
                       vector.nearest(t.passages(), t.query_vectors(), lexical.CANDIDATES))
-    return fuse.hits(fused, t.passages()).select(
+    return fuse.hits(fused, t.lines()).select(
         *SHOWN, F.round("rrf_score", 6).alias("rrf_score"))
 
 
@@ -225,7 +238,7 @@ SELECT query_id, chunk_id, record_id, type, name, source, lexical_rank, vector_r
   'lexical' AS mode, rank FROM hits"""))
 def _(t):
     fused = fuse.fuse(lexical.top_lexical(scores(t, t.benchmark_queries())), None)
-    return fuse.hits(fused, t.passages()).select(*SHOWN)
+    return fuse.hits(fused, t.lines()).select(*SHOWN)
 
 
 @query("remedy_recommendation", sql(TELEMETRY, CONTENT, gates_sql(), REMEDIES, VECTORS, body=f""",

@@ -294,21 +294,27 @@ class Tables:
                 .select("file", F.floor(F.col("at") / 300).alias("block"),
                         (F.col("at") * 4 + F.col("i")).alias("pos"), "body"))
 
-    def passages(self) -> DataFrame:
-        """Search corpus: documents as records, their lines as chunks.
-
-        `vec_id = doc_id` embeds the first line of a document; other chunks have no vector yet.
-        """
+    def lines(self) -> DataFrame:
+        """Search corpus without vectors: documents as records, their lines as chunks."""
         docs = self.documents()
         lines = (docs.select("doc_id", "record_id", "type", "name", "source",
                              F.posexplode(F.split("full_text", "\n")).alias("ordinal", "text"))
                  .filter(F.trim("text") != ""))
+        return lines.select(
+            F.concat("record_id", F.lit("#"), F.col("ordinal").cast("string")).alias("chunk_id"),
+            "doc_id", "record_id", "ordinal", "type", "name", "source", "text",
+            F.sha2("text", 256).alias("text_hash"))
+
+    def passages(self) -> DataFrame:
+        """`lines` with their vectors.
+
+        `vec_id = doc_id` embeds the first line of a document; other chunks have no vector yet.
+        """
         vectors = self.raw("embeddings").select(
             F.col("vec_id").alias("doc_id"), F.lit(0).alias("ordinal"), "embedding")
-        return lines.join(vectors, ["doc_id", "ordinal"], "left").select(
-            F.concat("record_id", F.lit("#"), F.col("ordinal").cast("string")).alias("chunk_id"),
-            "record_id", "ordinal", "type", "name", "source", "text",
-            F.sha2("text", 256).alias("text_hash"), "embedding")
+        return self.lines().join(vectors, ["doc_id", "ordinal"], "left").select(
+            "chunk_id", "record_id", "ordinal", "type", "name", "source", "text", "text_hash",
+            "embedding")
 
     def documents(self) -> DataFrame:
         kind = (F.when(F.col("lang") == "en", "BOOK").when(F.col("lang") == "fr", "INFO")
