@@ -9,6 +9,8 @@ from pulse.operators.sufficiency import placement_tally
 from pulse.plans import corpus_refresh
 from pulse.plans.catalog import query
 from pulse.plans.twin import CONTENT, DOCS, sql
+from pulse.plans.versions import Versions
+from pulse.session import scratch_path
 from pulse.sources import dump, survey
 
 MODEL = hash_embedder(32)
@@ -96,6 +98,48 @@ def _(t):
     return survey.placements(survey.parse(survey_lines(t)))
 
 
+# Each damage and what the survey must say to it.
+DAMAGES = {"fine": ([], True), "no_footer": (["no footer"], True), "no_header": (["no header"], None),
+           "short": (["row count differs from footer"], True), "garbled": (["unreadable line"], True),
+           "foreign": ([], False)}
+
+
+@query("survey_refusals", sql(CONTENT, body="""
+SELECT damage, CAST(placed - CASE WHEN damage = 'short' THEN 1 ELSE 0 END AS BIGINT) AS placements, refusals, order_ok
+FROM (SELECT count(*) AS placed FROM placements), (VALUES """ + ", ".join(
+    f"('{name}', '{';'.join(said)}', {'NULL' if ok is None else str(ok).lower()})"
+    for name, (said, ok) in DAMAGES.items()) + """) AS v(damage, refusals, order_ok)"""))
+def _(t):
+    lines = survey_lines(t)
+    holds = {part: F.col("line").contains(f'"kind":"{part}"') for part in ("header", "footer")}
+    first = placement_tally(t.sightings()).agg(F.min(F.struct("area", "item_record_id")).alias("f"))
+    gone = first.select(F.concat(F.lit('"area":"'), F.col("f.area"), F.lit('"')).alias("a"),
+                        F.concat(F.lit('"item_id":"'), F.upper("f.item_record_id"), F.lit('"')).alias("i"))
+    # one row: the placement that the short manifest lacks
+    marked = lines.crossJoin(F.broadcast(gone))
+    damaged = {
+        "fine": lines, "no_footer": lines.filter(~holds["footer"]), "no_header": lines.filter(~holds["header"]),
+        "short": marked.filter(~(F.col("line").contains(F.col("a")) & F.col("line").contains(F.col("i")))).drop("a", "i"),
+        "garbled": lines.unionByName(lines.filter(holds["header"]).withColumn("line", F.lit("OMWAS1 {"))),
+        "foreign": lines.withColumn("line", F.replace("line", F.lit("Bloodmoon.esm"), F.lit("Other.esp")))}
+    found = None
+    for name, rows in damaged.items():
+        head = survey.checks(survey.parse(rows)).select(
+            F.lit(name).alias("damage"), "placements", F.array_join("refusals", ";").alias("refusals"),
+            survey.load_order_verdict(F.col("load_order"))["ok"].alias("order_ok"))
+        found = head if found is None else found.unionByName(head)
+    return found
+
+
+@query("loaded_survey", sql(CONTENT, body="""
+SELECT area, is_exterior, item_record_id, count FROM placements"""))
+def _(t):
+    # loaded into a store, then read back
+    store = Versions(t.spark, scratch_path(t.spark, "survey"))
+    survey.load(store, survey_lines(t), F.lit("2024-01-31").cast("timestamp"))
+    return store.read("placements")
+
+
 # ---- text and chunks -----------------------------------------------------------------------------
 
 STRIP = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(

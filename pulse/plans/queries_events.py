@@ -76,6 +76,18 @@ def _(t):
         t.feed().select(line.alias("line")))))
 
 
+@query("payload_bytes", """
+SELECT CASE WHEN k % 3 = 0 THEN 'data_bytes' ELSE 'none' END AS violation, count(*) AS rows
+FROM (SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) GROUP BY ALL""")
+def _(t):
+    # payloads just below and just above the limit in bytes; the text has two bytes a character
+    good = "00000000-0000-4000-8000-000000000000"
+    text = F.repeat(F.lit("é"), F.when(F.col("k") % 3 == 0, 1021).otherwise(1020))
+    line = F.concat(F.lit(f'OMWA1 {{"v":1,"type":"AreaEntered","seq":5,"install_id":"{good}","session_id":"{good}","ts":1700,"data":{{"a":"'),
+                    text, F.lit('"}}'))
+    return ingest.violation_counts(ingest.validate(ingest.tagged(t.feed().select(line.alias("line")))))
+
+
 @query("provenance_stamp", sql(FEED, body="""
 SELECT CASE k % 4 WHEN 0 THEN 'dev' ELSE 'prod' END AS env, count(*) AS events
 FROM feed GROUP BY ALL"""))
@@ -277,6 +289,17 @@ def _(t):
         F.count("*").alias("events"))
 
 
+@query("payload_shapes", """
+SELECT 'k=' || k || ' · list=[' || CAST(k % 4 AS VARCHAR) || '] · none=∅ · obj={…}' AS preview, count(*) AS events
+FROM (SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) GROUP BY ALL""")
+def _(t):
+    k = F.get_json_object("props", "$.k")
+    items = F.array_join(F.array_repeat(F.lit("7"), (k.cast("int") % 4)), ",")
+    data = F.concat(F.lit('{"k":'), k, F.lit(',"list":['), items, F.lit('],"none":null,"obj":{"a":1}}'))
+    return t.raw("events").select(data.alias("data")).groupBy(payload.preview("data").alias("preview")).agg(
+        F.count("*").alias("events"))
+
+
 # ---- flow ----------------------------------------------------------------------------------------
 
 @query("daily_counts", sql(TELEMETRY, body="""

@@ -7,6 +7,8 @@ from pulse.functions.scope import SCOPES, env_note, env_predicate
 from pulse.operators import sequence, stats, sufficiency
 from pulse.plans.catalog import query
 from pulse.plans.twin import CONTENT, TELEMETRY, sql
+from pulse.session import scratch_path
+from pulse.sources import ingest
 
 TRIED = "type = 'ConfrontationAttempted'"
 BY_TOPIC = f"""
@@ -286,6 +288,16 @@ def gate_sufficiency(t):
                                    t.raw("nation"))
 
 
+@query("gates_unsurveyed", sql(TELEMETRY, CONTENT, gates_sql(), REMEDIES, SUFFICIENCY, body="""
+SELECT * REPLACE (false AS surveyed, 'UNKNOWN' AS reachable, 0 AS placed_remedies, 0 AS placed_areas)
+FROM classified"""))
+def _(t):
+    # no survey was ever loaded: absence of a placement is then no finding
+    placements = sufficiency.placement_tally(t.sightings())
+    return sufficiency.sufficiency(t.unordered(), t.effects(), t.records(), placements,
+                                   t.raw("nation").filter("n_nationkey IS NULL"))
+
+
 @query("worst_gates", sql(TELEMETRY, CONTENT, gates_sql(), REMEDIES, SUFFICIENCY, body="""
 SELECT * FROM classified ORDER BY fails DESC, check_id, stat, stat_kind, threshold LIMIT 25"""))
 def _(t):
@@ -345,6 +357,16 @@ def _(t):
     return stats.counts_by(t.unordered(), "mod_id", "type")
 
 
+@query("snapshot_export", sql(TELEMETRY, body="""
+SELECT mod_id, type, count(*) AS events FROM telemetry GROUP BY ALL"""))
+def _(t):
+    # stored as a snapshot and read back
+    path = scratch_path(t.spark, "snapshot")
+    ingest.write_snapshot(stats.counts_by(t.unordered(), "mod_id", "type"), path,
+                          F.lit("2024-01-31").cast("timestamp"))
+    return t.spark.read.schema("mod_id string, type string, events long").json(path)
+
+
 @query("counts_by_env", sql(TELEMETRY, body="""
 SELECT env, count(*) AS events FROM telemetry GROUP BY ALL"""))
 def _(t):

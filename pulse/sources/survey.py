@@ -103,14 +103,14 @@ def load(store: Versions, lines: DataFrame, surveyed_at: Column,
     if not rows.groupBy("area", "item_record_id").count().filter("count > 1").isEmpty():
         raise ValueError("survey refused: an (area, item) pair occurs twice")
     version = (store.latest() or 0) + 1
-    rows.write.mode("overwrite").parquet(store._path("placements", version))
+    store.write_uncommitted("placements", version, rows)
     written = store.read("placements", version).count()
     if written != row["placements"]:
         raise ValueError(f"survey refused: {row['placements']} parsed, {written} written")
     survey_id = F.concat(F.lit("survey-"), "load_order_hash", F.lit("-"),
                          F.unix_millis(surveyed_at).cast("string"))
-    head.select(survey_id.alias("survey_id"), "load_order", "load_order_hash", "cells_scanned",
-                surveyed_at.alias("surveyed_at")).write.mode("overwrite").parquet(
-        store._path("surveys", version))
+    store.write_uncommitted("surveys", version, head.select(
+        survey_id.alias("survey_id"), "load_order", "load_order_hash", "cells_scanned",
+        surveyed_at.alias("surveyed_at")))
     store.commit(version)
     return version
