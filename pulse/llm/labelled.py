@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE = 6000  # labelled rows at most
+SAMPLE = 5000  # labelled rows at most
 LONGEST = 1 << 16  # bytes; a longer text is scored but not fitted on
 
 

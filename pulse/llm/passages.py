@@ -97,8 +97,9 @@ def forward(model: dict[str, np.ndarray], x: np.ndarray, bounds: np.ndarray) ->
 def fit(rows: list[tuple[str, int]], epochs: int = EPOCHS) -> dict[str, np.ndarray]:
     """Encoder, attention and scorer, by gradient steps (Adam) on the documents' log-likelihood."""
     random = np.random.Generator(np.random.PCG64(7))
-    data, offsets = texts.text_bytes(pa.array([t for t, _ in rows], pa.large_string()))
-    x, bounds = describe(data, offsets)
+    parts = [describe(*texts.text_bytes(pa.array([t for t, _ in rows[at:at + 200]], pa.large_string()))) for at in range(0, len(rows), 200)]
+    x = np.concatenate([p for p, _ in parts]) if parts else np.zeros((0, WIDTH))
+    bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(b) for _, b in parts]))]) if parts else np.zeros(1, np.int64)
     y = np.array([label for _, label in rows], float)
     model = {"mean": x.mean(axis=0) if len(x) else np.zeros(WIDTH), "scale": x.std(axis=0) + 1e-3 if len(x) else np.ones(WIDTH),
              "E": random.normal(0, 0.3, (WIDTH, HIDDEN)), "e": np.zeros(HIDDEN), "V": random.normal(0, 0.3, (HIDDEN, GATE)),

@@ -76,6 +76,12 @@ def noisy_or(p: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return logs[bounds[1:]] - logs[bounds[:-1]] + np.log1p(-LEAK)
 
 
+def _some(column: list[str], count: int = 200):
+    """(first text, *bags) of a few texts at a time, so that fitting needs little memory."""
+    for first in range(0, len(column), count):
+        yield first, *bags(*texts.text_bytes(pa.array(column[first:first + count], pa.large_string())))
+
+
 def fit(rows: list[tuple[str, int]], epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
     """(weights by bucket, bias) that maximise the likelihood of the document labels, by gradient steps with
     momentum: a bucket met in many toxic documents grows fast, one met in few slowly."""
@@ -84,22 +90,29 @@ def fit(rows: list[tuple[str, int]], epochs: int = EPOCHS) -> tuple[np.ndarray,
     y = np.array([label for _, label in rows], float)
     if not 0 < y.sum() < len(y):
         return weights.astype(np.float32), bias
-    data, offsets = texts.text_bytes(pa.array([text for text, _ in rows], pa.large_string()))
-    buckets, heads, bounds, word_offsets = bags(data, offsets)
-    sentence = np.repeat(np.arange(len(heads)), np.diff(heads, append=len(buckets)))
-    doc = np.repeat(np.arange(len(rows)), np.diff(word_offsets))
+    column, n_docs = [text for text, _ in rows], len(rows)
     # a bucket is used if it is met in toxic documents surely more often than by chance
-    pairs = np.unique(np.repeat(doc, buckets.shape[1]) * BUCKETS + buckets.ravel())
-    met = np.bincount(pairs % BUCKETS, minlength=BUCKETS)
-    toxic = np.bincount(pairs % BUCKETS, y[pairs // BUCKETS], minlength=BUCKETS)
+    met, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for first, buckets, heads, bounds, word_offsets in _some(column):
+        doc = np.repeat(np.arange(len(bounds) - 1), np.diff(word_offsets))
+        pairs = np.unique(np.repeat(doc, buckets.shape[1]) * BUCKETS + buckets.ravel())
+        met += np.bincount(pairs % BUCKETS, minlength=BUCKETS)
+        toxic += np.bincount(pairs % BUCKETS, y[first + pairs // BUCKETS], minlength=BUCKETS)
     rate = y.mean()
     common = (met >= FEWEST) & (toxic - met * rate >= SURE * np.sqrt(met * rate * (1 - rate)))
-    pairs = np.unique(np.repeat(sentence, buckets.shape[1]) * BUCKETS + buckets.ravel())
-    at, bucket = pairs // BUCKETS, pairs % BUCKETS
-    at, bucket = at[common[bucket]], bucket[common[bucket]]
+    at, bucket, per_doc, n = [], [], [], 0
+    for _, buckets, heads, bounds, _ in _some(column):
+        sentence = np.repeat(np.arange(len(heads)), np.diff(heads, append=len(buckets)))
+        live = common[buckets]
+        pairs = np.unique(np.broadcast_to(sentence[:, None], buckets.shape)[live] * BUCKETS + buckets[live])
+        at.append(pairs // BUCKETS + n)
+        bucket.append(pairs % BUCKETS)
+        per_doc.append(np.diff(bounds))
+        n += len(heads)
+    at, bucket, per_doc = np.concatenate(at), np.concatenate(bucket), np.concatenate(per_doc)
+    bounds = np.concatenate([[0], np.cumsum(per_doc)])
     used, bucket = np.unique(bucket, return_inverse=True)
-    w, n = np.zeros(len(used)), len(heads)
-    of_doc = np.repeat(np.arange(len(rows)), np.diff(bounds))
+    w, of_doc = np.zeros(len(used)), np.repeat(np.arange(n_docs), per_doc)
     step_w, step_b = np.zeros(len(used)), 0.0
     for _ in range(epochs):
         p = _sigmoid(bias + np.bincount(at, w[bucket], minlength=n))
