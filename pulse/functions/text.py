@@ -16,6 +16,7 @@ STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "h
 
 def strip_markup(html: Column) -> Column:
     """Plain text that keeps paragraph breaks, because paragraphs are the chunk boundary."""
+    # fixed by the format, in this order
     steps = ((r"(?i)<br\s*/?>", "\n"), (r"(?i)</?(?:div|p)\b[^>]*>", "\n\n"), (r"<[^>]*>", ""),
              (r"\r", ""), (r"[ \t]+", " "), (r"[ \t]*\n[ \t]*", "\n"), (r"\n{3,}", "\n\n"),
              (r"^\s+|\s+$", ""))

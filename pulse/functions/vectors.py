@@ -20,11 +20,6 @@ def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
 
-def cosine_distance(a: Column, b: Column) -> Column:
-    """Null for a zero vector, which has no direction."""
-    return F.lit(1.0) - F.try_divide(dot(a, b), norm(a) * norm(b))
-
-
 def truncate(v: Column, dims: int) -> Column:
     """First `dims` components scaled back to unit length; a zero vector is left unchanged."""
     head = F.transform(F.slice(v, 1, dims), lambda x: x.cast("double"))
@@ -57,6 +52,9 @@ class Embedder:
         return run(text)
 
 
+WINDOW = 1024  # code units of each text hashed at a time
+
+
 def hash_vectors(texts: list[str], dims: int) -> np.ndarray:
     """Deterministic unit vectors with no meaning: they exercise the plumbing, not relevance.
 
@@ -68,14 +66,17 @@ def hash_vectors(texts: list[str], dims: int) -> np.ndarray:
     order = np.argsort(-sizes, kind="stable")
     seeds = np.full(len(texts), 2166136261, dtype=np.uint32)
     longest = int(sizes.max()) if len(texts) else 0
-    table = np.zeros((len(texts), longest), dtype=np.uint32)
-    for row, i in enumerate(order):
-        table[row, :sizes[i]] = units[i]
     # rows are sorted by length: at each position only a leading slice is still running
     running = np.searchsorted(-sizes[order], -np.arange(1, longest + 1), side="right")
-    for pos in range(longest):
-        live = slice(0, running[pos])
-        seeds[live] = (seeds[live] ^ table[live, pos]) * np.uint32(16777619)
+    for start in range(0, longest, WINDOW):  # so one very long text does not widen all rows
+        width = min(WINDOW, longest - start)
+        table = np.zeros((running[start], width), dtype=np.uint32)
+        for row, i in enumerate(order[:running[start]]):
+            part = units[i][start:start + width]
+            table[row, :len(part)] = part
+        for pos in range(width):
+            live = slice(0, running[start + pos])
+            seeds[live] = (seeds[live] ^ table[live, pos]) * np.uint32(16777619)
     state = np.where(seeds == 0, np.uint32(1), seeds)
     out = np.empty((len(texts), dims))
     for d in range(dims):

@@ -1,40 +1,20 @@
-"""Schemas of the event envelope, its payloads and the content corpus."""
+"""Schemas of stored events and the content corpus."""
 
 from __future__ import annotations
 
 from pyspark.sql import types as T
 
-S, I, L, B, D, TS = (T.StringType(), T.IntegerType(), T.LongType(), T.BooleanType(),
-                     T.DoubleType(), T.TimestampType())
+S, I, L, B, TS = (T.StringType(), T.IntegerType(), T.LongType(), T.BooleanType(),
+                  T.TimestampType())
 
 
 def struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
 
-# Wire envelope. `data` stays a JSON string: a new event type needs no schema change.
-ENVELOPE = struct(v=S, type=S, seq=S, install_id=S, session_id=S, ts=S, mod_id=S, data=S)
-
 EVENTS = struct(install_id=S, session_id=S, seq=L, type=S, v=I, ts=TS, received_at=TS, env=S,
                 mod_id=S, data=S, suspect=S, topic=S, reason=S, passed=B, block=L)
 
-# Payload keys by event type (additive: consumers ignore unknown keys).
-PAYLOADS = {
-    "AreaEntered": struct(area=S, interior=B),
-    "ConfrontationAttempted": struct(suspect=S, topic=S, kind=S, passed=B, reason=S,
-                                     evidence_ids=T.ArrayType(S), claim=S),
-    "ConfrontationTopicEntered": struct(suspect=S, topic=S, kind=S),
-    "ConfrontationExited": struct(suspect=S, completed=B),
-    "EvidenceCollected": struct(evidence_id=S),
-    "SkillCheckResolved": struct(trigger=S, check_id=S, skill=S, stat_type=S, skill_value=I,
-                                 threshold=I, passed=B, threshold_passed=B, require=S,
-                                 skill_route=S, base_value=I, stat_modifier=I, stat_damage=I),
-    "SkillCheckDisplayed": struct(check_id=S, display_group=I, threshold=I, skill=S, stat_type=S,
-                                  threshold_met=B),
-    "ItemConsumed": struct(item_id=S, item_type=S),
-    "PuzzleAttempted": struct(puzzle_id=S, action_id=S, passed=B),
-}
-
 RECORDS = struct(record_id=S, source=S, type=S, name=S, full_text=S)
 EFFECTS = struct(record_id=S, ordinal=I, effect_id=I, effect_name=S, affected=S, affected_kind=S,
                  magnitude_min=I, magnitude_max=I, duration=I, range=S)
@@ -42,4 +22,3 @@ CHUNKS = T.StructType([
     *struct(chunk_id=S, record_id=S, ordinal=I, text=S, text_hash=S).fields,
     T.StructField("embedding", T.ArrayType(T.FloatType())),
     T.StructField("embedding_model", S), T.StructField("embedding_dims", I)])
-PLACEMENTS = struct(area=S, is_exterior=B, item_record_id=S, count=L)
