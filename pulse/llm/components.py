@@ -8,7 +8,10 @@ short and a lost executor costs one round at most.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,7 +64,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("x"), F.least("a", "m").alias("m"))
     return (both.join(least, F.col("a") == F.col("x")).filter("b > a and b <> m")
-            .select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+            .select(F.col("b").alias("a"), F.col("m").alias("b")))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -72,13 +75,36 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return own.union(rest).distinct()
 
 
+def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Forests of a task's edges, half a million at a time."""
+    held, size = [], 0
+
+    def forest():
+        a, b = forest_edges(*(np.concatenate([h[i] for h in held]) for i in (0, 1)))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    for batch in batches:
+        if batch.num_rows:
+            held.append((batch.column("a").to_numpy(), batch.column("b").to_numpy()))
+            size += batch.num_rows
+        if size > 500_000:
+            yield forest()
+            held, size = [], 0
+    if held:
+        yield forest()
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, root) of every node that is not the smallest of its component; edges has columns a and b."""
-    now = stored(edges.filter("a <> b").select("a", "b"), name)
-    mark = None
-    while True:
+    """(node, root) of every node that is not the smallest of its component; edges has columns a and b.
+
+    The edges of a node meet in one task first, which drops those that other tasks found as well.
+    """
+    def mark(rows: DataFrame) -> tuple:
+        return tuple(rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    now = stored(edges.filter("a <> b").select("a", "b").repartition("a").mapInArrow(_local, "a long, b long"), name)
+    seen = mark(now)
+    while seen[0]:
         now = stored(_small_star(_large_star(now)), name)
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if not seen[0] or tuple(seen) == mark:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        mark = tuple(seen)
+        before, seen = seen, mark(now)
+        if seen == before:
+            break
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -2,17 +2,21 @@
 
 1. Every document becomes the set of hashes of its 4-word shingles. Documents with equal sets are one
    class (a signature of the set), so copies never meet each other again.
-2. Routing. A set in a size band is cut into k parts by the hash of its members, k exceeding the number
+2. Counting filter. A linked set misses at most 15 in 100 of its shingles in its partner, so at most so
+   many of a fixed third of the hash space too. The shingles of that third are dealt out by range and
+   counted; a set with more of them to itself than it may miss has no partner. No link is lost, and
+   documents that merely share passages go.
+3. Routing. A set in a size band is cut into k parts by the hash of its members, k exceeding the number
    of members by which two linked sets of the band can differ; so two linked sets agree in a whole part.
    The parts' hashes are dealt out by range, and sets that share one are tied to the smallest of them
    (one row a set, never pairs). The ties' components are the candidate groups: every link lies inside
    one. No two sets are compared or paired to find them.
-3. T-occurrence search inside a group: inverted lists of the group's shingles; for each query set the L
-   longest lists are put aside, the short ones are merged (by one sort), and what occurs often enough there is probed
-   in the long ones by binary search (DivideSkip), giving up as soon as the threshold is out of reach.
-   Sets already connected with the query need no probe. A task holds one group, or one pair of slices of
-   a group over ``BLOCK`` shingles.
-4. The links' components are the classes.
+4. T-occurrence search inside a group: inverted lists of the group's shingles; for each query set the L
+   longest lists are put aside, the short ones are merged (by one sort), and what occurs often enough
+   there is probed in the long ones by binary search (DivideSkip), giving up as soon as the threshold is
+   out of reach. Sets already connected with the query need no probe. A task holds one group, or two slices
+   of a group over ``BLOCK`` shingles (see ``links``).
+5. The links' components are the classes.
 
 Hashes have 64 bits: two shingles (or sets) are taken for equal with probability 2^-64 a pair.
 
@@ -37,8 +41,9 @@ from pulse.session import stored
 
 WORDS, SHARE = 4, 85  # words of a shingle; Jaccard similarity in per cent
 BLOCK = 1_000_000  # shingles that one search task holds of a group
-RANGES_PER_PARTITION = 8
-BAND = 1.5  # ratio of the sizes a band spans
+RANGES_PER_PARTITION = 2
+COUNTED = (1 << 64) // 3  # shingle hashes below this are counted by the filter
+BAND = 1.2  # ratio of the sizes a band spans
 
 _ONE, _TWO = np.uint64(0x9E6C63D0676A9A99), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -66,19 +71,20 @@ def signature(own: np.ndarray) -> int:
     return int(value.view(np.int64)[0])
 
 
-SIGNED = "doc_id long, n_shingles long, cls long, key int"
+SIGNED = "doc_id long, n_shingles long, n_counted long, cls long, key int"
 
 
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, cls (null without shingles), key (a hash of the text) of every row."""
+    """doc_id, n_shingles, n_counted, cls (null without shingles), key (a hash of the text) of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in texts.slices(batch, "text"):
                 found = sets(*texts.text_bytes(part.column("text")), words)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([len(s) for s in found], pa.int64()),
+                     pa.array([int(np.searchsorted(s, np.uint64(COUNTED))) for s in found], pa.int64()),
                      pa.array([signature(s) if len(s) else None for s in found], pa.int64()), part.column("key")],
-                    names=["doc_id", "n_shingles", "cls", "key"])
+                    names=["doc_id", "n_shingles", "n_counted", "cls", "key"])
     return _keyed(docs).mapInArrow(run, SIGNED)
 
 
@@ -98,7 +104,8 @@ def parts(band: int, share: int = SHARE) -> tuple[int, int]:
     """(number of parts, largest symmetric difference of two linked sets) of a band."""
     largest = int(BAND ** (band + 1)) + 1
     differ = 2 * largest * (100 - share) // (100 + share)
-    return (1, 0) if differ == 0 else (differ + 3 + differ // 20, differ)
+    # so many more that few sets have as many empty parts as could all be the ones that agree
+    return (1, 0) if differ == 0 else (differ + 4 + differ // 7, differ)
 
 
 def part_hashes(own: np.ndarray, share: int = SHARE) -> np.ndarray:
@@ -119,40 +126,182 @@ def part_hashes(own: np.ndarray, share: int = SHARE) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-_DEALT = pa.schema([("part", pa.int32()), ("hashes", pa.binary()), ("cls", pa.binary())])
+def _cut(target: np.ndarray) -> tuple[list[int], list[int]]:
+    """Bounds of the runs of an ascending array."""
+    cuts = (np.flatnonzero(np.diff(target)) + 1).tolist()
+    return [0, *cuts], [*cuts, len(target)]
 
 
-def ties(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
-    """(a, b): set a is tied to set b, by tasks' forests."""
-    ranges = 1 << (RANGES_PER_PARTITION * texts.partitions(docs) - 1).bit_length()
-    shift = np.uint64(64 - max(1, (ranges - 1).bit_length()))
-    kind = np.uint16 if ranges <= 1 << 16 else np.uint32
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Lists of the rows that share their first column; rows arrive ordered by it."""
+    held = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and row[0] != held[0][0]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def shared_counts(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(cls, shared): how many of a set's counted shingles other rows have as well, in one row or more
+    for each set.
+
+    40 bits of a hash are compared; a chance agreement only makes the filter let a set pass. A shingle
+    travels with the place of its set in its slice of the input, the slice's sets once beside them.
+    """
+    ranges = max(2, 1 << (RANGES_PER_PARTITION * texts.partitions(docs) - 1).bit_length())
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = np.uint64(COUNTED // ranges + 1)
         for batch in batches:
             for part in texts.slices(batch, "text", 16 << 20):
                 seen = {}
                 for s in sets(*texts.text_bytes(part.column("text")), words):
                     if len(s):
-                        seen.setdefault(signature(s), s)
+                        seen.setdefault(signature(s), s[:np.searchsorted(s, np.uint64(COUNTED))])
                 if not seen:
                     continue
-                found = [part_hashes(s, share) for s in seen.values()]
-                hashes = np.concatenate(found)
-                cls = np.repeat(np.fromiter(seen, np.int64, len(seen)), [len(f) for f in found])
+                cls = np.fromiter(seen, np.int64, len(seen))
+                name = signature(cls.view(np.uint64))
+                hashes = np.concatenate(list(seen.values()))
+                owner = np.repeat(np.arange(len(cls)), [len(s) for s in seen.values()])
+                target = (hashes // step).astype(np.uint16 if ranges <= 1 << 16 else np.uint32)
+                order = np.argsort(target, kind="stable")  # sets stay in order
+                hashes, target, owner = hashes[order], target[order], owner[order]
+                short = np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+                rows = [(name % ranges, name, b"", b"", cls.tobytes())]
+                for i, j in zip(*_cut(target)) if len(target) else ():
+                    rows.append((int(target[i]), name, short[i:j].tobytes(), _steps(owner[i:j]), b""))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))],
+                                                 names=["part", "slice", "hashes", "owners", "cls"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, list] = {}
+        waiting = 0
+
+        def flush():
+            rows = []
+            for name, pieces in found.items():
+                own, n = _summed(pieces)
+                rows.append((name, _steps(own), n.astype(np.uint32).tobytes(), b""))
+            found.clear()
+            return rows
+        done = []
+        for rows in _by_part(batches):
+            done += [(r[1], b"", b"", r[4]) for r in rows if r[4]]
+            rows = [r for r in rows if r[2]]
+            if rows:
+                raw = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(-1, 5)
+                hashes = np.zeros((len(raw), 8), np.uint8)
+                hashes[:, :5] = raw
+                hashes = hashes.view("<u8").ravel()
+                owners = [_places(r[3], len(r[2]) // 5) for r in rows]
+                width = 1 + max(int(o[-1]) for o in owners)
+                owner = np.concatenate([o + width * k for k, o in enumerate(owners)])
+                order = np.argsort(hashes)
+                same = np.zeros(len(hashes) + 1, bool)
+                same[1:-1] = hashes[order[1:]] == hashes[order[:-1]]
+                own, n = np.unique(owner[order[same[1:] | same[:-1]]], return_counts=True)
+                edges = np.searchsorted(own, np.arange(len(rows) + 1) * width)
+                for k, (i, j) in enumerate(zip(edges[:-1], edges[1:])):
+                    if j > i:
+                        found.setdefault(rows[k][1], []).append((own[i:j] - width * k, n[i:j]))
+                waiting += len(own)
+            if waiting > 1 << 20 or len(done) > 1000:
+                yield _pieces(done + flush())
+                done, waiting = [], 0
+        done += flush()
+        if done:
+            yield _pieces(done)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_part(batches):
+            cls = np.frombuffer(next(r[3] for r in rows if r[3]), np.int64)  # a slice read twice is the same slice
+            n = np.zeros(len(cls), np.int64)
+            for _, owners, counts, _ in rows:
+                counts = np.frombuffer(counts, np.uint32)
+                if len(counts):
+                    n[_places(owners, len(counts))] += counts
+            yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(n)], names=["cls", "shared"])
+    dealt = _keyed(docs).mapInArrow(deal, "part int, slice long, hashes binary, owners binary, cls binary")
+    counted = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(count, "slice long, owners binary, counts binary, cls binary")
+    return counted.repartition("slice").sortWithinPartitions("slice").mapInArrow(total, "cls long, shared long")
+
+
+def _pieces(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))],
+                                      names=["slice", "owners", "counts", "cls"])
+
+
+def _steps(places: np.ndarray) -> bytes:
+    """Ascending places as differences of one, two or four bytes."""
+    steps = np.diff(places, prepend=0)
+    most = int(steps.max()) if len(steps) else 0
+    return steps.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32).tobytes()
+
+
+def _places(steps: bytes, n: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(steps, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(steps) // n]).astype(np.int64))
+
+
+def _summed(pieces: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    own, at = np.unique(np.concatenate([c for c, _ in pieces]), return_inverse=True)
+    return own, np.bincount(at, np.concatenate([n for _, n in pieces])).astype(np.int64)
+
+
+def candidates(docs: DataFrame, signed: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
+    """(cls, n, members) of the sets that pass the counting filter; members are sorted hashes."""
+    # a class in several slices may count its own copies; the largest count lets it pass at worst
+    shared = shared_counts(docs, words).groupBy(F.col("cls").alias("__cls")).agg(F.max("shared").alias("shared"))
+    reps = (signed.filter("n_shingles > 0").groupBy("cls")
+            .agg(F.min(F.struct("doc_id", "key")).alias("who"), F.max("n_shingles").alias("n"), F.max("n_counted").alias("counted"))
+            .join(shared, F.col("cls") == F.col("__cls"), "left")
+            .filter(F.col("counted") - F.coalesce("shared", F.lit(0)) <= F.floor(F.col("n") * (100 - share) / 100))
+            .select(F.col("cls").alias("set"), F.col("who.doc_id").alias("__doc"), F.col("who.key").alias("__key")))
+    keyed = _keyed(docs)
+    rows = keyed.join(reps, keyed["doc_id"].eqNullSafe(F.col("__doc")) & (keyed["key"] == F.col("__key"))).select("set", "text")
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in texts.slices(batch, "text"):
+                found = sets(*texts.text_bytes(part.column("text")), words)
+                yield pa.RecordBatch.from_arrays([part.column("set"), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())],
+                                                 names=["cls", "n", "members"])
+    return rows.mapInArrow(expand, "cls long, n long, members binary")
+
+
+def ties(found: DataFrame, share: int = SHARE) -> DataFrame:
+    """(a, b): set a is tied to set b, by tasks' forests."""
+    ranges = max(2, 1 << (4 * texts.partitions(found) - 1).bit_length())
+    shift = np.uint64(64 - (ranges - 1).bit_length())
+    kind = np.uint16 if ranges <= 1 << 16 else np.uint32
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                own = [part_hashes(np.frombuffer(m, np.uint64), share) for m in part.column("members").to_pylist()]
+                hashes = np.concatenate(own)
+                cls = np.repeat(part.column("cls").to_numpy(), [len(f) for f in own])
                 target = (hashes >> shift).astype(kind)
                 order = np.argsort(target, kind="stable")
                 hashes, cls, target = hashes[order], cls[order], target[order]
-                cuts = np.flatnonzero(np.diff(target)) + 1
-                lows, highs = [0, *cuts.tolist()], [*cuts.tolist(), len(target)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(target[lows].astype(np.int32)), pa.array([hashes[i:j].tobytes() for i, j in zip(lows, highs)], pa.binary()),
-                     pa.array([cls[i:j].tobytes() for i, j in zip(lows, highs)], pa.binary())], schema=_DEALT)
+                rows = [(int(target[i]), hashes[i:j].tobytes(), cls[i:j].tobytes()) for i, j in zip(*_cut(target))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))],
+                                                 names=["part", "hashes", "cls"])
 
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, waiting = [], [], 0
 
-        def settle(rows):
+        def flush():
+            node, root = forest_edges(np.concatenate(a), np.concatenate(b))
+            a.clear()
+            b.clear()
+            return pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["a", "b"])
+        for rows in _by_part(batches):
             hashes = np.frombuffer(b"".join(r[1] for r in rows), np.uint64)
             cls = np.frombuffer(b"".join(r[2] for r in rows), np.int64)
             order = np.argsort(hashes, kind="stable")
@@ -163,28 +312,13 @@ def ties(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
             pairs = np.unique(np.stack([cls[other], center[other]]), axis=1)
             a.append(pairs[0])
             b.append(pairs[1])
-            return pairs.shape[1]
-
-        def flush():
-            node, root = forest_edges(np.concatenate(a), np.concatenate(b))
-            a.clear()
-            b.clear()
-            return pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["a", "b"])
-        held = []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and row[0] != held[0][0]:
-                    waiting += settle(held)
-                    held = []
-                    if waiting > 500_000:
-                        yield flush()
-                        waiting = 0
-                held.append(row)
-        if held:
-            waiting += settle(held)
+            waiting += pairs.shape[1]
+            if waiting > 500_000:
+                yield flush()
+                waiting = 0
         if waiting:
             yield flush()
-    dealt = _keyed(docs).mapInArrow(deal, "part int, hashes binary, cls binary")
+    dealt = found.select("cls", "members").mapInArrow(deal, "part int, hashes binary, cls binary")
     return dealt.repartition("part").sortWithinPartitions("part").mapInArrow(tie, "a long, b long")
 
 
@@ -238,70 +372,93 @@ def search(members: list[np.ndarray], share: int = SHARE) -> list[tuple[int, int
     return links
 
 
-def links(docs: DataFrame, signed: DataFrame, groups: DataFrame, words: int = WORDS, share: int = SHARE,
-          block: int = BLOCK) -> DataFrame:
-    """(a, b): links between sets; groups has a row (node, root) for each set that is tied to another."""
-    labels = groups.union(groups.select("root", "root").distinct())
-    reps = (signed.filter("n_shingles > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "key")).alias("who"), F.max("n_shingles").alias("n"))
-            .join(labels, F.col("cls") == F.col("node")).select("cls", "root", "n", "who.doc_id", "who.key"))
-    reps = stored(reps, "jaccard-groups")
-    sizes = reps.groupBy("root").agg(F.sum("n").alias("total")).select(
-        F.col("root").alias("__root"), F.ceil(F.col("total") / block).cast("int").alias("slices"))
-    # a set of slice s takes part in the blocks (s, s..) and (..s, s) of its group
-    own, slices = F.pmod(F.xxhash64("cls"), F.col("slices")).cast("int"), F.sequence(F.lit(0), F.col("slices") - 1)
-    reps = (reps.join(sizes, F.col("root") == F.col("__root")).withColumn("own", own)
-            .withColumn("blocks", F.transform(slices, lambda other: F.struct(
-                F.least(F.col("own"), other).alias("low"), F.greatest(F.col("own"), other).alias("high"))))
-            .select("cls", "root", "doc_id", "key", "blocks"))
-    texts_of = _keyed(docs)
-    rows = (texts_of.join(reps.withColumnsRenamed({"doc_id": "__doc", "key": "__key"}),
-                          texts_of["doc_id"].eqNullSafe(F.col("__doc")) & (texts_of["key"] == F.col("__key")))
-            .select("cls", "root", "blocks", "text"))
-
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in texts.slices(batch, "text"):
-                found = [s.tobytes() for s in sets(*texts.text_bytes(part.column("text")), words)]
-                yield pa.RecordBatch.from_arrays([part.column("cls"), part.column("root"), part.column("blocks"), pa.array(found, pa.binary())],
-                                                 names=["cls", "root", "blocks", "members"])
+def _searched(found: DataFrame, placed: DataFrame, share: int) -> DataFrame:
+    """(a, b): links found in blocks; ``placed`` has (__cls, root, blocks) with the blocks of each set."""
+    rows = (found.select("cls", "members").join(placed, F.col("cls") == F.col("__cls"))
+            .select("root", F.explode("blocks").alias("block"), "cls", "members").select("root", "block.low", "block.high", "cls", "members"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def settle(held):
             own = {r[3]: r[4] for r in held}  # a repeated row counts once
             names = list(own)
-            found = search([np.frombuffer(own[c], np.uint64) for c in names], share)
-            return pa.RecordBatch.from_arrays([pa.array([names[i] for i, _ in found], pa.int64()), pa.array([names[j] for _, j in found], pa.int64())], names=["a", "b"])
+            pairs = search([np.frombuffer(own[c], np.uint64) for c in names], share)
+            return pa.RecordBatch.from_arrays([pa.array([names[i] for i, _ in pairs], pa.int64()), pa.array([names[j] for _, j in pairs], pa.int64())], names=["a", "b"])
         held = []
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and row[:3] != held[0][:3]:
-                    yield settle(held)
-                    held = []
-                held.append(row)
+            for at in range(0, batch.num_rows, 256):
+                for row in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
+                    if held and row[:3] != held[0][:3]:
+                        yield settle(held)
+                        held = []
+                    held.append(row)
         if held:
             yield settle(held)
-    expanded = rows.mapInArrow(expand, "cls long, root long, blocks array<struct<low:int,high:int>>, members binary")
-    dealt = expanded.select("root", F.explode("blocks").alias("block"), "cls", "members").select("root", "block.low", "block.high", "cls", "members")
-    return (dealt.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "cls")
+    return (rows.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "cls")
             .mapInArrow(run, "a long, b long"))
 
 
+def _slices(rows: DataFrame, block: int, name: str) -> DataFrame:
+    """root and ``name``: slices of about ``block`` shingles that the group's rows make."""
+    return rows.groupBy("root").agg(F.ceil(F.sum("n") / block).cast("int").alias(name)).withColumnRenamed("root", f"__{name}")
+
+
+def links(found: DataFrame, groups: DataFrame, share: int = SHARE, block: int = BLOCK) -> DataFrame:
+    """(a, b): links that connect what is linked; groups has a row (node, root) for each tied set.
+
+    A group of several slices is not searched in all pairs of slices. First each slice is searched with
+    itself and with slice 0, which connects most of a large class of near copies. Then only the sets
+    outside the group's largest class so far are searched with every slice: two sets of one class need
+    no link between them. The blocks grow with the slices times the slices of those others.
+    """
+    labels = groups.union(groups.select("root", "root").distinct())
+    grouped = found.select("cls", "n").join(labels, F.col("cls") == F.col("node")).select("cls", "root", "n")
+    grouped = stored(grouped.join(_slices(grouped, block, "slices"), F.col("root") == F.col("__slices"))
+                     .select("cls", "root", "n", "slices", F.pmod(F.xxhash64("cls"), F.col("slices")).cast("int").alias("own")), "jaccard-groups")
+
+    def pair(low, high):
+        return F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"))
+    every = F.sequence(F.lit(0), F.col("slices") - 1)
+    star = F.when(F.col("own") == 0, F.transform(every, lambda j: pair(F.lit(0), j))).otherwise(
+        F.array(pair(F.lit(0), F.col("own")), pair(F.col("own"), F.col("own"))))
+    first = stored(_searched(found, grouped.select(F.col("cls").alias("__cls"), "root", star.alias("blocks")), share), "jaccard-links")
+
+    large = grouped.filter("slices > 2")  # two slices are wholly searched by now
+    if large.isEmpty():
+        return first
+    so_far = components(first, "jaccard-so-far")
+    large = large.join(so_far.select("node", F.col("root").alias("class")), F.col("cls") == F.col("node"), "left").withColumn(
+        "class", F.coalesce("class", "cls"))
+    largest = (large.groupBy("root", "class").agg(F.count(F.lit(1)).alias("size")).groupBy("root")
+               .agg(F.max_by("class", F.struct("size", "class")).alias("largest")).withColumnRenamed("root", "__root"))
+    large = stored(large.join(largest, F.col("root") == F.col("__root"))
+                   .select("cls", "root", "n", "slices", "own", (F.col("class") != F.col("largest")).alias("apart")), "jaccard-apart")
+    turns = _slices(large.filter("apart"), block, "turns")
+    large = large.join(turns, F.col("root") == F.col("__turns"))
+    own_turn = F.pmod(F.xxhash64("cls", F.lit(1)), F.col("turns"))
+    blocks = F.transform(F.sequence(F.lit(0), F.col("turns") - 1), lambda k: pair(k, F.col("own")))
+    blocks = F.when(F.col("apart"), F.array_union(blocks, F.transform(every, lambda j: pair(own_turn, j)))).otherwise(blocks)
+    second = _searched(found, large.select(F.col("cls").alias("__cls"), "root", blocks.alias("blocks")), share)
+    return first.union(second)
+
+
 def classes(docs: DataFrame, words: int = WORDS, share: int = SHARE, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
     docs = docs.select("doc_id", "text")
     signed = stored(signatures(docs, words), "jaccard-signatures")
-    groups = components(ties(docs, words, share), "jaccard-ties")
-    linked = components(links(docs, signed, groups, words, share, block), "jaccard-links")
+    found = stored(candidates(docs, signed, words, share), "jaccard-candidates")
+    groups = components(ties(found, share), "jaccard-ties")
+    linked = components(links(found, groups, share, block), "jaccard-links")
     smallest = signed.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
     rooted = smallest.join(linked, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("root", "cls").alias("root"), "least")
     whole = rooted.groupBy("root").agg(F.min("least").alias("component")).withColumnRenamed("root", "__root")
-    found = rooted.join(whole, F.col("root") == F.col("__root")).select(F.col("cls").alias("__cls"), "component")
-    return (signed.join(found, F.col("cls") == F.col("__cls"), "left")
+    named = rooted.join(whole, F.col("root") == F.col("__root")).select(F.col("cls").alias("__cls"), "component")
+    return (signed.join(named, F.col("cls") == F.col("__cls"), "left")
             .select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id")))
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
     """The rows of ``docs`` without those that are linked to a smaller doc_id, directly or not."""
-    found = classes(docs, words, share).filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    name = texts.fresh("gone", docs)
+    found = classes(docs, words, share).filter("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct()
     gone = stored(found, "jaccard-dropped")
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")

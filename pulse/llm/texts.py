@@ -165,5 +165,8 @@ def fresh(name: str, frame) -> str:
 
 
 def partitions(frame) -> int:
-    """Input partitions of a DataFrame; grows with the input and sizes what is dealt out by hash."""
+    """Input partitions of a DataFrame; grows with the input and sizes what is dealt out by hash.
+
+    Meant for tables read from storage: asking a frame with exchanges may run them.
+    """
     return max(1, frame.rdd.getNumPartitions())
