@@ -3,19 +3,22 @@
 Base rules come first: a text with few words or mostly repeated phrases fails. For the others the
 histograms of character classes and of common words are compared with language references by
 Jensen-Shannon distance (base 2, so 0 to 1). A reference is the summed histogram of all texts of one
-language that pass the base rules; a text is judged against the nearest reference, so a wrong or
-missing language tag does no harm. Short texts have noisy histograms: each comparison has a minimum
-length below which it is not made.
+language that pass the base rules; a text is judged against the nearest of its own language's and the
+``MOST_SHARED`` largest references, so a wrong tag of one of these does no harm. Short texts have noisy
+histograms: each comparison has a minimum length below which it is not made.
+
+A language has a reference when it has ``MIN_LANGUAGE_WORDS`` words of its own, however much of other
+languages there is. The largest are collected; texts of any further language meet theirs by a join.
 
 Defined results: a null or empty text has no words and fails the base rules; a null language adds to
-no reference; a language needs ``MIN_SHARE`` of all words to be a reference, which bounds their number;
-without any reference only the base rules decide; repeated rows are judged each; an empty table gives
-an empty result; other columns are never read.
+no reference; only the base rules decide on a text whose language is null or has no reference; repeated
+rows are judged each; an empty table gives an empty result; other columns are never read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,8 @@ from pulse.session import stored
 MIN_WORDS, MAX_REPEATED = 50, 50  # fixed by the contract: words, per cent of words
 CHAR_LIMIT, WORD_LIMIT = 0.30, 0.35
 CHAR_GUARD, WORD_GUARD = 200, 80  # characters, words
-MIN_SHARE = 0.001
+MIN_LANGUAGE_WORDS = 2000
+MOST_SHARED = 1000
 
 SYMBOLS = b"#*$%&|<>"
 CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789",
@@ -153,30 +157,67 @@ def base_failed():
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
 
 
-def references(stats: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Character and word histograms of the languages; at most 1 / MIN_SHARE rows of fixed width."""
+class References(NamedTuple):
+    """The ``most`` largest references, and a table of all others (None when there are none)."""
+    langs: list[str]
+    chars: np.ndarray
+    words: np.ndarray
+    rest: DataFrame | None
+
+
+def references(stats: DataFrame, most: int = MOST_SHARED) -> References:
+    """Character and word histograms of every language with enough words; ``most`` rows are collected."""
     def total(name: str, width: int):
         return F.array(*(F.sum(F.col(name)[i]) for i in range(width))).alias(name)
     passed = stats.filter(~base_failed() & F.col("lang").isNotNull())
-    whole = passed.agg(F.sum("n_words")).first()[0] or 0
-    rows = (passed.groupBy("lang").agg(F.sum("n_words").alias("size"), total("chars", N_CLASS), total("words", N_WORD))
-            .filter(F.col("size") >= MIN_SHARE * whole).orderBy("lang").collect())
-    return (np.array([r["chars"] for r in rows], float).reshape(-1, N_CLASS),
-            np.array([r["words"] for r in rows], float).reshape(-1, N_WORD))
+    own = stored(passed.groupBy("lang").agg(F.sum("n_words").alias("size"), total("chars", N_CLASS), total("words", N_WORD))
+                 .filter(F.col("size") >= MIN_LANGUAGE_WORDS), "quality-references")  # one row per language
+    rows = own.orderBy(F.desc("size"), "lang").limit(most + 1).collect()
+    langs = [r["lang"] for r in rows[:most]]
+    rest = own.filter(~F.col("lang").isin(langs)) if len(rows) > most else None
+    return References(langs, np.array([r["chars"] for r in rows[:most]], float).reshape(-1, N_CLASS),
+                      np.array([r["words"] for r in rows[:most]], float).reshape(-1, N_WORD), rest)
 
 
-def distance(counts: np.ndarray, refs: np.ndarray) -> np.ndarray:
-    """Jensen-Shannon distance of each row of counts to its nearest reference (0 for an empty row)."""
+def _meet(rows: DataFrame, refs: References, run: Callable, schema) -> DataFrame:
+    """``run`` over ``rows``, each with columns ``names``: has a reference, and its own histograms if not shared.
+
+    Only texts of languages that are not shared are joined, so no key of the join is a large one.
+    """
+    known, chars, words = names = [texts.fresh(n, rows) for n in ("known", "own_chars", "own_words")]
+    lang, counts = rows["lang"].cast("string"), "array<bigint>"
+    shared = F.coalesce(lang.isin(refs.langs), F.lit(False))
+    none = F.lit(None).cast(counts)
+    if refs.rest is None:
+        return rows.select("*", shared.alias(known), none.alias(chars), none.alias(words)).mapInArrow(run(names), schema)
+    key = texts.fresh("own_lang", rows)
+    other = refs.rest.select(F.col("lang").alias(key), F.col("chars").alias(chars), F.col("words").alias(words))
+    apart = (rows.filter(~shared & lang.isNotNull()).join(other, lang == F.col(key), "left")
+             .withColumn(known, F.col(key).isNotNull()).drop(key))
+    rows = rows.filter(shared | lang.isNull()).select("*", shared.alias(known), none.alias(chars), none.alias(words))
+    return rows.unionByName(apart).mapInArrow(run(names), schema)
+
+
+def distance(counts: np.ndarray, refs: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+    """Jensen-Shannon distance of each row of counts to its nearest reference (0 for an empty row).
+
+    ``own`` has one more reference for each row, of zeros where there is none."""
     def share(x):
         total = x.sum(axis=1, keepdims=True)
         return np.divide(x, total, out=np.zeros_like(x, float), where=total > 0)
 
     def divergence(p, m):
         return np.where(p > 0, p * np.log2(np.where(p > 0, p, 1) / np.where(m > 0, m, 1)), 0).sum(axis=1)
+
+    def between(p, q):
+        m = (p + q) / 2
+        return (divergence(p, m) + divergence(np.broadcast_to(q, p.shape), m)) / 2
     p, best = share(counts.astype(float)), np.full(len(counts), np.inf)
     for q in share(refs):
-        m = (p + q) / 2
-        best = np.minimum(best, (divergence(p, m) + divergence(np.broadcast_to(q, p.shape), m)) / 2)
+        best = np.minimum(best, between(p, q))
+    if own is not None:
+        some = own.sum(axis=1) > 0
+        best[some] = np.minimum(best[some], between(p[some], share(own[some])))
     best[counts.sum(axis=1) == 0] = 0
     return np.sqrt(np.clip(best, 0, 1))
 
@@ -185,37 +226,52 @@ VERDICTS = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_l
             "base_failed boolean, kept boolean, char_distance double, word_distance double")
 
 
-def divergent(chars: np.ndarray, words: np.ndarray, refs: tuple[np.ndarray, np.ndarray],
+def _own(column: pa.Array, width: int) -> np.ndarray | None:
+    """Histograms of a column of arrays, zeros for nulls; None when all are null."""
+    if column.null_count == len(column):
+        return None
+    grid = np.zeros((len(column), width))
+    grid[column.is_valid().to_numpy(zero_copy_only=False)] = column.flatten().to_numpy().reshape(-1, width)
+    return grid
+
+
+def divergent(part: pa.RecordBatch, names: list[str], chars: np.ndarray, words: np.ndarray, refs: References,
               char_limit: float, word_limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(is too far from every language, character distance, word distance); 0 below a guard."""
+    """(is too far from every language, character distance, word distance); 0 below a guard or without a reference."""
+    known = part.column(names[0]).to_numpy(zero_copy_only=False)
     far = [np.zeros(len(chars)), np.zeros(len(chars))]
-    if len(refs[0]):
-        far = [distance(chars, refs[0]), distance(words, refs[1])]
-        far[0][chars.sum(axis=1) < CHAR_GUARD] = 0
-        far[1][words.sum(axis=1) < WORD_GUARD] = 0
+    if known.any():
+        far = [distance(chars, refs.chars, _own(part.column(names[1]), N_CLASS)),
+               distance(words, refs.words, _own(part.column(names[2]), N_WORD))]
+        far[0][~known | (chars.sum(axis=1) < CHAR_GUARD)] = 0
+        far[1][~known | (words.sum(axis=1) < WORD_GUARD)] = 0
     return (far[0] > char_limit) | (far[1] > word_limit), *far
 
 
-def verdicts(stats: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT) -> DataFrame:
+def verdicts(stats: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT,
+             most: int = MOST_SHARED) -> DataFrame:
     """One row per row of ``stats``."""
-    refs = references(stats)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            grids = [batch.column(name).flatten().to_numpy().reshape(n, width)
-                     for name, width in (("chars", N_CLASS), ("words", N_WORD))]
-            bad, *far = divergent(*grids, refs, char_limit, word_limit)
-            failed = batch.column("base_failed").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(i) for i in range(7)] + [pa.array(~failed & ~bad), *map(pa.array, far)],
-                names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                       "base_failed", "kept", "char_distance", "word_distance"])
+    refs = references(stats, most)
+    shared = refs._replace(rest=None)  # goes to the tasks
+
+    def judging(names: list[str]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n = batch.num_rows
+                if not n:
+                    continue
+                grids = [batch.column(name).flatten().to_numpy().reshape(n, width)
+                         for name, width in (("chars", N_CLASS), ("words", N_WORD))]
+                bad, *far = divergent(batch, names, *grids, shared, char_limit, word_limit)
+                failed = batch.column("base_failed").to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(i) for i in range(7)] + [pa.array(~failed & ~bad), *map(pa.array, far)],
+                    names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                           "base_failed", "kept", "char_distance", "word_distance"])
+        return run
     rows = stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                        base_failed().alias("base_failed"), "chars", "words")
-    return rows.mapInArrow(run, VERDICTS)
+                        base_failed().alias("base_failed"), "lang", "chars", "words")
+    return _meet(rows, refs, judging, VERDICTS)
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -223,21 +279,25 @@ def judge(docs: DataFrame) -> DataFrame:
     return verdicts(stored(statistics(docs), "quality-statistics"))
 
 
-def keep_good(docs: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT) -> DataFrame:
+def keep_good(docs: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT,
+              most: int = MOST_SHARED) -> DataFrame:
     """The rows of ``docs`` whose text is kept, all columns.
 
     The second scan measures each text again beside its row, which costs less than shuffling texts to
     meet a verdict and needs no key.
     """
-    refs = references(statistics(docs))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = _common_hashes()
-        for batch in batches:
-            for part in texts.slices(batch, "text"):
-                found = measure(*texts.text_bytes(part.column("text")), common)
-                n = found["n_words"]
-                failed = (n < MIN_WORDS) | (100 * found["n_repeat_words"] > MAX_REPEATED * n)
-                bad, *_ = divergent(found["chars"], found["words"], refs, char_limit, word_limit)
-                yield part.filter(pa.array(~failed & ~bad))
-    return docs.mapInArrow(run, docs.schema)
+    refs, columns = references(statistics(docs), most), docs.columns
+    shared = refs._replace(rest=None)  # goes to the tasks
+
+    def keeping(names: list[str]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            common = _common_hashes()
+            for batch in batches:
+                for part in texts.slices(batch, "text"):
+                    found = measure(*texts.text_bytes(part.column("text")), common)
+                    n = found["n_words"]
+                    failed = (n < MIN_WORDS) | (100 * found["n_repeat_words"] > MAX_REPEATED * n)
+                    bad, *_ = divergent(part, names, found["chars"], found["words"], shared, char_limit, word_limit)
+                    yield part.select(columns).filter(pa.array(~failed & ~bad))
+        return run
+    return _meet(docs, refs, keeping, docs.schema)

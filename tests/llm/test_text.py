@@ -85,6 +85,34 @@ def test_keep_good_agrees_with_the_verdicts(spark):
     assert got.columns == frame.columns and {r.doc_id for r in got.collect()} == kept
 
 
+def rare_languages(spark, n_english):
+    """Much English, a little Russian, Greek and junk, a Russian text with a wrong and one without a tag, and one text of a language with no other."""
+    rnd = random.Random(12)
+    english = "the of and to in is that it for was".split() * 20 + [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)]
+    russian, greek, thai = ([chr(at + k) * 2 + chr(at + 30 - k) + chr(at + k // 2) for k in range(24)] for at in (0x430, 0x3B1, 0xE01))
+    def text(own, n=120):
+        return " ".join(rnd.choice(own) for _ in range(n))
+    several = [text(english, 1000) for _ in range(20)]
+    rows = [(i, several[i % 20], "en") for i in range(n_english)]
+    rows += [(100_000 + i, text(russian), "ru") for i in range(25)] + [(200_000 + i, text(greek), "el") for i in range(25)]
+    rows += [(300_000, text(thai), "th"), (300_001, text(russian), "en"), (300_002, text(russian), None)]
+    rows += [(400_000, " ".join(w.upper() + "!!$$%%" for w in text(english).split()), "en"),
+             (400_001, " ".join(w.upper() + "!!$$%%" for w in text(english).split()), "ru")]
+    return spark.createDataFrame([(i, t, g, "s") for i, t, g in rows], "doc_id long, text string, lang string, known string").repartition(4)
+
+
+@pytest.mark.parametrize("n_english,most", [(100, 1000), (3500, 1000), (3500, 1), (100, 0)])
+def test_rare_languages_stay_whatever_the_others_hold(spark, n_english, most):
+    frame = rare_languages(spark, n_english)
+    found = {r.doc_id: r.kept for r in quality.verdicts(quality.statistics(frame), most=most).collect()}
+    assert len(found) == n_english + 55
+    junk = {400_000, 400_001} | ({300_001} if most < 2 else set())  # a wrong tag is mended by shared references only
+    assert {i for i, kept in found.items() if not kept} == junk
+    kept = quality.keep_good(frame, most=most)
+    assert kept.columns == frame.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(found.keys() - junk)
+
+
 @pytest.mark.parametrize("kind", ["toxic", "quality"])
 def test_held_out_accuracy(spark, kind):
     path = "/root/testdata/sf0.1"
