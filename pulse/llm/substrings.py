@@ -146,7 +146,10 @@ def _deal(size: int, ranges: int):
 
 
 def later_ones(hashes: np.ndarray, ids: np.ndarray, contents: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Indexes of all entries but the earliest of each hash."""
+    """Indexes of all entries but the earliest of each hash.
+
+    Entries equal in all four come from copies of one row in several slices: they are one window.
+    """
     order = np.argsort(hashes, kind="stable")
     equal = hashes[order[1:]] == hashes[order[:-1]]
     several = np.zeros(len(order), bool)
@@ -154,6 +157,8 @@ def later_ones(hashes: np.ndarray, ids: np.ndarray, contents: np.ndarray, at: np
     several[:-1] |= equal
     few = order[several]
     few = few[np.lexsort((at[few], contents[few], ids[few], hashes[few]))]
+    equal = [x[few[1:]] == x[few[:-1]] for x in (hashes, ids, contents, at)]
+    few = few[np.concatenate([[True], ~np.logical_and.reduce(equal)])] if len(few) else few
     return few[1:][hashes[few[1:]] == hashes[few[:-1]]]
 
 

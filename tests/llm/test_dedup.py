@@ -211,6 +211,20 @@ def test_substring_cuts(spark, size):
         assert all(x[1] < y[0] for x, y in zip(r.cuts, r.cuts[1:]))
 
 
+def test_copies_of_a_row_in_several_partitions_are_one_document(spark):
+    rnd = random.Random(13)
+    long = [" ".join(f"u{k}x{rnd.randrange(10_000)}" for _ in range(200)) for k in range(3)]
+    own = [(7, long[0]), (None, long[1]), (9, long[2] + " " + long[2]), (10, "before " + long[0] + " after")]
+    rows = own * 6
+    want = brute_cuts(rows, 20)
+    assert [want[k][1] for k in own] == [0, 0, 200, 200]
+    apart = spark.createDataFrame([(i, t, "x", 1, 2, "y") for i, t in rows], SCHEMA).repartition(6)
+    got = substrings.digest(apart).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=repr) == sorted(((k[0], *want[k]) for k in rows), key=repr)
+    kept = sorted((r.text for r in substrings.remove_repeats(apart).collect()))
+    assert kept == sorted([long[0], long[1], long[2], "before after"] * 6)
+
+
 def test_remove_repeats_changes_only_what_repeats(spark):
     rows = [r for r in corpus(9) if r[0] is not None]
     want = brute_cuts(rows, 20)
