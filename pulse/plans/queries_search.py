@@ -7,7 +7,7 @@ from pulse.functions import vectors
 from pulse.operators import fuse, lexical, sufficiency, vector
 from pulse.plans.catalog import query
 from pulse.plans.queries_stats import REMEDIES, gates_sql
-from pulse.plans.twin import (CONTENT, DOCS, HYBRID_TEXTS, LEXICAL, PASSAGES, QUERY_TEXTS,
+from pulse.plans.twin import (ALL_HYBRID_TEXTS, ALL_VECTORS, CONTENT, DOCS, HYBRID_TEXTS, LEXICAL, PASSAGES, QUERY_TEXTS,
                               TELEMETRY, VECTORS, WEB_TEXTS, distance_sql, nearest_sql, sql)
 from pulse.session import stored
 
@@ -153,6 +153,32 @@ def _(t):
                        ((F.col("probes") < CELLS) | (F.col("found") == F.col("expected"))).alias("whole_when_all"))
 
 
+@query("knn_all_queries", sql(ALL_VECTORS, nearest_sql(10), body=" SELECT * FROM near"))
+def knn_all_queries(t):
+    return vector.nearest(t.vectors(), t.all_query_vectors(), 10)
+
+
+# Probes of the ten label cells: those of knn_pruned, a number that reaches a recall of 0.9, and all.
+ALL_PROBES = (3, 8, 10)
+
+
+@query("recall_all_queries", sql(ALL_VECTORS, nearest_sql(10), PRUNED, body=f""",
+turns AS (
+  SELECT query_id, cell, row_number() OVER (
+    PARTITION BY query_id ORDER BY {distance_sql("q", "c")}, cell) AS turn FROM query_vectors, means)
+SELECT probes, 10 AS k, (SELECT count(*) FROM near) AS expected, count(*) AS found,
+  round(count(*) / (SELECT count(*) FROM near), 4) AS recall
+FROM (VALUES {", ".join(f"({p})" for p in ALL_PROBES)}) AS p(probes), near
+JOIN placed USING (chunk_id) JOIN turns USING (query_id, cell) WHERE turn <= probes GROUP BY probes"""))
+def _(t):
+    truth, cells, rows = knn_all_queries(t), label_means(t), None
+    for probes in ALL_PROBES:
+        found = vector.nearest_pruned(t.vectors(), t.all_query_vectors(), cells, 10, probes)
+        row = vector.recall(truth, found, 10).withColumn("probes", F.lit(probes))
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
 @query("truncated_vectors", sql(VECTORS, body=""",
 heads AS (SELECT vec_id, v[1:16] AS h, sqrt(list_dot_product(v[1:16], v[1:16])) AS n FROM vectors)
 SELECT vec_id, len(h) AS dims, round(list_sum(h) / n, 6) AS total, CAST(1 AS DOUBLE) AS norm FROM heads"""))
@@ -231,6 +257,18 @@ def _(t):
         *SHOWN, F.round("rrf_score", 6).alias("rrf_score"))
 
 
+@query("hybrid_all_queries", sql(PASSAGES, ALL_VECTORS, ALL_HYBRID_TEXTS, LEXICAL, nearest_sql(
+    100, "chunk_id IN (SELECT chunk_id FROM passages)"), FUSED,
+                                 body="""
+SELECT query_id, chunk_id, record_id, type, name, source, lexical_rank, vector_rank,
+  'hybrid' AS mode, rank, round(rrf, 6) AS rrf_score FROM hits"""))
+def _(t):
+    fused = fuse.fuse(lexical.top_lexical(scores(t, t.all_hybrid_queries())),
+                      vector.nearest(t.passages(), t.all_query_vectors(), lexical.CANDIDATES))
+    return fuse.hits(fused, t.lines()).select(
+        *SHOWN, F.round("rrf_score", 6).alias("rrf_score"))
+
+
 @query("lexical_only_search", sql(PASSAGES, QUERY_TEXTS, LEXICAL, """
 near AS (SELECT NULL AS query_id, NULL AS chunk_id, CAST(NULL AS INT) AS vector_rank WHERE false)""",
     FUSED, body="""

@@ -346,6 +346,20 @@ class Tables:
             _id("label", F.col("label")).alias("query_id"),
             F.array_join(words, " or ").alias("text"), "vector")
 
+    def all_query_vectors(self) -> DataFrame:
+        """The whole query set: every vector whose id is divisible by 20."""
+        return self.raw("embeddings").filter(F.col("vec_id") % 20 == 0).select(
+            _id("vec", F.col("vec_id")).alias("query_id"), F.col("embedding").alias("vector"))
+
+    def all_hybrid_queries(self) -> DataFrame:
+        """`all_query_vectors` with the words of the first line of their documents, for those that have one."""
+        words = F.split(F.split("text", "\n")[0], " ")
+        asked = self.raw("embeddings").filter(F.col("vec_id") % 20 == 0).select(
+            F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+        return asked.join(self.raw("documents").select("doc_id", "text"), "doc_id").select(
+            _id("vec", F.col("doc_id")).alias("query_id"),
+            F.array_join(words, " or ").alias("text"), "vector")
+
     def web_queries(self) -> DataFrame:
         """Every benchmark line rewritten as a phrase of its first two words, then its other words as
         alternatives, the last one excluded (when there are five)."""

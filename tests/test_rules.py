@@ -512,3 +512,13 @@ def test_survey_load_replaces_or_refuses(spark, scratch):
 def test_load_order_hash_is_order_sensitive(spark):
     a, b = F.array(F.lit("a"), F.lit("b")), F.array(F.lit("b"), F.lit("a"))
     assert one(spark, survey.load_order_hash(a)) != one(spark, survey.load_order_hash(b))
+
+
+def test_recall_over_the_whole_query_set(spark, tables):
+    """Every vector with vec_id % 20 = 0 asks; recall is measured, and 0.9 is reached with 8 of 10 cells."""
+    import __spark_entry__ as entry
+    asked = tables.raw("embeddings").filter("vec_id % 20 = 0").count()
+    assert asked > 20 and tables.all_query_vectors().count() == asked
+    rows = {r.probes: r for r in entry.queries()["recall_all_queries"](spark, tables.folder).collect()}
+    assert {r.expected for r in rows.values()} == {10 * asked}
+    assert rows[8].recall >= 0.9 and rows[10].recall == 1.0
