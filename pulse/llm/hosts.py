@@ -6,7 +6,11 @@ with the rule's; the longest wins. The rule list is a parameter, part of the pla
 
 Reputation: labelled page outcomes are counted per host (partial sums before the shuffle) and shrunk
 through beta-binomial priors. The suffix's posterior mean is the prior of its registered domains, the
-domain's posterior mean the prior of its hosts, each worth ``strength`` pages. A url without a rule is
+domain's posterior mean the prior of its hosts, each worth ``strength`` pages (a fixed number, not
+estimated from the counts). User part and port are no part of the host that is counted. The registered
+domain is one label below the suffix; a suffix is the last label, or one of ``suffixes``, a list of at most
+``MAX_SUFFIXES`` longer ones that is a parameter too (the default is a short one of common suffixes, not
+the public list). An IP address is its own domain and suffix. A url without a rule is
 blocked when the upper posterior bound of its host's good share lies below ``floor``: only hosts that
 are surely bad go, hosts with little evidence stay.
 
@@ -21,6 +25,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_RULES = 1000
+MAX_SUFFIXES = 10_000
+# Suffixes of several labels under which unrelated owners register; pass a longer list where it matters.
+SUFFIXES = tuple("""
+co.uk org.uk ac.uk gov.uk me.uk ltd.uk plc.uk net.uk sch.uk com.au net.au org.au edu.au gov.au id.au co.nz org.nz net.nz ac.nz govt.nz
+co.jp ne.jp or.jp ac.jp go.jp co.kr or.kr ac.kr go.kr com.cn net.cn org.cn edu.cn gov.cn com.tw org.tw edu.tw com.hk org.hk com.sg edu.sg
+co.in net.in org.in ac.in gov.in com.br net.br org.br gov.br com.ar com.mx com.co com.pe com.tr com.ua com.pl co.za org.za co.il ac.il
+com.my com.ph com.vn co.id ac.id co.th ac.th com.eg com.sa com.ng co.ke com.pk com.bd
+github.io gitlab.io blogspot.com wordpress.com netlify.app vercel.app pages.dev web.app herokuapp.com azurewebsites.net cloudfront.net
+tumblr.com weebly.com wixsite.com
+""".split())
 STRENGTH = 8.0
 FLOOR = 0.5
 Z = 1.645
@@ -48,23 +62,41 @@ def matched(host_name: Column, url_path: Column, rules: list[tuple[str, str, str
     return text, action
 
 
-def registered(host_name: Column) -> Column:
-    """The last two labels; shorter hosts are their own."""
-    return F.substring_index(host_name, ".", -2)
+def bare(host_name: Column) -> Column:
+    """The host without user part, port and dots at its end."""
+    return F.regexp_replace(F.regexp_replace(host_name, r"(?s)^.*@", ""), r"\.*(:[0-9]*)?$", "")
 
 
-def suffix(host_name: Column) -> Column:
-    return F.substring_index(host_name, ".", -1)
+def is_ip(host_name: Column) -> Column:
+    return host_name.startswith("[") | host_name.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$")
 
 
-def reputation(pages: DataFrame, strength: float = STRENGTH, z: float = Z) -> DataFrame:
-    """(host, rep_pages, mean, upper) from columns host and good (0, 1 or null).
+def suffix(host_name: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """The longest of ``suffixes`` that ends the host at a label, else the last label; an IP is its own."""
+    if len(suffixes) > MAX_SUFFIXES:
+        raise ValueError(f"more than {MAX_SUFFIXES} suffixes")
+    found = F.substring_index(host_name, ".", -1)
+    for labels in sorted({s.count(".") + 1 for s in suffixes}):
+        end = F.substring_index(host_name, ".", -labels)
+        found = F.when(end.isin([s for s in suffixes if s.count(".") + 1 == labels]), end).otherwise(found)
+    return F.when(is_ip(host_name), host_name).otherwise(found)
+
+
+def registered(host_name: Column, zone: Column) -> Column:
+    """The suffix ``zone`` and the label before it; a host that is a suffix is its own."""
+    before = F.substring(host_name, F.lit(1), F.length(host_name) - F.length(zone) - 1)
+    return F.when(F.length(host_name) <= F.length(zone) + 1, host_name).otherwise(
+        F.concat(F.substring_index(before, ".", -1), F.lit("."), zone))
+
+
+def reputation(pages: DataFrame, strength: float = STRENGTH, z: float = Z, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+    """(host, rep_pages, mean, upper) from columns host, as `bare` gives it, and good (0, 1 or null).
 
     The three levels are sums of the level below, so only the first reads pages.
     """
     hosts = (pages.filter("good is not null and host <> ''").groupBy("host")
              .agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("k"))
-             .withColumns({"domain": registered(F.col("host")), "zone": suffix(F.col("host"))}))
+             .withColumn("zone", suffix(F.col("host"), suffixes)).withColumn("domain", registered(F.col("host"), F.col("zone"))))
     domains = hosts.groupBy("domain", "zone").agg(F.sum("n").alias("dn"), F.sum("k").alias("dk"))
     zones = domains.groupBy("zone").agg(F.sum("dn").alias("zn"), F.sum("dk").alias("zk"))
     zones = zones.select("zone", ((F.col("zk") + 1) / (F.col("zn") + 2)).alias("z_mean"))
@@ -78,12 +110,12 @@ def reputation(pages: DataFrame, strength: float = STRENGTH, z: float = Z) -> Da
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], strength: float = STRENGTH,
-          floor: float = FLOOR, z: float = Z) -> DataFrame:
+          floor: float = FLOOR, z: float = Z, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """page_id, host, path, rule, verdict for columns page_id, url and good."""
     rows = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"),
                         F.col("good").cast("double").alias("good"))
-    known = reputation(rows.select("host", "good"), strength, z).select(F.col("host").alias("rep_host"), "upper")
+    known = reputation(rows.select(bare(F.col("host")).alias("host"), "good"), strength, z, suffixes).select(F.col("host").alias("rep_host"), "upper")
     rule, action = matched(F.col("host"), F.col("path"), rules)
     by_host = F.when(F.col("upper") < floor, "block").otherwise("allow")
-    return (rows.select("page_id", "host", "path").join(known, F.col("host") == F.col("rep_host"), "left")
+    return (rows.select("page_id", "host", "path").join(known, bare(F.col("host")) == F.col("rep_host"), "left")
             .select("page_id", "host", "path", rule.alias("rule"), F.coalesce(action, by_host).alias("verdict")))

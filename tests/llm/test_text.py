@@ -273,6 +273,27 @@ def test_reputation_shrinks(spark):
     assert all(got[i] == "allow" for i in range(100, 160)) and got[201] == "allow"
 
 
+def test_domains(spark):
+    want = {"a.b.co.uk": ("co.uk", "b.co.uk"), "b.co.uk": ("co.uk", "b.co.uk"), "co.uk": ("co.uk", "co.uk"), "x.me.github.io": ("github.io", "me.github.io"),
+            "www.example.com": ("com", "example.com"), "example.com": ("com", "example.com"), "localhost": ("localhost", "localhost"),
+            "notco.uk": ("uk", "notco.uk"), "1.2.3.4": ("1.2.3.4", "1.2.3.4"), "[::1]": ("[::1]", "[::1]"), "1.2.3.4.com": ("com", "4.com")}
+    frame = spark.createDataFrame([(h,) for h in want], "h string").withColumn("z", hosts.suffix(F.col("h")))
+    assert {r.h: (r.z, r.d) for r in frame.withColumn("d", hosts.registered(F.col("h"), F.col("z"))).collect()} == want
+    names = ["a.com:80", "u:p@a.com", "a.com", "a.com.", "u@a.com:", "[::1]:8"]
+    got = spark.createDataFrame([(h,) for h in names], "h string").select(hosts.bare(F.col("h")).alias("b")).collect()
+    assert [r.b for r in got] == ["a.com"] * 5 + ["[::1]"]
+
+
+def test_unrelated_hosts_share_no_prior(spark):
+    rows = []
+    for end in ("co.uk", "com.au", "github.io"):
+        rows += [(f"http://bad{i}.{end}/x", 0) for i in range(300)] + [(f"http://good.{end}/", 1)] * 3
+    rows += [(f"http://10.0.3.4:{80 + i}/", 0) for i in range(60)] + [("http://10.1.3.4/", 1)] * 2 + [("http://u@10.0.3.4/", 0)]
+    got = hosts.judge(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, good int"), []).collect()
+    assert {rows[r.page_id][0] for r in got if rows[r.page_id][1] and r.verdict != "allow"} == set()
+    assert {r.verdict for r in got if "10.0.3.4" in rows[r.page_id][0]} == {"block"}
+
+
 def test_empty_tables(spark):
     none = docs(spark, [(1, "a")]).filter("doc_id < 0")
     labels = spark.createDataFrame([(1, 0, 1)], "doc_id long, quality int, toxic int")
