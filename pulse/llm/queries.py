@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulse.llm import bpe, chat, exact, hosts, jaccard, packing, passages, quality, substrings, toxicity
+from pulse.llm import (bpe, chat, exact, hosts, jaccard, licences, packing, passages, prefixes, quality, ranked, substrings,
+                       toxicity)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -160,3 +161,68 @@ FROM o LEFT JOIN f USING (page_id) LEFT JOIN u USING (host)""")
 def op8_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", page_outcome(F.col("html")).alias("good"))
     return hosts.judge(pages, URL_RULES)
+
+
+@query("op11_licence_scan")
+def op11_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notices, tags and licence expressions of every text."""
+    return licences.scan(table(spark, sf_dir, "documents")).drop("found", "expressions")
+
+
+@query("op12_prefix_trie", r"""
+WITH own AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(said)) AS pos, said, words
+  FROM (SELECT conv_id, turn, length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS said,
+               len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words
+        FROM conversations WHERE conv_id IS NOT NULL)),
+bits AS (
+  SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS c, conv_id - conv_id % 20 AS base FROM own),
+heads AS (  -- h = crc32(decimal id) % 4, bit by bit: a byte is mixed in, then eight shifts (marked -1)
+  SELECT conv_id, base, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(range(1, length(c) + 1),
+      lambda i: [CAST(ascii(substr(c, i, 1)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) % 4 AS h
+  FROM bits),
+taken AS (SELECT h.conv_id, o.pos, o.said, o.words FROM heads h JOIN own o ON o.conv_id = h.base AND o.pos <= h.h),
+rest AS (SELECT o.conv_id, o.pos - h.h + (SELECT count(*) FROM taken t WHERE t.conv_id = o.conv_id) AS pos, o.said, o.words
+         FROM own o JOIN heads h USING (conv_id) WHERE o.pos > h.h),
+turns AS (SELECT * FROM taken UNION ALL SELECT * FROM rest),
+paths AS (SELECT h.conv_id, coalesce(list(md5(said) ORDER BY pos) FILTER (pos IS NOT NULL), []) AS p,
+                 coalesce(list(words ORDER BY pos) FILTER (pos IS NOT NULL), []) AS ws
+          FROM heads h LEFT JOIN turns USING (conv_id) GROUP BY h.conv_id),
+members AS (SELECT conv_id, len(p) AS n, d AS depth, array_to_string(p[1:d], '') AS k, array_to_string(p[1:d - 1], '') AS up,
+                   CASE WHEN d > 0 THEN ws[d] ELSE 0 END AS words
+            FROM paths, unnest(range(0, len(p) + 1)) AS r(d)),
+nodes AS (SELECT k, depth, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS saved,
+                 sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+          FROM members GROUP BY k, depth),
+kids AS (SELECT up AS k, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+below AS (SELECT m.k, m.depth, sum(n.saved) AS saved_tokens, count(*) FILTER (c.n_children IS NULL) AS n_leaves
+          FROM nodes n JOIN paths p ON p.conv_id = n.conv_id
+          JOIN members m ON m.conv_id = n.conv_id AND m.depth <= n.depth
+          LEFT JOIN kids c ON c.k = n.k AND c.depth = n.depth GROUP BY m.k, m.depth)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children,
+       CAST(b.n_leaves AS BIGINT) AS n_leaves, CAST(b.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN below b ON b.k = n.k AND b.depth = n.depth
+LEFT JOIN kids c ON c.k = n.k AND c.depth = n.depth
+LEFT JOIN nodes u ON n.depth > 0 AND u.k = n.up AND u.depth = n.depth - 1""")
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of the rebuilt conversations."""
+    return prefixes.trie(*prefixes.share_heads(prefixes.number_turns(table(spark, sf_dir, "conversations"))))
+
+
+@query("op13_ranked_search", r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+s AS (SELECT count(*) AS n_docs, sum(len(ws)) AS n_terms FROM d WHERE len(ws) > 0),
+t AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS term FROM d),
+tf AS (SELECT doc_id, n, term, count(*) AS tf FROM t GROUP BY ALL),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, s GROUP BY term, n_docs),
+scores AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+           FROM q JOIN w USING (term) JOIN tf USING (term), s GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 50""")
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -21,6 +21,11 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+# Lower-case letters, digits and all bytes beyond ASCII stand for themselves, A-Z for a-z, the rest for blanks.
+TERMS = np.full(256, 0x20, np.uint8)
+TERMS[0x30:0x3A] = np.arange(0x30, 0x3A)
+TERMS[0x61:0x7B] = TERMS[0x41:0x5B] = np.arange(0x61, 0x7B)
+TERMS[0x80:] = np.arange(0x80, 0x100)
 
 _RANDOM = np.random.Generator(np.random.PCG64(20240607))
 LETTER = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
