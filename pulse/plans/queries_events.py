@@ -9,6 +9,7 @@ from pulse.operators import explorer, flow, sequence
 from pulse.operators.sufficiency import placement_tally
 from pulse.plans.catalog import query
 from pulse.plans.twin import CONTENT, EXPLORATION, FEED, TELEMETRY, sql
+from pulse.session import scratch_path
 from pulse.sources import ingest
 
 AS_OF = datetime(2024, 1, 31)  # fixed, so results can be reproduced
@@ -41,6 +42,21 @@ def _(t):
     return ingest.violation_counts(parsed(t))
 
 
+@query("growing_log", sql(TELEMETRY, body="""
+SELECT type, 2 * count(*) AS lines, CAST(2 * sum(seq) AS BIGINT) AS seq_sum FROM telemetry GROUP BY type
+UNION ALL SELECT 'none', 2 * count(*), NULL FROM telemetry"""))
+def _(t):
+    # the log as files, read as live ones in ranges that cut lines; `none` are the untagged and broken lines
+    folder = scratch_path(t.spark, "logs")
+    t.log_lines().select("line").write.text(folder)
+    rows = ingest.read_growing_log(t.spark, folder, range_bytes=100_000)
+    marked = rows.withColumn("body", F.when(F.instr("line", ingest.EVENT_TAG) > 0, F.substring_index("line", ingest.EVENT_TAG, -1)))
+    kind = F.try_variant_get(F.try_parse_json("body"), "$.type", "string")
+    seq = F.try_variant_get(F.try_parse_json("body"), "$.seq", "bigint")
+    return marked.groupBy(F.coalesce(kind, F.lit("none")).alias("type")).agg(
+        F.count("*").alias("lines"), F.sum(seq).alias("seq_sum"))
+
+
 @query("log_ingest", sql(TELEMETRY, body=f"""
 SELECT {uuid_sql("session_id")} AS session_id, seq, type,
   CASE WHEN env IN ('dev', 'prod') THEN env ELSE 'prod' END AS env, mod_id, ts_us // 1000 AS ts_ms,

@@ -4,11 +4,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulse.functions import vectors
-from pulse.operators import fuse, lexical, sufficiency, vector
+from pulse.operators import fuse, lexical, sketch, sufficiency, vector
 from pulse.plans.catalog import query
 from pulse.plans.queries_stats import REMEDIES, gates_sql
-from pulse.plans.twin import (ALL_HYBRID_TEXTS, ALL_VECTORS, CONTENT, DOCS, HYBRID_TEXTS, LEXICAL, PASSAGES, QUERY_TEXTS,
-                              TELEMETRY, VECTORS, WEB_TEXTS, distance_sql, nearest_sql, sql)
+from pulse.plans.twin import (CONTENT, DOCS, HYBRID_TEXTS, LABEL_VECTORS, LEXICAL, PASSAGES, QUERY_TEXTS, TELEMETRY,
+                              VECTORS, WEB_TEXTS, distance_sql, nearest_sql, sql)
 from pulse.session import stored
 
 
@@ -92,6 +92,9 @@ def _(t):
     return vector.nearest(chunks, t.query_vectors(), 10)
 
 
+# Probes of the ten label cells with which the pruned search keeps a recall of 0.9.
+REACH = 8
+
 PRUNED = f"""
 means AS (
   SELECT 'c' || CAST(label AS VARCHAR) AS cell, list(m ORDER BY i) AS c
@@ -102,7 +105,7 @@ placed AS (
   QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY {distance_sql("v", "c")}, cell) = 1),
 probed AS (
   SELECT query_id, q, cell FROM query_vectors, means
-  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {distance_sql("q", "c")}, cell) <= 3),
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {distance_sql("q", "c")}, cell) <= {REACH}),
 pruned AS (
   SELECT query_id, chunk_id, {distance_sql("q", "v")} AS distance,
     row_number() OVER (PARTITION BY query_id ORDER BY {distance_sql("q", "v")}, chunk_id)
@@ -121,7 +124,7 @@ def label_means(t):
 
 @query("knn_pruned", sql(VECTORS, PRUNED, body=" SELECT * FROM pruned"))
 def knn_pruned(t):
-    return vector.nearest_pruned(t.vectors(), t.query_vectors(), label_means(t), 10, probes=3)
+    return vector.nearest_pruned(t.vectors(), t.query_vectors(), label_means(t), 10, probes=REACH)
 
 
 @query("recall_at_k", sql(VECTORS, nearest_sql(10), PRUNED, body="""
@@ -153,16 +156,16 @@ def _(t):
                        ((F.col("probes") < CELLS) | (F.col("found") == F.col("expected"))).alias("whole_when_all"))
 
 
-@query("knn_all_queries", sql(ALL_VECTORS, nearest_sql(10), body=" SELECT * FROM near"))
+@query("knn_all_queries", sql(VECTORS, nearest_sql(10), body=" SELECT * FROM near"))
 def knn_all_queries(t):
-    return vector.nearest(t.vectors(), t.all_query_vectors(), 10)
+    return knn_exact(t)
 
 
-# Probes of the ten label cells: those of knn_pruned, a number that reaches a recall of 0.9, and all.
-ALL_PROBES = (3, 8, 10)
+# Probes of the ten label cells: few, those of knn_pruned, and all.
+ALL_PROBES = (3, REACH, 10)
 
 
-@query("recall_all_queries", sql(ALL_VECTORS, nearest_sql(10), PRUNED, body=f""",
+@query("recall_all_queries", sql(VECTORS, nearest_sql(10), PRUNED, body=f""",
 turns AS (
   SELECT query_id, cell, row_number() OVER (
     PARTITION BY query_id ORDER BY {distance_sql("q", "c")}, cell) AS turn FROM query_vectors, means)
@@ -173,12 +176,28 @@ JOIN placed USING (chunk_id) JOIN turns USING (query_id, cell) WHERE turn <= pro
 def _(t):
     truth, cells, rows = knn_all_queries(t), label_means(t), None
     for probes in ALL_PROBES:
-        found = vector.nearest_pruned(t.vectors(), t.all_query_vectors(), cells, 10, probes)
+        found = vector.nearest_pruned(t.vectors(), t.query_vectors(), cells, 10, probes)
         row = vector.recall(truth, found, 10).withColumn("probes", F.lit(probes))
         rows = row if rows is None else rows.unionByName(row)
     return rows
 
 
+# Codes of four bits a dimension lose none of the ten nearest at the tested sizes, so exact search checks it.
+@query("knn_sketched", sql(VECTORS, nearest_sql(10), body=" SELECT * FROM near"))
+def knn_sketched(t):
+    return sketch.nearest(t.vectors(), t.query_vectors(), 10)
+
+
+@query("recall_sketched", sql(VECTORS, nearest_sql(10), body=f"""
+SELECT 10 AS k, count(*) AS expected, count(*) AS found, CAST(1 AS DOUBLE) AS recall,
+  (SELECT round({sketch.SHORTLIST} / count(*), 4) FROM vectors) AS compared
+FROM near"""))
+def _(t):
+    # share of the exact answer that the codes kept, and of all distances that were computed
+    chunks = t.vectors().agg(F.round(sketch.SHORTLIST / F.count("*"), 4).alias("compared"))
+    return vector.recall(knn_exact(t), knn_sketched(t), 10).crossJoin(F.broadcast(chunks))
+
+
 @query("truncated_vectors", sql(VECTORS, body=""",
 heads AS (SELECT vec_id, v[1:16] AS h, sqrt(list_dot_product(v[1:16], v[1:16])) AS n FROM vectors)
 SELECT vec_id, len(h) AS dims, round(list_sum(h) / n, 6) AS total, CAST(1 AS DOUBLE) AS norm FROM heads"""))
@@ -249,7 +268,7 @@ SHOWN = ("query_id", "chunk_id", "record_id", "type", "name", "source", "lexical
                             body="""
 SELECT query_id, chunk_id, record_id, type, name, source, lexical_rank, vector_rank,
   'hybrid' AS mode, rank, round(rrf, 6) AS rrf_score FROM hits"""))
-def _(t):
+def hybrid_search(t):
     queries = t.hybrid_queries()
     fused = fuse.fuse(lexical.top_lexical(scores(t, queries)),
                       vector.nearest(t.passages(), t.query_vectors(), lexical.CANDIDATES))
@@ -257,16 +276,15 @@ def _(t):
         *SHOWN, F.round("rrf_score", 6).alias("rrf_score"))
 
 
-@query("hybrid_all_queries", sql(PASSAGES, ALL_VECTORS, ALL_HYBRID_TEXTS, LEXICAL, nearest_sql(
-    100, "chunk_id IN (SELECT chunk_id FROM passages)"), FUSED,
-                                 body="""
-SELECT query_id, chunk_id, record_id, type, name, source, lexical_rank, vector_rank,
-  'hybrid' AS mode, rank, round(rrf, 6) AS rrf_score FROM hits"""))
+@query("hybrid_all_queries", sql(PASSAGES, VECTORS, HYBRID_TEXTS, LEXICAL, nearest_sql(
+    100, "chunk_id IN (SELECT chunk_id FROM passages)"), FUSED, body="""
+SELECT query_id, count(*) AS hits, min(rank) AS first, max(rank) AS last,
+  count(lexical_rank) AS lexical, count(vector_rank) AS vector FROM hits GROUP BY query_id"""))
 def _(t):
-    fused = fuse.fuse(lexical.top_lexical(scores(t, t.all_hybrid_queries())),
-                      vector.nearest(t.passages(), t.all_query_vectors(), lexical.CANDIDATES))
-    return fuse.hits(fused, t.lines()).select(
-        *SHOWN, F.round("rrf_score", 6).alias("rrf_score"))
+    # what each query of the whole set got
+    return hybrid_search(t).groupBy("query_id").agg(
+        F.count("*").alias("hits"), F.min("rank").alias("first"), F.max("rank").alias("last"),
+        F.count("lexical_rank").alias("lexical"), F.count("vector_rank").alias("vector"))
 
 
 @query("lexical_only_search", sql(PASSAGES, QUERY_TEXTS, LEXICAL, """
@@ -279,7 +297,7 @@ def _(t):
     return fuse.hits(fused, t.lines()).select(*SHOWN)
 
 
-@query("remedy_recommendation", sql(TELEMETRY, CONTENT, gates_sql(), REMEDIES, VECTORS, body=f""",
+@query("remedy_recommendation", sql(TELEMETRY, CONTENT, gates_sql(), REMEDIES, LABEL_VECTORS, body=f""",
 demands AS (SELECT DISTINCT stat, stat_kind, gap_p90 FROM gates),
 eligible AS (
   SELECT d.*, r.record_id || '#' || CAST(r.ordinal AS VARCHAR) AS chunk_id,
@@ -287,7 +305,7 @@ eligible AS (
   FROM demands d JOIN remedies r ON r.affected = d.stat AND r.affected_kind = d.stat_kind
     AND r.magnitude_max >= d.gap_p90
   JOIN vectors x ON 'Part_' || CAST(x.vec_id AS VARCHAR) = r.record_id
-  JOIN query_vectors y ON 'label' || substr(d.stat, 3) = y.query_id)
+  JOIN label_vectors y ON 'label' || substr(d.stat, 3) = y.query_id)
 SELECT stat || '/' || stat_kind || '/' || CAST(gap_p90 AS VARCHAR) AS query_id, chunk_id, distance,
   row_number() OVER (PARTITION BY stat, stat_kind, gap_p90 ORDER BY distance, chunk_id)
     AS vector_rank
@@ -302,7 +320,7 @@ def _(t):
         F.concat_ws("#", "record_id", F.col("ordinal").cast("string")).alias("chunk_id"),
         "embedding", F.col("magnitude_max").alias("strength"))
     demands = sufficiency.gate_gaps(t.unordered()).select("stat", "stat_kind", "gap_p90").distinct()
-    asked = demands.join(t.query_vectors().withColumnRenamed("query_id", "label"),
+    asked = demands.join(t.label_vectors(),
                          F.col("label") == F.concat(F.lit("label"), F.substring("stat", 3, 9)))
     return vector.nearest_within(chunks, asked.select(
         F.concat_ws("/", "stat", "stat_kind").alias("cell"),

@@ -135,14 +135,14 @@ vectors AS (
          CAST(embedding AS DOUBLE[]) AS v
   FROM embeddings),
 query_vectors AS (
+  SELECT 'vec' || CAST(vec_id AS VARCHAR) AS query_id, v AS q FROM vectors WHERE vec_id % 20 = 0)"""
+
+# One vector for each label, that of its first member.
+LABEL_VECTORS = VECTORS[:VECTORS.index("query_vectors AS")] + """
+label_vectors AS (
   SELECT 'label' || CAST(label AS VARCHAR) AS query_id, arg_min(v, vec_id) AS q
   FROM vectors GROUP BY label)"""
 
-# The same with every vector whose id is divisible by 20 as a query.
-ALL_VECTORS = VECTORS[:VECTORS.index("query_vectors AS")] + """
-query_vectors AS (
-  SELECT 'vec' || CAST(vec_id AS VARCHAR) AS query_id, v AS q FROM vectors WHERE vec_id % 20 = 0)"""
-
 QUERY_TEXTS = """
 query_texts AS (
   SELECT 'b' || CAST(item_id AS VARCHAR) || '-' || CAST(line AS VARCHAR) AS query_id, text
@@ -152,16 +152,6 @@ query_texts AS (
 
 
 HYBRID_TEXTS = """
-firsts AS (
-  SELECT label, min(vec_id) AS doc_id, arg_min(CAST(embedding AS DOUBLE[]), vec_id) AS q
-  FROM embeddings GROUP BY label),
-query_texts AS (
-  SELECT 'label' || CAST(label AS VARCHAR) AS query_id,
-    array_to_string(w, ' or ') AS text
-  FROM (SELECT label, string_split(string_split(text, chr(10))[1], ' ') AS w
-        FROM firsts JOIN documents USING (doc_id)))"""
-
-ALL_HYBRID_TEXTS = """
 query_texts AS (
   SELECT 'vec' || CAST(doc_id AS VARCHAR) AS query_id, array_to_string(w, ' or ') AS text
   FROM (SELECT doc_id, string_split(string_split(text, chr(10))[1], ' ') AS w

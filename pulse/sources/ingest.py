@@ -11,6 +11,7 @@ from pulse.functions import payload
 from pulse.functions.verdicts import live_types
 from pulse.operators.blocked import with_block
 from pulse.operators.once import compute_once
+from pulse.sources import growing
 
 # Fixed values of the wire format.
 EVENT_TAG = "OMWA1 "
@@ -33,6 +34,12 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
+def read_growing_log(spark: SparkSession, path: str, **options) -> DataFrame:
+    """The complete lines of logs that may still be written, split by byte ranges."""
+    growing.register(spark)
+    return spark.read.format(growing.NAME).options(path=path, **options).load()
+
+
 def tagged(lines: DataFrame, tag: str = EVENT_TAG) -> DataFrame:
     """Keep lines carrying the tag anywhere; `body` is the text after it."""
     at = F.instr("line", tag)

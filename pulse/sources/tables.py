@@ -331,28 +331,19 @@ class Tables:
             F.col("vec_id"), "label", "embedding")
 
     def query_vectors(self) -> DataFrame:
-        """One query per label: the vector of its first member."""
+        """The query set: every vector whose id is divisible by 20."""
+        return self.raw("embeddings").filter(F.col("vec_id") % 20 == 0).select(
+            _id("vec", F.col("vec_id")).alias("query_id"), F.col("embedding").alias("vector"))
+
+    def label_vectors(self) -> DataFrame:
+        """What each kind of stat is described by: the vector of the first member of a label."""
         return (self.raw("embeddings").groupBy("label")
                 .agg(F.min_by("embedding", "vec_id").alias("vector"))
-                .select(_id("label", F.col("label")).alias("query_id"), "vector"))
+                .select(_id("label", F.col("label")).alias("label"), "vector"))
 
     def hybrid_queries(self) -> DataFrame:
-        """Query vectors with a text: the words of the first line of the passage of each vector, any
-        of which may match."""
-        first = self.raw("embeddings").groupBy("label").agg(
-            F.min("vec_id").alias("doc_id"), F.min_by("embedding", "vec_id").alias("vector"))
-        words = F.split(F.split("text", "\n")[0], " ")
-        return first.join(self.raw("documents").select("doc_id", "text"), "doc_id").select(
-            _id("label", F.col("label")).alias("query_id"),
-            F.array_join(words, " or ").alias("text"), "vector")
-
-    def all_query_vectors(self) -> DataFrame:
-        """The whole query set: every vector whose id is divisible by 20."""
-        return self.raw("embeddings").filter(F.col("vec_id") % 20 == 0).select(
-            _id("vec", F.col("vec_id")).alias("query_id"), F.col("embedding").alias("vector"))
-
-    def all_hybrid_queries(self) -> DataFrame:
-        """`all_query_vectors` with the words of the first line of their documents, for those that have one."""
+        """`query_vectors` with a text, any word of which may match. A vector belongs to the first line of
+        its document (chunk #0), so that line is the text; vectors without a document are not asked."""
         words = F.split(F.split("text", "\n")[0], " ")
         asked = self.raw("embeddings").filter(F.col("vec_id") % 20 == 0).select(
             F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))

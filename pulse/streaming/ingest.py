@@ -1,4 +1,4 @@
-"""Streaming ingest: closed log files -> validated events in Parquet, each stored once."""
+"""Streaming ingest: live or closed log files -> validated events in Parquet, each stored once."""
 
 from __future__ import annotations
 
@@ -7,16 +7,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pulse.plans.versions import read_if_there
-from pulse.sources import ingest
+from pulse.sources import growing, ingest
 from pulse.sources.schemas import EVENTS
 
 # Periodic trigger of the standing jobs.
 EVERY = "5 minutes"
 
 
-def read_log_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    """Lines of log files as they appear. A rotated or rewritten log is a new path; what it
-    repeats is dropped by the idempotent append."""
+def read_log_stream(spark: SparkSession, folder: str, **options) -> DataFrame:
+    """Lines of live logs as they are completed; logs that are cut or replaced are read anew."""
+    growing.register(spark)
+    return spark.readStream.format(growing.NAME).options(path=folder, **options).load()
+
+
+def read_closed_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
+    """Lines of log files that no one writes to any more, from any store that Spark reads; each path is read once."""
     return (spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder)
             .withColumnRenamed("value", "line"))
 
