@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulse.llm import texts
@@ -71,7 +71,7 @@ def signature(own: np.ndarray) -> int:
     return int(value.view(np.int64)[0])
 
 
-SIGNED = "doc_id long, n_shingles long, n_counted long, cls long, key int"
+SIGNED = "doc_id long, n_shingles long, n_counted long, cls long, key long"
 
 
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -88,8 +88,13 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return _keyed(docs).mapInArrow(run, SIGNED)
 
 
+def _key(docs: DataFrame) -> Column:
+    """What tells rows with null or reused ids apart: 64 bits of the text."""
+    return F.xxhash64(docs["text"].cast("string"))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), F.hash(docs["text"].cast("string")).alias("key"))
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), _key(docs).alias("key"))
 
 
 def bands(n: int, share: int = SHARE) -> list[int]:
@@ -441,24 +446,43 @@ def links(found: DataFrame, groups: DataFrame, share: int = SHARE, block: int =
     return first.union(second)
 
 
-def classes(docs: DataFrame, words: int = WORDS, share: int = SHARE, block: int = BLOCK) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+def _rooted(docs: DataFrame, words: int, share: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Signed rows of ``docs`` (doc_id, n_shingles, cls, key, ...), and (cls, root) of every class of equal sets."""
     docs = docs.select("doc_id", "text")
     signed = stored(signatures(docs, words), "jaccard-signatures")
     found = stored(candidates(docs, signed, words, share), "jaccard-candidates")
     groups = components(ties(found, share), "jaccard-ties")
     linked = components(links(found, groups, share, block), "jaccard-links")
-    smallest = signed.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
-    rooted = smallest.join(linked, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("root", "cls").alias("root"), "least")
-    whole = rooted.groupBy("root").agg(F.min("least").alias("component")).withColumnRenamed("root", "__root")
-    named = rooted.join(whole, F.col("root") == F.col("__root")).select(F.col("cls").alias("__cls"), "component")
+    sets_ = signed.filter("cls is not null").select("cls").distinct()
+    return signed, sets_.join(linked, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("root", "cls").alias("root"))
+
+
+def _best_of_root(signed: DataFrame, rooted: DataFrame, value: Column) -> DataFrame:
+    """(__cls, best): the smallest value of all rows whose class has the same root, for every class."""
+    per_class = signed.filter("cls is not null").groupBy("cls").agg(F.min(value).alias("least")).join(rooted, "cls")
+    per_root = per_class.groupBy("root").agg(F.min("least").alias("best")).withColumnRenamed("root", "__root")
+    return rooted.join(per_root, F.col("root") == F.col("__root")).select(F.col("cls").alias("__cls"), "best")
+
+
+def classes(docs: DataFrame, words: int = WORDS, share: int = SHARE, block: int = BLOCK) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+    signed, rooted = _rooted(docs, words, share, block)
+    named = _best_of_root(signed, rooted, F.col("doc_id"))
     return (signed.join(named, F.col("cls") == F.col("__cls"), "left")
-            .select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id")))
+            .select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("best")).alias("component_id")))
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
-    """The rows of ``docs`` without those that are linked to a smaller doc_id, directly or not."""
-    name = texts.fresh("gone", docs)
-    found = classes(docs, words, share).filter("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct()
-    gone = stored(found, "jaccard-dropped")
-    return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")
+    """The rows of ``docs`` without those that are linked, directly or not, to one that comes before them.
+
+    Rows come in the order of doc_id (null last), then of a hash of their text. Both together tell a row,
+    so a null or reused id neither keeps a copy nor takes an unlinked row away. Rows equal in id and text
+    are one document: all stay or all go. Texts without words stay; so does an empty table.
+    """
+    signed, rooted = _rooted(docs, words, share, BLOCK)
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    first = _best_of_root(signed, rooted, own)
+    beaten = signed.join(first, F.col("cls") == F.col("__cls")).filter(own != F.col("best"))
+    name, key = (texts.fresh(n, docs) for n in ("gone", "gone_key"))
+    gone = stored(beaten.select(F.col("doc_id").alias(name), F.col("key").alias(key)).distinct(), "jaccard-dropped")
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone[name]) & (_key(docs) == gone[key]), "left_anti")

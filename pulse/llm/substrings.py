@@ -41,8 +41,8 @@ FLUSH = 1 << 20
 _FIELDS = ("ids", "contents", "runs", "starts", "lengths", "hashes")
 DEALT = "part int, first long, " + ", ".join(f"{n} binary" for n in _FIELDS)
 _DEALT_ARROW = pa.schema([("part", pa.int32()), ("first", pa.int64()), *((n, pa.binary()) for n in _FIELDS)])
-FOUND = "__id long, __content int, at binary"
-_FOUND_ARROW = pa.schema([("__id", pa.int64()), ("__content", pa.int32()), ("at", pa.binary())])
+FOUND = "__id long, __content long, at binary"
+_FOUND_ARROW = pa.schema([("__id", pa.int64()), ("__content", pa.int64()), ("at", pa.binary())])
 NO_ID = -(1 << 63)
 
 
@@ -66,7 +66,7 @@ def _unpack(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     """(ids, contents, positions, hashes) of the windows of dealt rows."""
     ids, contents, at = [], [], []
     for _, first, steps, content, runs, starts, lengths, _ in rows:
-        content = np.frombuffer(content, np.int32)
+        content = np.frombuffer(content, np.int64)
         steps = np.frombuffer(steps, np.uint32 if len(steps) == 4 * len(content) else np.int64).astype(np.int64)
         runs, lengths = np.frombuffer(runs, np.uint32), np.frombuffer(lengths, np.uint32).astype(np.int64)
         per_doc = np.add.reduceat(lengths, (np.cumsum(runs) - runs).astype(np.int64))
@@ -211,7 +211,7 @@ def repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(docs["doc_id"].cast("long").alias("__id"), F.hash(docs["text"]).alias("__content"), docs["text"])
+    return docs.select(docs["doc_id"].cast("long").alias("__id"), F.xxhash64(docs["text"]).alias("__content"), docs["text"])
 
 
 def covered(n_words: int, at: np.ndarray, size: int) -> np.ndarray:
@@ -233,7 +233,7 @@ def with_cuts(docs: DataFrame, at: str, size: int = SIZE) -> DataFrame:
     own, own_content, other, other_content = (texts.fresh(n, docs) for n in ("own", "own_content", "other", "other_content"))
     found = (repeats(keyed(docs), size).groupBy(F.col("__id").alias(other), F.col("__content").alias(other_content))
              .agg(F.collect_list("at").alias(at)))
-    rows = docs.withColumns({own: F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)), own_content: F.hash(docs["text"])})
+    rows = docs.withColumns({own: F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)), own_content: F.xxhash64(docs["text"])})
     return rows.join(found, (F.col(own) == F.col(other)) & (F.col(own_content) == F.col(other_content)), "left")
 
 

@@ -168,6 +168,32 @@ def test_keep_one(spark):
     assert sorted(r.doc_id for r in got.collect()) == sorted(i for i, _ in rows if i not in gone)
 
 
+def test_keep_one_with_null_and_reused_ids(spark):
+    """Ids do not decide alone: one row of each class stays, and no unlinked row goes with a dropped one."""
+    rnd = random.Random(8)
+    base = [[f"v{rnd.randrange(5000)}" for _ in range(120)] for _ in range(6)]
+
+    def near(k, n):
+        return " ".join(base[k][:60] + [f"edit{n}"] + base[k][61:])
+    rows = [(None, near(0, n)) for n in range(4)]  # near copies without ids
+    rows += [(7, near(1, 0)), (7, near(1, 1)), (7, " ".join(base[2]))]  # two near copies and a stranger under one id
+    rows += [(3, near(3, 0)), (9, near(3, 1)), (9, " ".join(base[4]))]  # the stranger shares the id of a dropped row
+    rows += [(None, near(5, 0)), (50, near(5, 1)), (None, None), (None, ""), (50, None)]
+    kept = [(r.doc_id, r.text) for r in jaccard.keep_one(frame(spark, rows), 5, 80).collect()]
+    assert len(kept) == len(set(kept))
+    by_base = [[(i, t) for i, t in kept if t and t.split(" ")[0] == b[0]] for b in base]
+    assert [len(b) for b in by_base] == [1, 1, 1, 1, 1, 1]
+    assert by_base[0][0][0] is None and by_base[3] == [(3, near(3, 0))] and by_base[5] == [(50, near(5, 1))]
+    assert (9, " ".join(base[4])) in kept and (7, " ".join(base[2])) in kept
+    assert sorted((i or -1, t or "") for i, t in kept if not t) == [(-1, ""), (-1, ""), (50, "")]
+
+
+def test_components_of_one_large_star(spark):
+    edges = [(1000 + i, 5) for i in range(3000)] + [(5, 3), (4000, 1)]
+    got = components(spark.createDataFrame(edges, "a long, b long").repartition(6)).collect()
+    assert {r.node: r.root for r in got} == {5: 3, 4000: 1} | {1000 + i: 3 for i in range(3000)}
+
+
 def test_components(spark):
     rnd = random.Random(7)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(400, 460)] + [(5, 5)]

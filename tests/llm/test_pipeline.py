@@ -68,5 +68,5 @@ def test_stages(spark, folder):
 def test_registered():
     names = set(entry.queries())
     assert "pipeline" in names
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 14)}
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "exact_dedup", "jaccard_join", "substring_dedup", "best_fit_packing"]
