@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulse.operators import sequence
+from pulse.plans.eventlog import EventLog, Spans, without
 from pulse.plans.versions import Versions
 
 LATENESS = timedelta(minutes=10)
@@ -71,8 +72,10 @@ def fold(store: Versions, events: DataFrame, as_of: Column,
 def friction_read(store: Versions, events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(after_failure, attempts_to_pass) over all sessions, folded or not."""
     live = only(events, unfolded(events, store.read_all("sessions_done")))
-    partials = sequence.after_failure_partials(live, *GRAIN)
-    attempts = sequence.confrontation_attempts(live)
+    return _with_folded(store, sequence.after_failure_partials(live, *GRAIN), sequence.confrontation_attempts(live))
+
+
+def _with_folded(store: Versions, partials: DataFrame, attempts: DataFrame) -> tuple[DataFrame, DataFrame]:
     folded = store.read_all("friction")
     if folded is not None:
         partials = partials.unionByName(folded.drop("version"))
@@ -80,6 +83,80 @@ def friction_read(store: Versions, events: DataFrame) -> tuple[DataFrame, DataFr
     return sequence.after_failure(partials), sequence.attempts_to_pass(attempts)
 
 
+# ---- by change: what no fold has taken, instead of all events ever stored ----------------------------
+
+# What the sequences read; a session left open is kept with these.
+NEEDED = ("session_id", "install_id", "seq", "block", "type", "env", "mod_id", "suspect", "topic", "passed", "completed",
+          "ts", "received_at")
+
+
+def folded_batches(store: Versions) -> Spans:
+    """Batches that some fold has read."""
+    version = store.latest()
+    if version is None:
+        return []
+    return [tuple(s) for s in store.commits().filter(F.col("version") == version).first()["batches"]]
+
+
+def pending(store: Versions, log: EventLog) -> tuple[DataFrame | None, Spans]:
+    """(events of sessions in no fold, all committed batches).
+
+    These are the sessions that the last fold left open, which it kept, and what came in batches it did
+    not see, whatever their number: a slow batch that was committed after later ones is still read.
+    Late events of a folded session are left out.
+    """
+    batches, version = log.batches(), store.latest()
+    rows = log.read(without(batches, folded_batches(store)))
+    rows = rows if rows is None else _needed(rows)
+    if version is not None:
+        rows = rows.join(store.read_all("sessions_done").select("session_id"), "session_id", "left_anti").select(*rows.columns)
+        rows = rows.unionByName(store.read("open_events", version))
+    return rows, batches
+
+
+def _needed(rows: DataFrame) -> DataFrame:
+    missing = [c for c in NEEDED if c not in rows.columns]  # a column that the log does not keep is null
+    return rows.select(*NEEDED) if not missing else rows.withColumns(
+        {c: F.lit(None).cast("boolean") for c in missing}).select(*NEEDED)
+
+
+def fold_changes(store: Versions, log: EventLog, as_of: Column, lateness: timedelta = LATENESS) -> int:
+    """`fold` of what is pending; the sessions that stay open are written for the next one."""
+    rows, batches = pending(store, log)
+    version = (store.latest() or 0) + 1
+    folded = 0
+    if rows is not None:
+        store.write_uncommitted("sessions_done", version, settled(rows, as_of, None, lateness).withColumn("rolled_at", as_of))
+        sessions = store.read("sessions_done", version)
+        folded = sessions.count()
+        taken = only(rows, sessions)
+        store.write_uncommitted("friction", version, sequence.after_failure_partials(taken, *GRAIN))
+        store.write_uncommitted("attempts", version, sequence.confrontation_attempts(taken))
+        store.write_uncommitted("open_events", version, rows.join(sessions.select("session_id"), "session_id", "left_anti").select(*NEEDED))
+        covers = F.array(*[F.struct(F.lit(a).cast("long").alias("low"), F.lit(b).cast("long").alias("high")) for a, b in batches])
+        store.commit(version, store.spark.range(1).select(
+            as_of.alias("last_run_at"), F.lit(folded).cast("long").alias("sessions_folded"), covers.alias("batches")))
+    return folded
+
+
+def friction_read_changes(store: Versions, log: EventLog) -> tuple[DataFrame, DataFrame]:
+    """`friction_read` that opens only what is pending."""
+    live, _ = pending(store, log)
+    if live is None:
+        live = store.spark.createDataFrame([], _EMPTY)
+    return _with_folded(store, sequence.after_failure_partials(live, *GRAIN), sequence.confrontation_attempts(live))
+
+
+def coverage_changes(store: Versions, log: EventLog, as_of: Column) -> DataFrame:
+    """`coverage` that opens only what is pending."""
+    live, _ = pending(store, log)
+    return coverage(store, store.spark.createDataFrame([], _EMPTY) if live is None else live, as_of)
+
+
+_EMPTY = ("session_id string, install_id string, seq long, block long, type string, env string, mod_id string, suspect string, "
+          "topic string, passed boolean, completed boolean, ts timestamp, received_at timestamp")
+
+
 def coverage(store: Versions, events: DataFrame, as_of: Column) -> DataFrame:
     """Seconds since the fold last ran (null = never) and the number of live sessions."""
     live = unfolded(events, store.read_all("sessions_done")).agg(
