@@ -13,7 +13,7 @@ import sys
 import time
 
 from pulse import session
-from pulse.plans import catalog, queries_rollup, queries_search
+from pulse.plans import catalog, queries_events, queries_rollup, queries_search
 from pulse.sources.tables import Tables
 
 HEADLINE = (
@@ -40,9 +40,10 @@ def main() -> None:
     queries = catalog.callables()
     names = sys.argv[1:] or HEADLINE
     queries["counts_by_env"](spark, folder).collect()
-    # what standing jobs prepare ahead of a read: the folded rollup and the lexical index
+    # what standing jobs prepare ahead of a read: the event log with its folded rollup, stored keys and the lexical index
     tables, setup = Tables(spark, folder), {}
-    for name, prepare in (("rollup_folds", queries_rollup.folded_store), ("lexical_index", queries_search.lexical_index)):
+    for name, prepare in (("rollup_folds", queries_rollup.folded_store), ("appended_log", queries_events.appended_log),
+                          ("lexical_index", queries_search.lexical_index)):
         started = time.perf_counter()
         prepare(tables)
         setup[name] = round(time.perf_counter() - started, 3)

@@ -8,8 +8,9 @@ from pulse.functions import payload
 from pulse.operators import explorer, flow, sequence
 from pulse.operators.sufficiency import placement_tally
 from pulse.plans.catalog import query
+from pulse.plans.eventlog import EventLog
 from pulse.plans.twin import CONTENT, EXPLORATION, FEED, TELEMETRY, sql
-from pulse.session import scratch_path
+from pulse.session import scratch_path, stored
 from pulse.sources import ingest
 
 AS_OF = datetime(2024, 1, 31)  # fixed, so results can be reproduced
@@ -126,16 +127,25 @@ def _(t):
         F.count("*").alias("events"))
 
 
-def _stored(t):
-    """The first half of the month, as already appended."""
-    return ingest.first_delivery(deliveries(t).filter(F.col("ts") < "2024-01-16"))
+_appended: dict[tuple, EventLog] = {}
+
+
+def appended_log(t) -> EventLog:
+    """The event log after the first half of the month was appended; written once for each session and state of
+    the table."""
+    key = (t.spark.sparkContext.applicationId, t.folder, t.stamp("events"))
+    if key not in _appended:
+        log = EventLog(t.spark, scratch_path(t.spark, "appended"))
+        log.append(deliveries(t).filter(F.col("ts") < "2024-01-16"))
+        _appended[key] = log
+    return _appended[key]
 
 
 @query("idempotent_append", sql(TELEMETRY, body="""
 SELECT type, count(*) AS events, CAST(sum(seq) AS BIGINT) AS seq_sum FROM telemetry
 WHERE ts_us // 1000 >= epoch_ms(TIMESTAMP '2024-01-16') GROUP BY ALL"""))
 def _(t):
-    return ingest.new_rows(deliveries(t), _stored(t)).groupBy("type").agg(
+    return appended_log(t).new_rows(stored(deliveries(t), "batch")).groupBy("type").agg(
         F.count("*").alias("events"), F.sum("seq").alias("seq_sum"))
 
 
@@ -146,7 +156,19 @@ SELECT 2 * count(*) AS received,
     AS duplicates
 FROM telemetry"""))
 def _(t):
-    return ingest.ingest_report(deliveries(t), _stored(t))
+    batch = stored(deliveries(t).select(*ingest.KEY, "received_at"), "batch")
+    received = batch.agg(F.count("*").alias("received"))
+    inserted = appended_log(t).new_rows(batch).agg(F.count("*").alias("inserted"))
+    return received.crossJoin(F.broadcast(inserted)).withColumn("duplicates", F.col("received") - F.col("inserted"))
+
+
+@query("stored_keys", sql(TELEMETRY, body=f"""
+SELECT {uuid_sql("session_id")} AS session_id, CAST(min(seq) AS BIGINT) AS low, CAST(max(seq) AS BIGINT) AS high, count(*) AS events
+FROM telemetry WHERE ts_us // 1000 < epoch_ms(TIMESTAMP '2024-01-16') GROUP BY ALL"""))
+def _(t):
+    # the runs of sequence numbers that the log keeps, by session
+    return appended_log(t).keys().groupBy("session_id").agg(
+        F.min("low").alias("low"), F.max("high").alias("high"), F.sum(F.col("high") - F.col("low") + 1).alias("events"))
 
 
 @query("mod_registry", sql(TELEMETRY, body="""

@@ -36,13 +36,23 @@ def narrative(t):
         "embedding")
 
 
+_index: dict = {}
+
+
+def narrative_index(t):
+    """Term positions of the narrative, written once for each session and state of the table."""
+    key = (t.spark.sparkContext.applicationId, t.folder, t.stamp("part"))
+    if key not in _index:
+        _index[key] = stored(lexical.term_positions(narrative(t).drop("embedding")), "narrative-index")
+    return _index[key]
+
+
 def search(t, queries, query_vectors):
     """Hybrid search of the narrative records; CANDIDATE_PASSAGES hits a query."""
     chunks = narrative(t)
-    found = lexical.lexical_scores(lexical.term_positions(chunks.drop("embedding")),
-                                   lexical.parse_queries(queries), stored)
+    words = stored(lexical.parse_queries(queries), "query-words")
     near = vector.nearest(chunks, query_vectors, lexical.CANDIDATES)
-    return fuse.hits(fuse.fuse(lexical.top_lexical(found), near), chunks.drop("embedding"),
+    return fuse.hits(fuse.fuse(lexical.search(narrative_index(t), words, keep=stored), near), chunks.drop("embedding"),
                      insights.CANDIDATE_PASSAGES)
 
 

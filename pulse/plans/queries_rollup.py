@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pulse.operators import sequence
 from pulse.plans import rollup
 from pulse.plans.catalog import query
+from pulse.plans.eventlog import EventLog
 from pulse.plans.queries_stats import AFTER, ATTEMPTS, NEXT, TO_PASS
 from pulse.plans.twin import TELEMETRY, sql
 from pulse.plans.versions import Versions
@@ -48,29 +49,45 @@ NOW = datetime(2024, 1, 31)
 DONE = "done AS (" + " UNION ".join(f"""
   SELECT session_id FROM telemetry WHERE received_us < epoch_us(TIMESTAMP '{at}') GROUP BY ALL
   HAVING max(received_us) < epoch_us(TIMESTAMP '{at}') - 600000000""" for at in FOLDS) + ")"
-_folded: dict[tuple[str, str], Versions] = {}
+_folded: dict[tuple, tuple[Versions, EventLog]] = {}
 
 
-def folded_store(t):
-    """The rollup after both folds; written once for each session and folder, then only read."""
-    key = (t.spark.sparkContext.applicationId, t.folder)
+def folded_store(t) -> tuple[Versions, EventLog]:
+    """The rollup after both folds, and the event log; written once for each session and state of the table.
+
+    The log holds three batches: what came before the first fold, between both, and after the last.
+    """
+    key = (t.spark.sparkContext.applicationId, t.folder, t.stamp("events"))
     if key not in _folded:
         store = Versions(t.spark, scratch_path(t.spark, "rollup"))
-        for at in FOLDS:
-            seen = t.telemetry().filter(F.col("received_at") < F.lit(at))
-            rollup.fold(store, seen, F.lit(at))
-        _folded[key] = store
+        log = EventLog(t.spark, scratch_path(t.spark, "events"))
+        events, came = t.telemetry().select(*rollup.NEEDED), F.col("received_at")
+        log.append(events.filter(came < F.lit(FOLDS[0])))
+        rollup.fold_changes(store, log, F.lit(FOLDS[0]))
+        log.append(events.filter((came >= F.lit(FOLDS[0])) & (came < F.lit(FOLDS[1]))))
+        rollup.fold_changes(store, log, F.lit(FOLDS[1]))
+        log.append(events.filter(came >= F.lit(FOLDS[1])))
+        _folded[key] = store, log
     return _folded[key]
 
 
 @query("hybrid_after_failure", sql(TELEMETRY, NEXT, AFTER, body=" SELECT * FROM after_failure"))
 def _(t):
-    return rollup.friction_read(folded_store(t), t.telemetry())[0]
+    return rollup.friction_read_changes(*folded_store(t))[0]
 
 
 @query("hybrid_attempts_to_pass", sql(TELEMETRY, ATTEMPTS, TO_PASS, body=" SELECT * FROM to_pass"))
 def _(t):
-    return rollup.friction_read(folded_store(t), t.telemetry())[1]
+    return rollup.friction_read_changes(*folded_store(t))[1]
+
+
+@query("pending_sessions", sql(TELEMETRY, DONE, body="""
+SELECT session_id, count(*) AS events, min(seq) AS first, max(seq) AS last FROM telemetry
+WHERE session_id NOT IN (SELECT session_id FROM done) GROUP BY session_id"""))
+def _(t):
+    # what the next fold and every hybrid read open
+    return rollup.pending(*folded_store(t))[0].groupBy("session_id").agg(
+        F.count("*").alias("events"), F.min("seq").alias("first"), F.max("seq").alias("last"))
 
 
 @query("rollup_equals_recompute", sql(TELEMETRY, body="""
@@ -79,7 +96,7 @@ SELECT count(*) AS rows, 0 AS only_in_one FROM (
   WHERE type = 'ConfrontationAttempted')"""))
 def _(t):
     # symmetric difference of what the folds wrote, with the live rest, and a full recompute
-    store, events = folded_store(t), t.telemetry()
+    (store, _), events = folded_store(t), t.telemetry()
     live = rollup.only(events, rollup.unfolded(events, store.read_all("sessions_done")))
     union = sequence.confrontation_attempts(live).unionByName(
         store.read_all("attempts").drop("version"))
@@ -91,7 +108,7 @@ def _(t):
 @query("fold_log", sql(TELEMETRY, DONE, body="""
 SELECT (SELECT count(*) FROM done) AS sessions_folded, 2 AS runs"""))
 def _(t):
-    return folded_store(t).commits().agg(F.sum("sessions_folded").alias("sessions_folded"),
+    return folded_store(t)[0].commits().agg(F.sum("sessions_folded").alias("sessions_folded"),
                                          F.count("*").cast("int").alias("runs"))
 
 
@@ -115,10 +132,10 @@ SELECT epoch(TIMESTAMP '{NOW}') - epoch(TIMESTAMP '{FOLDS[-1]}') AS fold_stale_s
     AS in_window
 FROM telemetry WHERE session_id NOT IN (SELECT session_id FROM done)"""))
 def _(t):
-    store, events = folded_store(t), t.unordered()
-    recent = rollup.unfolded(events, store.read_all("sessions_done"), F.lit(NOW), timedelta(days=1)).agg(
+    store, log = folded_store(t)
+    recent = rollup.unfolded(rollup.pending(store, log)[0], None, F.lit(NOW), timedelta(days=1)).agg(
         F.count("*").alias("in_window"))
-    state = rollup.coverage(store, events, F.lit(NOW))
+    state = rollup.coverage_changes(store, log, F.lit(NOW))
     return state.select(F.col("fold_stale_seconds").cast("double").alias("fold_stale_seconds"),
                         "live_sessions").crossJoin(F.broadcast(recent))
 

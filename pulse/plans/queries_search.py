@@ -12,12 +12,12 @@ from pulse.plans.twin import (CONTENT, DOCS, HYBRID_TEXTS, LABEL_VECTORS, LEXICA
 from pulse.session import stored
 
 
-_index: dict[tuple[str, str], DataFrame] = {}
+_index: dict[tuple, DataFrame] = {}
 
 
 def lexical_index(t):
-    """Term positions of the corpus, written once for each session and folder, ordered by term."""
-    key = (t.spark.sparkContext.applicationId, t.folder)
+    """Term positions of the corpus, written once for each session and state of the table, ordered by term."""
+    key = (t.spark.sparkContext.applicationId, t.folder, t.stamp("documents"))
     if key not in _index:
         positions = lexical.term_positions(t.lines())
         # by range of (term, chunk), so a popular term is split
@@ -30,6 +30,10 @@ def scores(t, queries):
     return lexical.lexical_scores(lexical_index(t), lexical.parse_queries(queries), stored)
 
 
+def best(t, queries):
+    return lexical.search(lexical_index(t), lexical.parse_queries(queries), keep=stored)
+
+
 # ---- lexical -------------------------------------------------------------------------------------
 
 @query("text_terms", sql(PASSAGES, QUERY_TEXTS, LEXICAL, body="""
@@ -49,13 +53,13 @@ def _(t):
 @query("lexical_search", sql(PASSAGES, QUERY_TEXTS, LEXICAL, body="""
 SELECT query_id, chunk_id, score, lexical_rank FROM ranked_lexical"""))
 def _(t):
-    return lexical.top_lexical(scores(t, t.benchmark_queries()))
+    return best(t, t.benchmark_queries())
 
 
 @query("phrase_search", sql(PASSAGES, WEB_TEXTS, LEXICAL, body="""
 SELECT query_id, chunk_id, score, lexical_rank FROM ranked_lexical"""))
 def _(t):
-    return lexical.top_lexical(scores(t, t.web_queries()))
+    return best(t, t.web_queries())
 
 
 @query("record_rollup", sql(PASSAGES, WEB_TEXTS, LEXICAL, body="""
@@ -63,9 +67,9 @@ SELECT query_id, record_id, round(max(score), 6) AS best, round(avg(score), 6) A
 FROM scores JOIN passages USING (chunk_id) GROUP BY ALL"""))
 def _(t):
     found = scores(t, t.web_queries())
-    best = fuse.record_scores(found, t.lines())
+    most = fuse.record_scores(found, t.lines())
     mean = fuse.record_scores(found, t.lines(), "avg")
-    return best.withColumnRenamed("score", "best").join(
+    return most.withColumnRenamed("score", "best").join(
         mean.withColumnRenamed("score", "mean"), ["query_id", "record_id"])
 
 
@@ -270,7 +274,7 @@ SELECT query_id, chunk_id, record_id, type, name, source, lexical_rank, vector_r
   'hybrid' AS mode, rank, round(rrf, 6) AS rrf_score FROM hits"""))
 def hybrid_search(t):
     queries = t.hybrid_queries()
-    fused = fuse.fuse(lexical.top_lexical(scores(t, queries)),
+    fused = fuse.fuse(best(t, queries),
                       vector.nearest(t.passages(), t.query_vectors(), lexical.CANDIDATES))
     return fuse.hits(fused, t.lines()).select(
         *SHOWN, F.round("rrf_score", 6).alias("rrf_score"))
@@ -293,7 +297,7 @@ near AS (SELECT NULL AS query_id, NULL AS chunk_id, CAST(NULL AS INT) AS vector_
 SELECT query_id, chunk_id, record_id, type, name, source, lexical_rank, vector_rank,
   'lexical' AS mode, rank FROM hits"""))
 def _(t):
-    fused = fuse.fuse(lexical.top_lexical(scores(t, t.benchmark_queries())), None)
+    fused = fuse.fuse(best(t, t.benchmark_queries()), None)
     return fuse.hits(fused, t.lines()).select(*SHOWN)
 
 

@@ -44,6 +44,13 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def stamp(self, *names: str) -> int:
+        """A number that changes when a file of these tables does: what is prepared from them is kept by it."""
+        def files(name: str) -> DataFrame:
+            return self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{self.folder}/{name}.parquet")
+        sums = [files(n).agg(F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first()[0] or 0 for n in names]
+        return hash(tuple(sums))
+
     def texts(self, name: str, key: str) -> DataFrame:
         """A table of long texts. One that arrives as fewer splits than there are cores is spread
         first, because the work per row is large; a table of ordinary size is read as it lies."""
