@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import binascii
 from collections.abc import Mapping
+from datetime import datetime, timezone
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -60,6 +61,32 @@ def page(events: DataFrame, filters: Mapping[str, object] | None = None,
     return rows.orderBy(*[F.desc(c) for c in ORDER]).limit(page_size(size) + 1)
 
 
+def newest_page(log, filters: Mapping[str, object] | None = None, cursor: str | None = None,
+                size: int | None = None) -> DataFrame | None:
+    """`page` of an event log (`plans.eventlog.EventLog`) that opens its newest days only; None before any event.
+
+    Days are taken from the newest (or from the cursor's) until they hold a whole page: every event of a day
+    left out is older than all of these. Their row counts give the first guess, which doubles as long as
+    too few rows pass the filters.
+    """
+    days = log.days()
+    if cursor:
+        last = datetime.fromtimestamp(Cursor.decode(cursor).ts_us // 1_000_000, timezone.utc).date()
+        days = [(day, n) for day, n in days if day <= last]
+    wanted, take, held = page_size(size) + 1, 0, 0
+    while take < len(days) and held < wanted:
+        held += days[take][1]
+        take += 1
+    while True:
+        rows = log.read(days=[day for day, _ in days[:take]])
+        if rows is None:
+            return None
+        found = page(rows, filters, cursor, size)
+        if take >= len(days) or found.count() == wanted:
+            return found
+        take *= 2
+
+
 def next_cursor(fetched: list, size: int | None = None) -> str | None:
     """Cursor after a fetched page (at most `MAX_PAGE + 1` rows), or None at the end."""
     n = page_size(size)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pulse.functions import payload
 from pulse.functions.scope import low_confidence
 from pulse.functions.verdicts import band_rank, fluke, margin_band
+from pulse.session import stored
 
 PRIOR_STRENGTH = 10
 
@@ -148,19 +149,42 @@ def quantiles_disc(values: DataFrame, keys: list[str], value: str,
                    shares: dict[str, float]) -> DataFrame:
     """Exact discrete quantiles from a value histogram.
 
-    Rows are first counted per distinct value with map-side partial sums, so a key held by a
-    third of all rows ships one row per distinct value.
+    Rows are first counted per distinct value with map-side partial sums. The histogram is then dealt by
+    range of (keys, value), so the values of one key, or of no key at all, lie in many ranges; totals of
+    ranges tell which of them hold a rank, and only those are searched. A window never spans more than
+    one range of a key, or one row for each of its ranges.
     """
     histogram = values.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy(F.asc(value)))
-    total = F.sum("_n").over(Window.partitionBy(*keys))
-    ranked = histogram.withColumns({"_upto": upto, "_total": total})
-    picks = [F.min(F.when(F.col("_upto") >= F.col("_total") * share, F.col(value))).alias(name)
-             for name, share in shares.items()]
-    return ranked.groupBy(*keys).agg(F.sum("_n").alias("n"), *picks, F.max(value).alias("max"))
+    placed = stored(histogram.repartitionByRange(*keys, value).withColumn("_range", F.spark_partition_id()), "histogram")
+    ranges = placed.groupBy(*keys, "_range").agg(F.sum("_n").alias("_rows"), F.max(value).alias("_max"))
+    own = Window.partitionBy(*keys)
+    before = own.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumns({"_before": F.coalesce(F.sum("_rows").over(before), F.lit(0)), "_total": F.sum("_rows").over(own)})
+
+    def rank(share: float):
+        return F.col("_total") * share
+
+    holds = F.lit(False)
+    for share in shares.values():
+        holds = holds | ((F.col("_before") < rank(share)) & (F.col("_before") + F.col("_rows") >= rank(share)))
+    asked = ranges.filter(holds).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_range").alias("_at"), "_before", "_total")
+    same = F.col("_range") == F.col("_at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    upto = F.sum("_n").over(Window.partitionBy(*keys, "_range").orderBy(F.asc(value)))
+    inside = placed.join(asked, same).withColumn("_upto", F.col("_before") + upto)
+    picks = inside.groupBy(*keys).agg(*[
+        F.min(F.when((F.col("_before") < rank(share)) & (F.col("_upto") >= rank(share)), F.col(value))).alias(name)
+        for name, share in shares.items()])
+    whole = ranges.groupBy(*keys).agg(F.sum("_rows").alias("n"), F.max("_max").alias("max"))
+    whole = whole.select(*[F.col(k).alias(f"_{k}") for k in keys], "n", "max")
+    if not keys:
+        return picks.crossJoin(F.broadcast(whole)).select("n", *shares, "max")  # one row each
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return picks.join(whole, same).select(*keys, "n", *shares, "max")
 
 
 def session_sizes(events: DataFrame) -> DataFrame:
     sizes = events.groupBy("session_id").agg(F.count("*").alias("size"))
-    return quantiles_disc(sizes.withColumn("scope", F.lit("all")), ["scope"], "size",
-                          {"p50": 0.5, "p90": 0.9, "p99": 0.99}).withColumnRenamed("n", "sessions")
+    return quantiles_disc(sizes, [], "size", {"p50": 0.5, "p90": 0.9, "p99": 0.99}).select(
+        F.lit("all").alias("scope"), F.col("n").alias("sessions"), "p50", "p90", "p99", "max")

@@ -15,6 +15,7 @@ spread. `compact` merges the runs of many batches.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,6 +26,7 @@ from pulse.session import discard, scratch_path
 from pulse.sources import ingest
 
 Spans = list[tuple[int, int]]
+_COMMIT = "source string, source_batch long, received long, inserted long, days array<struct<day:date,rows:long>>"
 BUCKETS = 64
 PART = 4096  # sequence numbers of one part
 
@@ -131,22 +133,34 @@ class EventLog:
             kept = read_if_there(self.spark.read, events)
             if kept is not None:
                 runs(kept).write.mode("overwrite").partitionBy("bucket").parquet(keys)
-            counts = [received.count(), 0 if kept is None else kept.count()]
-            (self.spark.range(1).select(F.lit(source).cast("string").alias("source"), F.lit(source_batch).cast("long").alias("source_batch"),
-                                        *[F.lit(n).cast("long").alias(c) for c, n in zip(("received", "inserted"), counts)])
-             .coalesce(1).write.mode("overwrite").parquet(f"{self.base}/commits/batch={number}"))
+            # one row per day of event time in the batch
+            days = [] if kept is None else [(r["event_date"], r["count"]) for r in kept.groupBy("event_date").count().collect()]
+            counts = [received.count(), sum(n for _, n in days)]
+            (self.spark.createDataFrame([(source, source_batch, *counts, days)], _COMMIT).coalesce(1)
+             .write.mode("overwrite").parquet(f"{self.base}/commits/batch={number}"))
             discard(self.spark, scratch)
         else:
             counts = [known["received"], known["inserted"]]
         return {"received": counts[0], "inserted": counts[1], "duplicates": counts[0] - counts[1]}
 
-    def read(self, numbers: Spans | None = None) -> DataFrame | None:
-        """Committed events, of some batches or all; None before the first. Other batches are not opened."""
+    def days(self) -> list[tuple[date, int]]:
+        """(day of event time, events) of all committed batches, newest first."""
+        done = self.commits()
+        if done is None:
+            return []
+        per_day = done.select(F.explode("days").alias("d")).groupBy("d.day").agg(F.sum("d.rows").alias("rows"))
+        return [(r["day"], r["rows"]) for r in per_day.filter("day is not null").orderBy(F.desc("day")).collect()]
+
+    def read(self, numbers: Spans | None = None, days: list[date] | None = None) -> DataFrame | None:
+        """Committed events, of some batches or days or all; None before the first. Others are not opened."""
         numbers = self.batches() if numbers is None else numbers
         reader = self.spark.read if self.schema is None else self.spark.read.schema(
             StructType([*self.schema.fields, *StructType.fromDDL("batch bigint, event_date date").fields]))
         rows = read_if_there(reader, f"{self.base}/events")
-        return None if rows is None else rows.filter(within(F.col("batch"), numbers)).drop("event_date")
+        if rows is None:
+            return None
+        rows = rows.filter(within(F.col("batch"), numbers))
+        return (rows if days is None else rows.filter(F.col("event_date").isin(days))).drop("event_date")
 
     # ---- keys ----------------------------------------------------------------------------------
 

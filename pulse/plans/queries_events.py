@@ -9,6 +9,7 @@ from pulse.operators import explorer, flow, sequence
 from pulse.operators.sufficiency import placement_tally
 from pulse.plans.catalog import query
 from pulse.plans.eventlog import EventLog
+from pulse.plans.queries_rollup import folded_store
 from pulse.plans.twin import CONTENT, EXPLORATION, FEED, TELEMETRY, sql
 from pulse.session import scratch_path, stored
 from pulse.sources import ingest
@@ -289,8 +290,9 @@ SHOWN = ("event_id", "session_id", "seq", "type", "env")
 
 
 def _page(t, **options):
-    return (explorer.page(t.telemetry().withColumn("ts_us", F.unix_micros("ts")), **options)
-            .select(*SHOWN, "ts_us"))
+    # the newest days of the stored events, not a view of the whole feed
+    _, log = folded_store(t)
+    return explorer.newest_page(log, **options).select(*SHOWN, F.unix_micros("ts").alias("ts_us"))
 
 
 @query("event_page", sql(TELEMETRY, body="""

@@ -61,7 +61,7 @@ def folded_store(t) -> tuple[Versions, EventLog]:
     if key not in _folded:
         store = Versions(t.spark, scratch_path(t.spark, "rollup"))
         log = EventLog(t.spark, scratch_path(t.spark, "events"))
-        events, came = t.telemetry().select(*rollup.NEEDED), F.col("received_at")
+        events, came = t.telemetry().select("event_id", *rollup.NEEDED), F.col("received_at")
         log.append(events.filter(came < F.lit(FOLDS[0])))
         rollup.fold_changes(store, log, F.lit(FOLDS[0]))
         log.append(events.filter((came >= F.lit(FOLDS[0])) & (came < F.lit(FOLDS[1]))))
