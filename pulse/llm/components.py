@@ -2,7 +2,8 @@
 
 Large-star and small-star steps alternate until nothing changes (two published operations on minimum
 labels); each is a grouped minimum and a join, so a node with very many neighbours is summed
-before the shuffle and split by adaptive execution. Edges are written between rounds: lineage stays
+before the shuffle. The join's key is not that of the minimum, so both of its sides come by an exchange of
+their own, and adaptive execution can split the edges of such a node among tasks. Edges are written between rounds: lineage stays
 short and a lost executor costs one round at most.
 """
 
@@ -60,19 +61,23 @@ def forest_edges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names[other], names[roots[other]]
 
 
+def _with_least(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges with m, the smallest neighbour of their a; and (x, m) of every node a."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "x")
+    sides = edges.withColumn("key", F.bitwise_not("a")), least.select(F.bitwise_not("x").alias("other"), "m")
+    return sides[0].join(sides[1], F.col("key") == F.col("other")).select("a", "b", "m"), least
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("x"), F.least("a", "m").alias("m"))
-    return (both.join(least, F.col("a") == F.col("x")).filter("b > a and b <> m")
-            .select(F.col("b").alias("a"), F.col("m").alias("b")))
+    met, _ = _with_least(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    met = met.withColumn("m", F.least("a", "m"))
+    return met.filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "x")
+    met, least = _with_least(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     own = least.select(F.col("x").alias("a"), F.col("m").alias("b"))
-    rest = down.join(least, F.col("a") == F.col("x")).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return own.union(rest).distinct()
+    return own.union(met.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
 
 
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
