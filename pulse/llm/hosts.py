@@ -5,9 +5,10 @@ with the rule's; the longest wins. The rule list is a parameter, part of the pla
 ``MAX_RULES``.
 
 Reputation: labelled page outcomes are counted per host (partial sums before the shuffle) and shrunk
-through beta-binomial priors. The suffix's posterior mean is the prior of its registered domains, the
-domain's posterior mean the prior of its hosts, each worth ``strength`` pages (a fixed number, not
-estimated from the counts). User part and port are no part of the host that is counted. The registered
+through beta-binomial priors. The suffix's mean is the prior mean of its registered domains, the domain's
+posterior mean that of its hosts. How many pages a prior is worth is estimated at both levels by moments:
+the more the members of a level differ from their parents beyond chance, the less (between ``LEAST`` and
+``MOST``; ``STRENGTH`` where no member has two pages). User part and port are no part of the host that is counted. The registered
 domain is one label below the suffix; a suffix is the last label, or one of ``suffixes``, a list of at most
 ``MAX_SUFFIXES`` longer ones that is a parameter too (the default is a short one of common suffixes, not
 the public list). An IP address is its own domain and suffix. A url without a rule is
@@ -35,7 +36,7 @@ com.my com.ph com.vn co.id ac.id co.th ac.th com.eg com.sa com.ng co.ke com.pk c
 github.io gitlab.io blogspot.com wordpress.com netlify.app vercel.app pages.dev web.app herokuapp.com azurewebsites.net cloudfront.net
 tumblr.com weebly.com wixsite.com
 """.split())
-STRENGTH = 8.0
+STRENGTH, LEAST, MOST = 8.0, 1.0, 10_000.0
 FLOOR = 0.5
 Z = 1.645
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -89,10 +90,26 @@ def registered(host_name: Column, zone: Column) -> Column:
         F.concat(F.substring_index(before, ".", -1), F.lit("."), zone))
 
 
-def reputation(pages: DataFrame, strength: float = STRENGTH, z: float = Z, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+def strength(members: DataFrame, n: str, k: str, prior: str, name: str) -> DataFrame:
+    """One row with the strength of the beta-binomial prior of some members, whose prior means are given.
+
+    With a within-level correlation r, n (k / n - mean)^2 has the expectation mean (1 - mean) (1 + (n - 1) r);
+    r is what makes the sums of both sides equal, and the strength is 1 / r - 1. Members with one page say
+    nothing about r and are left out of the sums.
+    """
+    mean, rate = F.col(prior), F.col(k) / F.col(n)
+    spread = mean * (1 - mean)
+    sums = members.filter(F.col(n) > 1).agg(F.sum(F.col(n) * (rate - mean) * (rate - mean)).alias("seen"), F.sum(spread).alias("chance"),
+                       F.sum(spread * (F.col(n) - 1)).alias("room"))
+    r = (F.col("seen") - F.col("chance")) / F.col("room")
+    fitted = F.when(r > 0, F.least(F.greatest(1 / r - 1, F.lit(LEAST)), F.lit(MOST))).otherwise(F.lit(MOST))
+    return sums.select(F.when(F.col("room") > 0, fitted).otherwise(F.lit(STRENGTH)).alias(name))
+
+
+def reputation(pages: DataFrame, z: float = Z, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """(host, rep_pages, mean, upper) from columns host, as `bare` gives it, and good (0, 1 or null).
 
-    The three levels are sums of the level below, so only the first reads pages.
+    The three levels are sums of the level below, so only the first reads pages; strengths are one row each.
     """
     hosts = (pages.filter("good is not null and host <> ''").groupBy("host")
              .agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("k"))
@@ -100,21 +117,23 @@ def reputation(pages: DataFrame, strength: float = STRENGTH, z: float = Z, suffi
     domains = hosts.groupBy("domain", "zone").agg(F.sum("n").alias("dn"), F.sum("k").alias("dk"))
     zones = domains.groupBy("zone").agg(F.sum("dn").alias("zn"), F.sum("dk").alias("zk"))
     zones = zones.select("zone", ((F.col("zk") + 1) / (F.col("zn") + 2)).alias("z_mean"))
-    domains = domains.join(zones, "zone").select(
-        "domain", ((F.col("dk") + F.col("z_mean") * strength) / (F.col("dn") + strength)).alias("d_mean"))
-    a = F.col("k") + F.col("d_mean") * strength
-    total = F.col("n") + F.lit(strength)
-    return (hosts.join(domains, "domain").select("host", F.col("n").alias("rep_pages"), (a / total).alias("mean"), total.alias("total"))
+    domains = domains.join(zones, "zone")
+    domains = domains.crossJoin(F.broadcast(strength(domains, "dn", "dk", "z_mean", "ds"))).select(
+        "domain", ((F.col("dk") + F.col("z_mean") * F.col("ds")) / (F.col("dn") + F.col("ds"))).alias("d_mean"))
+    hosts = hosts.join(domains, "domain")
+    total = F.col("n") + F.col("hs")
+    return (hosts.crossJoin(F.broadcast(strength(hosts, "n", "k", "d_mean", "hs")))
+            .select("host", F.col("n").alias("rep_pages"), ((F.col("k") + F.col("d_mean") * F.col("hs")) / total).alias("mean"), total.alias("total"))
             .withColumn("upper", F.col("mean") + z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("total") + 1)))
             .select("host", "rep_pages", "mean", "upper"))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], strength: float = STRENGTH,
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]],
           floor: float = FLOOR, z: float = Z, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """page_id, host, path, rule, verdict for columns page_id, url and good."""
     rows = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"),
                         F.col("good").cast("double").alias("good"))
-    known = reputation(rows.select(bare(F.col("host")).alias("host"), "good"), strength, z, suffixes).select(F.col("host").alias("rep_host"), "upper")
+    known = reputation(rows.select(bare(F.col("host")).alias("host"), "good"), z, suffixes).select(F.col("host").alias("rep_host"), "upper")
     rule, action = matched(F.col("host"), F.col("path"), rules)
     by_host = F.when(F.col("upper") < floor, "block").otherwise("allow")
     return (rows.select("page_id", "host", "path").join(known, bare(F.col("host")) == F.col("rep_host"), "left")

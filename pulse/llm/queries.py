@@ -135,29 +135,50 @@ def page_outcome(html: Column) -> Column:
     return (symbols * 5 < F.size(F.split(visible, " "))).cast("int")
 
 
-@query("op8_host_reputation", """
+def _strength_sql(members: str, n: str, k: str, mean: str) -> str:
+    """The moment estimate of a prior's strength, between 1 and 10,000 pages; 8 where no member has two."""
+    r = f"((sum({n} * ({k} / {n} - {mean}) * ({k} / {n} - {mean})) - sum({mean} * (1 - {mean}))) / sum({mean} * (1 - {mean}) * ({n} - 1)))"
+    return (f"SELECT CASE WHEN sum({mean} * (1 - {mean}) * ({n} - 1)) > 0 THEN CASE WHEN {r} > 0 THEN least(greatest(1 / {r} - 1, 1.0), 10000.0) "
+            f"ELSE 10000.0 END ELSE 8.0 END AS s FROM {members} WHERE {n} > 1")
+
+
+_SUFFIX_LIST = ", ".join(f"'{s}'" for s in hosts.SUFFIXES)
+
+
+@query("op8_host_reputation", rf"""
 WITH p AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
          regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&[a-z]+;', '&', 'g') AS t
   FROM pages),
-o AS (
-  SELECT page_id, host, path, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS zone,
+b AS (
+  SELECT page_id, host, path, regexp_replace(regexp_replace(host, '(?s)^.*@', ''), '\.*(:[0-9]*)?$', '') AS bare,
          CAST((length(t) - length(translate(t, '#*$%&|', ''))) * 5 < len(string_split(t, ' ')) AS INTEGER) AS good
   FROM p),
-h AS (SELECT host, domain, zone, count(*) AS n, sum(good) AS k FROM o WHERE good IS NOT NULL AND host <> '' GROUP BY ALL),
+o AS (
+  SELECT *, CASE WHEN starts_with(bare, '[') OR regexp_matches(bare, '^[0-9]{{1,3}}(\.[0-9]{{1,3}}){{3}}$') THEN bare
+                 WHEN array_to_string(string_split(bare, '.')[-2:], '.') IN ({_SUFFIX_LIST}) THEN array_to_string(string_split(bare, '.')[-2:], '.')
+                 ELSE string_split(bare, '.')[-1] END AS zone FROM b),
+h AS (
+  SELECT bare, zone, CASE WHEN length(bare) <= length(zone) + 1 THEN bare
+                          ELSE string_split(left(bare, length(bare) - length(zone) - 1), '.')[-1] || '.' || zone END AS domain,
+         count(*) AS n, sum(good) AS k FROM o WHERE good IS NOT NULL AND bare <> '' GROUP BY ALL),
 z AS (SELECT zone, (sum(k) + 1) / (sum(n) + 2) AS z_mean FROM h GROUP BY zone),
-d AS (SELECT domain, (sum(k) + any_value(z_mean) * 8) / (sum(n) + 8) AS d_mean FROM h JOIN z USING (zone) GROUP BY domain),
-m AS (SELECT host, (k + d_mean * 8) / (n + 8) AS mean, n + 8 AS total FROM h JOIN d USING (domain)),
-u AS (SELECT host, mean + 1.645 * sqrt(mean * (1 - mean) / (total + 1)) AS upper_bound FROM m),
+dd AS (SELECT domain, sum(n) AS dn, sum(k) AS dk, any_value(z_mean) AS z_mean FROM h JOIN z USING (zone) GROUP BY domain),
+ds AS ({_strength_sql("dd", "dn", "dk", "z_mean")}),
+d AS (SELECT domain, (dk + z_mean * s) / (dn + s) AS d_mean FROM dd, ds),
+hd AS (SELECT bare, n, k, d_mean FROM h JOIN d USING (domain)),
+hs AS ({_strength_sql("hd", "n", "k", "d_mean")}),
+m AS (SELECT bare, (k + d_mean * s) / (n + s) AS mean, n + s AS total FROM hd, hs),
+u AS (SELECT bare, mean + 1.645 * sqrt(mean * (1 - mean) / (total + 1)) AS upper_bound FROM m),
 r(rule, rule_host, rule_path, action) AS (VALUES ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'),
   ('www.example.com/en/', 'www.example.com', '/en/', 'allow'), ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')),
 f AS (SELECT page_id, max_by(rule, length(rule)) AS rule, max_by(action, length(rule)) AS action
       FROM o JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id)
 SELECT o.page_id, o.host, o.path, f.rule,
        coalesce(f.action, CASE WHEN upper_bound < 0.5 THEN 'block' ELSE 'allow' END) AS verdict
-FROM o LEFT JOIN f USING (page_id) LEFT JOIN u USING (host)""")
+FROM o LEFT JOIN f USING (page_id) LEFT JOIN u USING (bare)""")
 def op8_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", page_outcome(F.col("html")).alias("good"))
     return hosts.judge(pages, URL_RULES)

@@ -273,6 +273,27 @@ def test_reputation_shrinks(spark):
     assert all(got[i] == "allow" for i in range(100, 160)) and got[201] == "allow"
 
 
+def test_prior_strengths_are_fitted(spark):
+    """Hosts that differ widely get a weak prior, hosts that differ by chance a strong one, as the moments say."""
+    rnd = random.Random(6)
+    for spread, low, high in ((4.0, 2.5, 6.0), (60.0, 25.0, 200.0)):
+        members = []
+        for i in range(600):
+            rate = rnd.betavariate(0.7 * spread, 0.3 * spread)
+            n = rnd.randrange(1, 40)
+            members.append((f"h{i}", n, float(sum(rnd.random() < rate for _ in range(n))), 0.7))
+        frame = spark.createDataFrame(members, "host string, n long, k double, prior double").repartition(4)
+        got = hosts.strength(frame, "n", "k", "prior", "s").first().s
+        several = [x for x in members if x[1] > 1]
+        seen = sum(n * (k / n - m) ** 2 for _, n, k, m in several)
+        chance, room = sum(m * (1 - m) for *_, m in several), sum(m * (1 - m) * (n - 1) for _, n, _, m in several)
+        assert got == pytest.approx(room / (seen - chance) - 1) and low < got < high
+    single = spark.createDataFrame([("a", 1, 1.0, 0.5), ("b", 1, 0.0, 0.5)], "host string, n long, k double, prior double")
+    assert hosts.strength(single, "n", "k", "prior", "s").first().s == hosts.STRENGTH
+    alike = spark.createDataFrame([(f"h{i}", 10, 5.0, 0.5) for i in range(9)], "host string, n long, k double, prior double")
+    assert hosts.strength(alike, "n", "k", "prior", "s").first().s == hosts.MOST
+
+
 def test_domains(spark):
     want = {"a.b.co.uk": ("co.uk", "b.co.uk"), "b.co.uk": ("co.uk", "b.co.uk"), "co.uk": ("co.uk", "co.uk"), "x.me.github.io": ("github.io", "me.github.io"),
             "www.example.com": ("com", "example.com"), "example.com": ("com", "example.com"), "localhost": ("localhost", "localhost"),
