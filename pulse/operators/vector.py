@@ -7,7 +7,8 @@ each block emits at most `k` rows per query.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -196,3 +197,27 @@ def recall(truth: DataFrame, found: DataFrame, k: int) -> DataFrame:
     return hits.agg(F.count("*").alias("found")).crossJoin(F.broadcast(total)).select(
         F.lit(k).alias("k"), "expected", "found",
         F.round(F.try_divide("found", "expected"), 4).alias("recall"))
+
+
+def recall_curve(search: Callable[[DataFrame, int], DataFrame], truth: DataFrame, queries: DataFrame, settings: Sequence[int],
+                 k: int, timed: int = 20) -> DataFrame:
+    """What each setting of a search (probes, length of a shortlist) finds, and how long one query takes:
+    (setting, k, expected, found, recall, p50_ms, p95_ms).
+
+    Recall is that of all queries together. Times are of `timed` queries asked one after another, as users
+    ask; the first of each setting warms up and is not counted. A tool for choosing a setting, not for every run.
+    """
+    asked = [r[0] for r in queries.select("query_id").orderBy("query_id").limit(timed + 1).collect()]
+    rows = []
+    for setting in settings:
+        row = recall(truth, search(queries, setting), k).first()
+        times = []
+        for name in asked:
+            one = queries.filter(F.col("query_id") == name)
+            started = time.perf_counter()
+            search(one, setting).collect()  # k rows
+            times.append(1000 * (time.perf_counter() - started))
+        p50, p95 = np.percentile(times[1:] or times or [0.0], [50, 95])
+        rows.append((setting, k, row["expected"], row["found"], row["recall"], float(p50), float(p95)))
+    return truth.sparkSession.createDataFrame(
+        rows, "setting int, k int, expected long, found long, recall double, p50_ms double, p95_ms double")

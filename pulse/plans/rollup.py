@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pulse.operators import sequence
 from pulse.plans.eventlog import EventLog, Spans, without
 from pulse.plans.versions import Versions
+from pulse.session import discard, scratch_path
 
 LATENESS = timedelta(minutes=10)
 # The rollup keeps these, so a read can still be scoped to an environment or a mod.
@@ -169,6 +170,29 @@ def coverage(store: Versions, events: DataFrame, as_of: Column) -> DataFrame:
                     else F.max(stale).alias("fold_stale_seconds")).crossJoin(F.broadcast(live))
 
 
+def commit_settled(store: Versions, rows: DataFrame, source: str | None, batch: int) -> None:
+    """One micro-batch of `streaming.settle` as a version of the rollup, once whatever is run again."""
+    # written before all else: the state of the stream advances by it, once, also when the batch is known
+    scratch = scratch_path(store.spark, "settled")
+    rows.write.parquet(scratch)
+    rows, commits = store.spark.read.schema(rows.schema).parquet(scratch), store.commits()
+    known = commits is not None and not commits.filter((F.col("source") == source) & (F.col("source_batch") == batch)).isEmpty()
+    if not known and not rows.isEmpty():
+        version = (store.latest() or 0) + 1
+        sessions = rows.filter("kind = 'session'").select(
+            "session_id", F.timestamp_millis("last_ms").alias("last_at"), "events", F.current_timestamp().alias("rolled_at"))
+        store.write_uncommitted("sessions_done", version, sessions)
+        store.write_uncommitted("friction", version, rows.filter("kind = 'after_failure'").groupBy(*GRAIN, *sequence.PARTIAL_KEYS).agg(
+            *[F.sum(c).alias(c) for c in ("count", "gap_count", "sum_gap_us")]))
+        store.write_uncommitted("attempts", version, rows.filter("kind = 'attempts'").select(
+            "session_id", "suspect", "topic", "install_id", "total_attempts", "attempts_to_pass"))
+        store.write_uncommitted("late", version, rows.filter("kind = 'late'").select("session_id", "seq"))
+        store.commit(version, store.spark.range(1).select(
+            F.current_timestamp().alias("last_run_at"), F.lit(sessions.count()).cast("long").alias("sessions_folded"),
+            F.lit(source).cast("string").alias("source"), F.lit(batch).cast("long").alias("source_batch")))
+    discard(store.spark, scratch)
+
+
 def late_after_fold(events: DataFrame, done: DataFrame) -> DataFrame:
     """Events newer than what their session's fold saw: stored, but never in the rollup.
 

@@ -6,6 +6,8 @@ hold the rest. State is bounded by disorder and by the number of buckets, not by
 Events of a session that was already emitted come out as `late` rows and change nothing; a session is
 forgotten `FORGET` after that, and what comes later still is told by comparing with the fold log.
 
+`start_settle` commits what settles to the rollup, one version for each micro-batch that has any.
+
 Silence is measured on the arrival watermark (for replays) or on the clock of the job, which goes on
 when traffic stops (for the standing job).
 """
@@ -18,25 +20,29 @@ from datetime import timedelta
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import (ExpiredTimerInfo, StatefulProcessor,
                                                       StatefulProcessorHandle)
 
 from pulse.functions.verdicts import RETIRED_TYPES
+from pulse.plans import rollup
+from pulse.plans.versions import Versions
 
 FORGET = timedelta(days=2)
 
 OUTPUT = ("session_id string, kind string, install_id string, suspect string, topic string, "
           "next_action string, count long, gap_count long, sum_gap_us long, total_attempts long, "
-          "attempts_to_pass long, seq long")
+          "attempts_to_pass long, seq long, env string, mod_id string, events long, last_ms long")
 COLUMNS = [part.split()[0] for part in OUTPUT.split(", ")]
 
 EVENT = ("type string, suspect string, topic string, passed boolean, completed boolean, "
-         "ts_us long, received_ms long")
+         "ts_us long, received_ms long, env string, mod_id string")
 FIELDS = [part.split()[0] for part in EVENT.split(", ")]
-# next_seq, newest arrival, whether emitted, and the failed attempt waiting for its successor
+# next_seq, newest arrival, whether emitted, the failed attempt waiting for its successor (with its scope),
+# and the number of events consumed
 PROGRESS = ("next_seq long, last_ms long, emitted boolean, install_id string, waiting boolean, "
-            "suspect string, topic string, ts_us long")
-BUCKET_KEY = "suspect string, topic string, next_action string"
+            "suspect string, topic string, ts_us long, env string, mod_id string, events long")
+BUCKET_KEY = "env string, mod_id string, suspect string, topic string, next_action string"
 
 
 def bucket(suspect, topic, event: dict) -> str:
@@ -108,9 +114,11 @@ class SettleSessions(StatefulProcessor):
             self._consume(state, dict(zip(FIELDS, found)))
         if state["waiting"]:
             self._count(state, "session_end", None)
-        for (suspect, topic, action), (count, gaps, total) in self.buckets.iterator():
+        yield row(session_id=key[0], kind="session", install_id=state["install_id"], events=state["events"],
+                  last_ms=state["last_ms"])
+        for (env, mod, suspect, topic, action), (count, gaps, total) in self.buckets.iterator():
             yield row(session_id=key[0], kind="after_failure", install_id=state["install_id"],
-                      suspect=suspect, topic=topic, next_action=action, count=count,
+                      env=env, mod_id=mod, suspect=suspect, topic=topic, next_action=action, count=count,
                       gap_count=gaps, sum_gap_us=total)
         for (suspect, topic), (total, won) in self.tries.iterator():
             yield row(session_id=key[0], kind="attempts", install_id=state["install_id"],
@@ -129,19 +137,20 @@ class SettleSessions(StatefulProcessor):
         names = [part.split()[0] for part in PROGRESS.split(", ")]
         if self.progress.exists():
             return dict(zip(names, self.progress.get()))
-        return dict(zip(names, (0, 0, False, None, False, None, None, None)))
+        return dict(zip(names, (0, 0, False, None, False, None, None, None, None, None, 0)))
 
     def _save(self, state: dict) -> None:
         self.progress.update(tuple(state.values()))
 
     def _count(self, state: dict, action: str, ts_us: int | None) -> None:
-        at = (state["suspect"], state["topic"], action)
+        at = (state["env"], state["mod_id"], state["suspect"], state["topic"], action)
         count, gaps, total = (self.buckets.getValue(at) if self.buckets.containsKey(at)
                               else (0, 0, 0))
         gap = 0 if ts_us is None else ts_us - state["ts_us"]
         self.buckets.updateValue(at, (count + 1, gaps + (ts_us is not None), total + gap))
 
     def _consume(self, state: dict, event: dict) -> None:
+        state["events"] += 1
         if event["type"] in RETIRED_TYPES:
             return
         if state["waiting"]:
@@ -154,25 +163,41 @@ class SettleSessions(StatefulProcessor):
         total += 1
         self.tries.updateValue(at, (total, won or (total if event["passed"] else 0)))
         if event["passed"] is False:
-            state.update(waiting=True, suspect=at[0], topic=at[1], ts_us=event["ts_us"])
+            state.update(waiting=True, suspect=at[0], topic=at[1], ts_us=event["ts_us"], env=event["env"], mod_id=event["mod_id"])
 
 
 def settle(events: DataFrame, lateness: str = "10 minutes", idle: timedelta | None = None,
            forget: timedelta = FORGET) -> DataFrame:
-    """Streaming events -> one `after_failure` row per bucket and one `attempts` row per subject of
-    each settled session, plus `late` rows.
+    """Streaming events -> one `session` row, one `after_failure` row per bucket and one `attempts` row per
+    subject of each settled session, plus `late` rows. Events without env or mod_id have null ones.
 
     A session settles when the arrival watermark has passed its newest event by `lateness`, or, with
     `idle`, when the job has heard nothing of it for so long.
     """
     watermarked = events.withWatermark("received_at", lateness) if idle is None else events
+    watermarked = watermarked.withColumns({c: F.lit(None).cast("string") for c in ("env", "mod_id") if c not in events.columns})
     narrow = watermarked.select(
         "session_id", "install_id", "seq", "type", "suspect", "topic", "passed", "completed",
         F.unix_micros("ts").alias("ts_us"), F.unix_millis("received_at").alias("received_ms"),
-        "received_at")
+        "env", "mod_id", "received_at")
 
     def ms(span: timedelta) -> int:
         return int(span.total_seconds() * 1000)
     return narrow.groupBy("session_id").transformWithStateInPandas(
         SettleSessions(None if idle is None else ms(idle), ms(forget)), OUTPUT, "Append",
         "EventTime" if idle is None else "ProcessingTime")
+
+
+def start_settle(events: DataFrame, store: Versions, checkpoint: str, lateness: str = "10 minutes",
+                 idle: timedelta | None = None, forget: timedelta = FORGET, every: str | None = None) -> StreamingQuery:
+    """Fold sessions into the rollup as they settle. `every=None` processes what is there and stops.
+
+    A micro-batch is committed under its own number, so one that is run again changes nothing, and one that
+    died before its commit is written over. The store is this stream's alone; `rollup.friction_read` reads it.
+    """
+    def commit(rows: DataFrame, batch: int) -> None:
+        source = rows.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        rollup.commit_settled(store, rows, source, batch)
+    trigger = {"availableNow": True} if every is None else {"processingTime": every}
+    return (settle(events, lateness, idle, forget).writeStream.outputMode("append").foreachBatch(commit)
+            .option("checkpointLocation", checkpoint).trigger(**trigger).start())

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulse.operators import sketch, vector
+from pulse.session import stored
 
 
 def frames(spark, data, queries):
@@ -59,3 +60,15 @@ def test_codes_are_close(spark):
     unit = data / np.linalg.norm(data, axis=1, keepdims=True)
     held = book.decode(book.encode(data))
     assert book.encode(data).shape == (4000, 32) and np.mean(((unit @ book.turn) - held) ** 2) < 0.01 * np.mean(unit ** 2)
+
+
+def test_recall_curve_with_latencies(spark, tables):
+    chunks, asked = tables.vectors(), tables.query_vectors()
+    book = sketch.train(chunks)
+    codes = stored(sketch.encode(chunks, book), "codes")
+    truth = vector.nearest(chunks, asked, 10)
+    got = vector.recall_curve(lambda q, n: sketch.nearest(chunks, q, 10, n, book, codes), truth, asked, (10, 40, 100), 10, timed=2)
+    rows = got.orderBy("setting").collect()
+    assert [r.setting for r in rows] == [10, 40, 100] and {r.expected for r in rows} == {10 * asked.count()}
+    assert rows[0].recall <= rows[1].recall <= rows[2].recall and rows[2].recall >= 0.9
+    assert all(0 < r.p50_ms <= r.p95_ms for r in rows)

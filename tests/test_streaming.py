@@ -4,10 +4,12 @@ import json
 import time
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from pulse.functions import verdicts
 from pulse.operators import sequence
+from pulse.plans import rollup
 from pulse.plans.versions import Versions
 from pulse.streaming import ingest as stream
 from pulse.streaming import settle as settling
@@ -98,6 +100,47 @@ def test_settled_sessions_match_batch(spark, tables, tmp_path):
     assert sequence.confrontation_attempts(whole).select(*names).exceptAll(tries).isEmpty()
 
 
+def test_the_settling_stream_fills_the_rollup_through_a_crash(spark, tables, tmp_path, scratch, monkeypatch):
+    """The job dies twice, before and after a commit; the rollup equals the batch fold of its sessions."""
+    folder = tmp_path / "in"
+    events = tables.telemetry().select(*rollup.NEEDED).cache()
+    day = F.floor(F.datediff("received_at", F.lit("2024-01-01")) / 4)
+    for n in range(8):
+        events.filter(day == n).orderBy(F.xxhash64("seq")).coalesce(1).write.mode("append").parquet(str(folder))
+    store = Versions(spark, scratch("settled"))
+    feed = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+    def run():
+        settling.start_settle(feed, store, str(tmp_path / "ck")).awaitTermination()
+    commit, calls = Versions.commit, []
+
+    def dying(self, *args):
+        calls.append(args)
+        if len(calls) == 2:
+            raise RuntimeError("before the commit")
+        commit(self, *args)
+        if len(calls) == 4:
+            raise RuntimeError("after the commit")
+    monkeypatch.setattr(Versions, "commit", dying)
+    for _ in range(2):
+        with pytest.raises(Exception, match="commit"):
+            run()
+    run()
+    done = store.read_all("sessions_done")
+    assert done.count() == done.select("session_id").distinct().count() > 100
+    assert store.read_all("late").isEmpty()
+    whole = events.join(done.select("session_id"), "session_id", "left_semi")
+    grain = [*rollup.GRAIN, *sequence.PARTIAL_KEYS]
+    got = store.read_all("friction").groupBy(*grain).agg(*[F.sum(c).alias(c) for c in ("count", "gap_count", "sum_gap_us")])
+    assert rollup.difference(got, sequence.after_failure_partials(whole, *rollup.GRAIN)).isEmpty()
+    assert rollup.difference(store.read_all("attempts").drop("version"), sequence.confrontation_attempts(whole)).isEmpty()
+    counted = whole.groupBy("session_id").agg(F.count("*").alias("n"), F.max("received_at").alias("at"))
+    assert done.join(counted, "session_id").filter((F.col("events") != F.col("n")) | (F.unix_millis("last_at") != F.unix_millis("at"))).isEmpty()
+    # with the sessions still open, the hybrid read is the whole
+    both = rollup.friction_read(store, events)
+    assert rollup.difference(both[0], sequence.after_failure(sequence.after_failure_partials(events))).isEmpty()
+
+
 def test_late_events_are_reported(spark, tmp_path):
     schema = ("session_id string, install_id string, seq long, type string, suspect string, "
               "topic string, passed boolean, completed boolean, ts timestamp, "
@@ -144,7 +187,7 @@ def test_the_last_session_settles_when_traffic_stops(spark, tmp_path):
     try:
         for _ in range(120):
             time.sleep(0.5)
-            if spark.table("idle").count() == 2:
+            if spark.table("idle").count() == 3:
                 break
         got = {r.kind: r for r in spark.table("idle").collect()}
         assert got["attempts"].attempts_to_pass == 2 and got["after_failure"].next_action == "retried_same"
