@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulse.functions import payload
@@ -152,7 +152,8 @@ def first_delivery(events: DataFrame) -> DataFrame:
 
 
 def new_rows(batch: DataFrame, stored: DataFrame) -> DataFrame:
-    """First deliveries whose key is not stored yet; reads only the key columns of the store."""
+    """First deliveries whose key is not in `stored`. A standing store is an `plans.eventlog.EventLog`, which
+    reads runs of keys instead."""
     return first_delivery(batch).join(stored.select(*KEY), KEY, "left_anti")
 
 
@@ -164,18 +165,6 @@ def ingest_report(batch: DataFrame, stored: DataFrame) -> DataFrame:
         "duplicates", F.col("received") - F.col("inserted"))
 
 
-def append_events(batch: DataFrame, path: str, stored: DataFrame | None) -> dict[str, int]:
-    """Append new rows, partitioned by day of event time. Counters come with the write itself."""
-    received, inserted = Observation("received"), Observation("inserted")
-    batch = batch.observe(received, F.count(F.lit(1)).alias("n"))
-    rows = first_delivery(batch) if stored is None else new_rows(batch, stored)
-    (rows.withColumn("event_date", F.to_date("ts"))
-     .observe(inserted, F.count(F.lit(1)).alias("n"))
-     .write.mode("append").partitionBy("event_date").parquet(path))
-    n, kept = received.get["n"], inserted.get["n"]
-    return {"received": n, "inserted": kept, "duplicates": n - kept}
-
-
 # ---- registry, heartbeats ------------------------------------------------------------------------
 
 def mod_registry(events: DataFrame) -> DataFrame:
