@@ -281,14 +281,12 @@ def hybrid_search(t):
 
 
 @query("hybrid_all_queries", sql(PASSAGES, VECTORS, HYBRID_TEXTS, LEXICAL, nearest_sql(
-    100, "chunk_id IN (SELECT chunk_id FROM passages)"), FUSED, body="""
-SELECT query_id, count(*) AS hits, min(rank) AS first, max(rank) AS last,
-  count(lexical_rank) AS lexical, count(vector_rank) AS vector FROM hits GROUP BY query_id"""))
+    100, "chunk_id IN (SELECT chunk_id FROM passages)"), FUSED,
+                                 body="""
+SELECT query_id, chunk_id, record_id, type, name, source, lexical_rank, vector_rank,
+  'hybrid' AS mode, rank, round(rrf, 6) AS rrf_score FROM hits"""))
 def _(t):
-    # what each query of the whole set got
-    return hybrid_search(t).groupBy("query_id").agg(
-        F.count("*").alias("hits"), F.min("rank").alias("first"), F.max("rank").alias("last"),
-        F.count("lexical_rank").alias("lexical"), F.count("vector_rank").alias("vector"))
+    return hybrid_search(t)
 
 
 @query("lexical_only_search", sql(PASSAGES, QUERY_TEXTS, LEXICAL, """
