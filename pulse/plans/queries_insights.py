@@ -40,10 +40,11 @@ _index: dict = {}
 
 
 def narrative_index(t):
-    """Term positions of the narrative, written once for each session and state of the table."""
+    """Terms of the narrative's chunks and their counts, written once for each session and state of the table."""
     key = (t.spark.sparkContext.applicationId, t.folder, t.stamp("part"))
     if key not in _index:
-        _index[key] = stored(lexical.term_positions(narrative(t).drop("embedding")), "narrative-index")
+        index = stored(lexical.chunk_terms(narrative(t).drop("embedding")), "narrative-index")
+        _index[key] = index, stored(lexical.term_counts(index), "narrative-terms")
     return _index[key]
 
 
@@ -51,8 +52,9 @@ def search(t, queries, query_vectors):
     """Hybrid search of the narrative records; CANDIDATE_PASSAGES hits a query."""
     chunks = narrative(t)
     words = stored(lexical.parse_queries(queries), "query-words")
+    index, counts = narrative_index(t)
     near = vector.nearest(chunks, query_vectors, lexical.CANDIDATES)
-    return fuse.hits(fuse.fuse(lexical.search(narrative_index(t), words, keep=stored), near), chunks.drop("embedding"),
+    return fuse.hits(fuse.fuse(lexical.search(index, words, counts=counts, keep=stored), near), chunks.drop("embedding"),
                      insights.CANDIDATE_PASSAGES)
 
 
