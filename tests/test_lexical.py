@@ -3,9 +3,10 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
-from pulse.operators import lexical
+from pulse.operators import fuse, lexical
 from pulse.plans import catalog
 
 
@@ -18,6 +19,14 @@ def test_hybrid_all_queries_returns_every_hit(tables):
     assert hits.count() > asked
 
 
+def test_record_means_and_rounding(spark):
+    # 2.0780065 * 10^6 is below .5 as a double: the SQL rounds it down
+    scores = spark.createDataFrame([("q", "a#0", 2.0780065)], "query_id string, chunk_id string, score double")
+    chunks = spark.createDataFrame([("a#0", "a")], "chunk_id string, record_id string")
+    assert fuse.record_scores(scores, chunks).first().score == 2.078006
+    assert lexical._half_up(np.array([2.0780065 * 1e6]))[0] == 2078006
+
+
 def naive(chunks, queries, parsed):
     """Scores of every query and chunk, clause by clause."""
     found = {}
