@@ -12,13 +12,15 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Rows that one task holds of each side, and distances it computes at a time (8 bytes each).
 QUERY_BLOCK = 2_000
 CHUNK_BLOCK = 50_000
 STEP = 2_000_000
+# Smaller blocks are cut as asked until so many copies of each row are written; beyond, they grow up to the bounds above.
+COPIES = 16
 # Most cells that are shipped to tasks: with 1,024 dimensions, 64 MB.
 MOST_CELLS = 8_192
 
@@ -159,9 +161,13 @@ def _in_cells(chunks: DataFrame, queries: DataFrame, k: int, block: int,
               query_block: int = QUERY_BLOCK) -> DataFrame:
     """Cut each cell into slots of about `block` chunks and turns of about `query_block` queries,
     and match them block by block, so neither a dense nor a popular cell becomes one task."""
+    def parts(rows: int, most: int) -> Column:
+        # every chunk goes to all turns and every query to all slots, so tiny blocks would write all pairs
+        return F.least(F.ceil(F.count("*") / rows), F.greatest(F.lit(COPIES), F.ceil(F.count("*") / most))).cast("long")
+
     # one row per cell; cells are centroids or filter values, not data
-    asked = queries.groupBy("cell").agg(F.ceil(F.count("*") / query_block).cast("long").alias("turns"))
-    sizes = chunks.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("long").alias("slots")).join(asked, "cell")
+    asked = queries.groupBy("cell").agg(parts(query_block, QUERY_BLOCK).alias("turns"))
+    sizes = chunks.groupBy("cell").agg(parts(block, CHUNK_BLOCK).alias("slots")).join(asked, "cell")
     every = {c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{c}s") - 1)) for c in ("slot", "turn")}
     spread = (chunks.join(sizes, "cell").withColumn("slot", F.pmod(F.xxhash64("chunk_id"), F.col("slots")))
               .withColumn("turn", every["turn"]))
