@@ -128,11 +128,12 @@ class EventLog:
             rows.write.parquet(scratch)
             received = self.spark.read.schema(rows.schema).parquet(scratch)
             events, keys = f"{self.base}/events/batch={number}", f"{self.base}/keys/batch={number}"
-            (self.new_rows(received).withColumn("event_date", F.to_date("ts"))
+            # rebalanced, so that a day or a bucket is a file or a few, not one of every task
+            (self.new_rows(received).withColumn("event_date", F.to_date("ts")).hint("rebalance", "event_date")
              .write.mode("overwrite").partitionBy("event_date").parquet(events))
             kept = read_if_there(self.spark.read, events)
             if kept is not None:
-                runs(kept).write.mode("overwrite").partitionBy("bucket").parquet(keys)
+                runs(kept).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(keys)
             # one row per day of event time in the batch
             days = [] if kept is None else [(r["event_date"], r["count"]) for r in kept.groupBy("event_date").count().collect()]
             counts = [received.count(), sum(n for _, n in days)]
@@ -201,6 +202,6 @@ class EventLog:
             return
         store = self._merged()
         version = (store.latest() or 0) + 1
-        (merged(self.keys()).write.mode("overwrite").partitionBy("bucket").parquet(store._path("keys", version)))
+        (merged(self.keys()).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(store._path("keys", version)))
         covers = F.array(*[F.struct(F.lit(a).cast("long").alias("low"), F.lit(b).cast("long").alias("high")) for a, b in done])
         store.commit(version, self.spark.range(1).select(covers.alias("batches")))
