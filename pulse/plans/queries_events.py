@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pulse.functions import payload
 from pulse.operators import explorer, flow, sequence
+from pulse.operators.once import compute_once
 from pulse.operators.sufficiency import placement_tally
 from pulse.plans.catalog import query
 from pulse.plans.eventlog import EventLog
@@ -52,9 +53,12 @@ def _(t):
     folder = scratch_path(t.spark, "logs")
     t.log_lines().select("line").write.text(folder)
     rows = ingest.read_growing_log(t.spark, folder, range_bytes=100_000)
-    marked = rows.withColumn("body", F.when(F.instr("line", ingest.EVENT_TAG) > 0, F.substring_index("line", ingest.EVENT_TAG, -1)))
-    kind = F.try_variant_get(F.try_parse_json("body"), "$.type", "string")
-    seq = F.try_variant_get(F.try_parse_json("body"), "$.seq", "bigint")
+    # a line without "}" holds no whole object: to fail at it costs more than to parse
+    body = F.when((F.instr("line", ingest.EVENT_TAG) > 0) & F.contains("line", F.lit("}")),
+                  F.substring_index("line", ingest.EVENT_TAG, -1))
+    marked = compute_once(rows.select("line"), event=F.try_parse_json(body))
+    kind = F.try_variant_get("event", "$.type", "string")
+    seq = F.try_variant_get("event", "$.seq", "bigint")
     return marked.groupBy(F.coalesce(kind, F.lit("none")).alias("type")).agg(
         F.count("*").alias("lines"), F.sum(seq).alias("seq_sum"))
 

@@ -7,7 +7,9 @@ position than were read there has been replaced, and is read from its start; lin
 way are dropped by the idempotent append, as retries are.
 
 Planning reads the head and the tail of the files that changed. Their new bytes are split into ranges
-of `range_bytes`, which tasks read on their own, each the lines that start inside its range.
+of `range_bytes`, which tasks read on their own, each the lines that start inside its range. Beyond 256
+ranges a batch's ranges grow, up to the default size: a range is a task, and small ones cost more than
+their bytes.
 
 Files are opened with Arrow's file systems (local and shared folders, hdfs, s3, gs). A file that is
 replaced after its range was planned gives no lines from that range: its new content is the next batch's.
@@ -22,8 +24,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -32,6 +36,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 NAME = "growing_log"
 RANGE_BYTES = 64 << 20
+RANGES = 256  # of one batch; above, they grow to RANGE_BYTES
 HEAD = 4096  # bytes of the first line that tell one file from another
 MARK = 256  # bytes before a position that tell whether the file was written anew
 CHUNK = 1 << 20
@@ -86,8 +91,12 @@ class Range(InputPartition):
         super().__init__((self.path, self.low))
 
 
-def _split(path: str, fingerprint: str, start: int, stop: int, size: int) -> list[Range]:
-    return [Range(path, fingerprint, low, min(low + size, stop), low == start, stop) for low in range(start, stop, size)]
+def _split(news: list[tuple[str, str, int, int]], size: int) -> list[Range]:
+    """Ranges of the new bytes (file, fingerprint, start, stop) of one batch."""
+    total = sum(stop - start for _, _, start, stop in news)
+    size = max(size, min(RANGE_BYTES, -(-total // RANGES)))
+    return [Range(path, fingerprint, low, min(low + size, stop), low == start, stop)
+            for path, fingerprint, start, stop in news for low in range(start, stop, size)]
 
 
 def read_range(part: Range) -> Iterator[pa.RecordBatch]:
@@ -104,7 +113,8 @@ def read_range(part: Range) -> Iterator[pa.RecordBatch]:
         skip, held = not part.head, b""
         handle.seek(at)
         while at < part.high:
-            chunk = handle.read(CHUNK)
+            left = part.high - handle.tell()
+            chunk = handle.read(min(CHUNK, left + HEAD) if left > 0 else CHUNK)
             if not chunk:
                 return
             held += chunk
@@ -113,17 +123,18 @@ def read_range(part: Range) -> Iterator[pa.RecordBatch]:
             if skip and end:
                 first = block.index(b"\n") + 1
                 block, at, skip = block[first:], at + first, False
-            lines, positions = [], []
-            for line in block.split(b"\n")[:-1]:
-                if at >= part.high:
-                    break
-                lines.append(line.removesuffix(b"\r").decode("utf-8", "replace"))
-                positions.append(at)
-                at += len(line) + 1
             held = rest
+            if not block:
+                continue
+            starts = list(accumulate([len(line) + 1 for line in block.split(b"\n")[:-1]], initial=at))
+            at = starts.pop()
+            here = bisect_left(starts, part.high)
+            lines = block.decode("utf-8", "replace").split("\n")[:here]
+            if b"\r" in block:
+                lines = [line.removesuffix("\r") for line in lines]
             if lines:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part.path] * len(lines)), pa.array(positions, pa.int64()), pa.array(lines)], schema=_LINES)
+                    [pa.repeat(part.path, here), pa.array(starts[:here], pa.int64()), pa.array(lines)], schema=_LINES)
 
 
 class _Files:
@@ -168,7 +179,7 @@ class _Batch(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         found = _Files(self.path).entries()
-        return [part for name, (print_, stop, _) in sorted(found.items()) for part in _split(name, print_, 0, stop, self.size)]
+        return _split([(name, print_, 0, stop) for name, (print_, stop, _) in sorted(found.items())], self.size)
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         if partition is not None:  # an empty folder has no ranges
@@ -201,8 +212,8 @@ class _Stream(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
         before, now = json.loads(start["files"]), json.loads(end["files"])
-        return [part for name, entry in sorted(now.items())
-                for part in _split(name, entry[0], self._resume(name, before.get(name), entry), entry[1], self.size)]
+        return _split([(name, entry[0], self._resume(name, before.get(name), entry), entry[1])
+                       for name, entry in sorted(now.items())], self.size)
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         if partition is not None:

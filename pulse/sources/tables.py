@@ -133,6 +133,14 @@ class Tables:
                 "skill_route": _when(check, F.when(k % 3 == 0, _id("route", k % 4))),
             })
 
+    def _payload(self) -> Column:
+        """The promoted columns by key, in the order of keys that a variant has."""
+        keys = ("suspect", "topic", "kind", "passed", "reason", "completed", "area", "interior",
+                "check_id", "threshold", "skill_value", "trigger", "threshold_passed",
+                "skill_route")
+        named = {c: F.col(c) for c in keys} | {"skill": F.col("stat"), "stat_type": F.col("stat_kind")}
+        return F.struct(*[named[key].alias(key) for key in sorted(named)])
+
     def with_payload(self, events: DataFrame) -> DataFrame:
         """Add the JSON payload the promoted columns come from (absent keys are left out)."""
         keys = ("suspect", "topic", "kind", "passed", "reason", "completed", "area", "interior",
@@ -181,13 +189,12 @@ class Tables:
 
     def envelopes(self) -> DataFrame:
         """Telemetry as wire JSON: uuid identities, epoch milliseconds, payload object."""
-        events = self.with_payload(self.telemetry())
         wire = F.to_json(F.struct(
             F.lit(1).alias("v"), "type", "seq", _uuid(F.col("install_id")).alias("install_id"),
             _uuid(F.col("session_id")).alias("session_id"), F.unix_millis("ts").alias("ts"),
             F.concat(F.lit(" "), F.upper("mod_id")).alias("mod_id"),
-            F.parse_json("data").alias("data")))
-        return events.select("event_id", "k", "env", "received_at", "type", "ts",
+            self._payload().alias("data")))
+        return self.telemetry().select("event_id", "k", "env", "received_at", "type", "ts",
                              wire.alias("json"))
 
     def log_lines(self) -> DataFrame:

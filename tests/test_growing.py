@@ -115,3 +115,17 @@ def test_batch_read(spark, tmp_path):
     assert [r.line for r in lines.orderBy("position").collect()][:2] == ["x", "�"]
     assert ingest.tagged(lines).count() == 1
     assert ingest.read_growing_log(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_small_ranges_grow_with_the_batch(tmp_path):
+    """A task a hundred bytes would make tasks, not bytes, the cost of a large batch."""
+    for name in "ab":
+        (tmp_path / name).write_text("".join(f"{name} line {n}\r\n" for n in range(20_000)))
+    stream_ = growing._Stream({"path": str(tmp_path), "range_bytes": "100"})
+    batch = growing._Batch({"path": str(tmp_path), "range_bytes": "100"})
+    for reader, parts in ((batch, batch.partitions()), (stream_, stream_.partitions(stream_.initialOffset(), stream_.latestOffset()))):
+        assert 100 < len(parts) <= growing.RANGES + 2
+        got = [(line, at) for p in parts for b in reader.read(p) for line, at in zip(b["line"].to_pylist(), b["position"].to_pylist())]
+        assert [line for line, _ in got] == [f"{name} line {n}" for name in "ab" for n in range(20_000)]
+        whole = (tmp_path / "a").read_bytes()
+        assert all(whole[at:].startswith(line.encode()) for line, at in got[:20_000:997])
