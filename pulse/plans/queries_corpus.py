@@ -10,7 +10,7 @@ from pulse.plans import corpus_refresh
 from pulse.plans.catalog import query
 from pulse.plans.twin import CONTENT, DOCS, sql
 from pulse.plans.versions import Versions
-from pulse.session import scratch_path
+from pulse.session import scratch_path, stored
 from pulse.sources import dump, survey
 
 MODEL = hash_embedder(32)
@@ -60,7 +60,7 @@ def _(t):
 
 def survey_lines(t):
     """A finished survey log: begin, header, one line per placement, footer."""
-    tally = placement_tally(t.sightings())
+    tally = stored(placement_tally(t.sightings()), "tally")  # the lines and the totals read it
 
     def tagged(body):
         return F.concat(F.lit("[I] Global[survey]: OMWAS1 "), F.to_json(body))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulse.plans.versions import Versions
+from pulse.session import discard, scratch_path
 
 # Fixed values of the survey format and of the controlled load order.
 SURVEY_TAG = "OMWAS1 "
@@ -91,8 +92,30 @@ def load_order_verdict(order: Column, extras: Sequence[str] = ()) -> Column:
 
 def load(store: Versions, lines: DataFrame, surveyed_at: Column,
          extras: Sequence[str] = ()) -> int:
-    """Replace the stored survey as a whole, or refuse and leave the old one in place."""
-    parsed = parse(lines)
+    """Replace the stored survey as a whole, or refuse and leave the old one in place.
+
+    The lines are computed and parsed once: every check reads what was parsed then.
+    """
+    scratch = scratch_path(store.spark, "survey-lines")
+    try:
+        lines = parse(lines)
+        lines.write.parquet(scratch)
+        return _load_parsed(store, store.spark.read.schema(lines.schema).parquet(scratch), surveyed_at, extras)
+    finally:
+        discard(store.spark, scratch)
+
+
+def _repeats(rows: DataFrame) -> bool:
+    """Whether an (area, item) pair occurs twice. Pairs are counted by hash; only those whose hash repeats are compared."""
+    pair = F.xxhash64("area", "item_record_id")
+    twice = rows.groupBy(pair.alias("_pair")).count().filter("count > 1").select("_pair")
+    if twice.isEmpty():
+        return False
+    alike = rows.withColumn("_pair", pair).join(twice, "_pair", "left_semi")
+    return not alike.groupBy("area", "item_record_id").count().filter("count > 1").isEmpty()
+
+
+def _load_parsed(store: Versions, parsed: DataFrame, surveyed_at: Column, extras: Sequence[str]) -> int:
     head = checks(parsed).withColumn("order", load_order_verdict(F.col("load_order"), extras))
     row = head.first()  # one aggregate row
     if row["refusals"]:
@@ -100,7 +123,7 @@ def load(store: Versions, lines: DataFrame, surveyed_at: Column,
     if not row["order"]["ok"]:
         raise ValueError(f"survey refused: load order {row['order']}")
     rows = placements(parsed)
-    if not rows.groupBy("area", "item_record_id").count().filter("count > 1").isEmpty():
+    if _repeats(rows):
         raise ValueError("survey refused: an (area, item) pair occurs twice")
     version = (store.latest() or 0) + 1
     store.write_uncommitted("placements", version, rows)
@@ -109,7 +132,7 @@ def load(store: Versions, lines: DataFrame, surveyed_at: Column,
         raise ValueError(f"survey refused: {row['placements']} parsed, {written} written")
     survey_id = F.concat(F.lit("survey-"), "load_order_hash", F.lit("-"),
                          F.unix_millis(surveyed_at).cast("string"))
-    store.write_uncommitted("surveys", version, head.select(
+    store.write_uncommitted("surveys", version, store.spark.createDataFrame([row], head.schema).select(
         survey_id.alias("survey_id"), "load_order", "load_order_hash", "cells_scanned",
         surveyed_at.alias("surveyed_at")))
     store.commit(version)

@@ -509,6 +509,18 @@ def test_survey_load_replaces_or_refuses(spark, scratch):
     assert store.read("surveys").first().cells_scanned == 3
 
 
+def test_survey_load_computes_its_lines_once(spark, scratch):
+    from pulse.plans.versions import Versions
+    made = spark.sparkContext.accumulator(0)
+
+    def printed(line):
+        made.add(1)
+        return line
+    rows = lines(spark, GOOD).withColumn("line", F.udf(printed, "string").asNondeterministic()("line"))
+    survey.load(Versions(spark, scratch("survey")), rows, F.current_timestamp())
+    assert made.value == len(GOOD)
+
+
 def test_load_order_hash_is_order_sensitive(spark):
     a, b = F.array(F.lit("a"), F.lit("b")), F.array(F.lit("b"), F.lit("a"))
     assert one(spark, survey.load_order_hash(a)) != one(spark, survey.load_order_hash(b))
