@@ -69,7 +69,8 @@ SELECT {uuid_sql("session_id")} AS session_id, seq, type,
   received_us // 1000 AS received_ms, suspect, topic, reason, passed
 FROM telemetry"""))
 def _(t):
-    return ingest.first_delivery(deliveries(t)).select(
+    named = ("session_id", "seq", "type", "env", "mod_id", "ts", "received_at", "suspect", "topic", "reason", "passed")
+    return ingest.first_delivery(deliveries(t), named).select(
         "session_id", "seq", "type", "env", "mod_id", F.unix_millis("ts").alias("ts_ms"),
         F.unix_millis("received_at").alias("received_ms"), "suspect", "topic", "reason", "passed")
 

@@ -542,3 +542,30 @@ def test_recall_over_the_whole_query_set(spark, tables):
     rows = {r.probes: r for r in entry.queries()["recall_all_queries"](spark, tables.folder).collect()}
     assert {r.expected for r in rows.values()} == {10 * asked}
     assert rows[8].recall >= 0.9 and rows[10].recall == 1.0
+
+
+def test_first_delivery_carries_only_the_named_columns(spark):
+    rows = spark.createDataFrame(
+        [("s", 1, 20, "late", "x" * 9), ("s", 1, 10, "first", "y"), ("s", 1, 10, "first", "y"), ("s", 2, 5, "b", "z"), ("r", 1, 7, "c", "z")],
+        "session_id string, seq int, received_at int, type string, data string")
+    some = ingest.first_delivery(rows, ["type", "seq", "session_id"])
+    assert some.columns == ["type", "seq", "session_id"]
+    assert sorted(map(tuple, some.collect())) == [("b", 2, "s"), ("c", 1, "r"), ("first", 1, "s")]
+    assert sorted(map(tuple, ingest.first_delivery(rows).select(*some.columns).collect())) == sorted(map(tuple, some.collect()))
+    assert "data, data#" not in some._jdf.queryExecution().optimizedPlan().toString()  # hashed only
+
+
+def test_short_payloads_and_cut_bodies_are_judged_as_before(spark):
+    good = "00000000-0000-4000-8000-000000000000"
+
+    def body(data):
+        return f'{{"v":1,"type":"A","seq":5,"install_id":"{good}","session_id":"{good}","ts":1700,"data":{data}}}'
+    least = "{" + ",".join(['"":0'] * 33) + "}"
+    fits = "{" + ",".join(['"":0'] * 32) + "}"
+    names = "{" + ",".join(f'"{n}":0' for n in range(33)) + "}"
+    bodies = {"least": body(least), "fits": body(fits), "names": body(names), "cut": body("{}")[:60], "none": "5", "rest": body("{}") + " x"}
+    rows = spark.createDataFrame(list(bodies.items()), "k string, body string")
+    keys = dict(rows.select("k", F.size(F.json_object_keys(F.get_json_object("body", "$.data")))).collect())
+    said = {r.k: r.violations for r in ingest.validate(rows).collect()}
+    assert said == {"least": ["data_keys"] if keys["least"] > 32 else [], "fits": [], "names": ["data_keys"],
+                    "cut": ["payload"], "none": ["payload"], "rest": []}
