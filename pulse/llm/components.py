@@ -49,6 +49,27 @@ class Forest:
             parent = up
 
 
+class Classes:
+    """Classes of 0..n-1 with the label of every member at hand; of two that are joined the smaller is labelled anew."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+        self.members: dict[int, list[int]] = {}
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = int(self.label[a]), int(self.label[b])
+        if a == b:
+            return False
+        left, right = self.members.get(a, [a]), self.members.pop(b, [b])
+        if len(left) < len(right):
+            self.members.pop(a, None)
+            a, b, left, right = b, a, right, left
+        self.label[right] = a
+        left.extend(right)
+        self.members[a] = left
+        return True
+
+
 def forest_edges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, root) of every node that is not the smallest of its local component."""
     names, at = np.unique(np.concatenate([a, b]), return_inverse=True)

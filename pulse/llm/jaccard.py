@@ -10,7 +10,9 @@
    of members by which two linked sets of the band can differ; so two linked sets agree in a whole part.
    The parts' hashes are dealt out by range, and sets that share one are tied to the smallest of them
    (one row a set, never pairs). The ties' components are the candidate groups: every link lies inside
-   one. No two sets are compared or paired to find them.
+   one. No two sets are compared or paired to find them. Chance agreements chain small sets of a large
+   input to one huge group, so a group over ``BLOCK`` shingles is dealt out again: there, sets that share
+   a part are tied only if short sketches of them differ by no more than a link allows (``refined``).
 4. T-occurrence search inside a group: inverted lists of the group's shingles; for each query set the L
    longest lists are put aside, the short ones are merged (by one sort), and what occurs often enough
    there is probed in the long ones by binary search (DivideSkip), giving up as soon as the threshold is
@@ -36,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulse.llm import texts
-from pulse.llm.components import Forest, components, forest_edges
+from pulse.llm.components import Classes, components, forest_edges
 from pulse.session import stored
 
 WORDS, SHARE = 4, 85  # words of a shingle; Jaccard similarity in per cent
@@ -44,6 +46,8 @@ BLOCK = 1_000_000  # shingles that one search task holds of a group
 RANGES_PER_PARTITION = 2
 COUNTED = (1 << 64) // 3  # shingle hashes below this are counted by the filter
 BAND = 1.2  # ratio of the sizes a band spans
+WIDTH = 128  # counts of a sketch
+PAIRED, ROUNDS = 512, 1024  # sets of one part hash that sketches compare in pairs; first sets that more are held against
 
 _ONE, _TWO = np.uint64(0x9E6C63D0676A9A99), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -57,7 +61,8 @@ def sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> list[np.n
     for low, high in zip(word_offsets[:-1].tolist(), word_offsets[1:].tolist()):
         n = high - low
         if n >= words:
-            out.append(np.unique(shingles[low:high - words + 1]))
+            own = np.sort(shingles[low:high - words + 1])
+            out.append(own[np.append(True, own[1:] != own[:-1])])
         elif n:
             out.append(texts.window_hashes(hashes[low:high], n) + np.uint64(n))
         else:
@@ -71,6 +76,15 @@ def signature(own: np.ndarray) -> int:
     return int(value.view(np.int64)[0])
 
 
+def _summary(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """`signature` and number of counted shingles of sets that have a member, all at once."""
+    sizes = np.array([len(s) for s in found], np.int64)
+    heads = np.cumsum(sizes) - sizes
+    flat = np.concatenate(found)
+    sums = np.add.reduceat(texts.mix(flat ^ _ONE), heads) + sizes.astype(np.uint64)
+    return texts.mix(sums).view(np.int64), np.add.reduceat((flat < np.uint64(COUNTED)).astype(np.int64), heads)
+
+
 SIGNED = "doc_id long, n_shingles long, n_counted long, cls long, key long"
 
 
@@ -80,10 +94,12 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
         for batch in batches:
             for part in texts.slices(batch, "text"):
                 found = sets(*texts.text_bytes(part.column("text")), words)
+                n = np.array([len(s) for s in found], np.int64)
+                cls, counted = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+                if n.any():
+                    cls[n > 0], counted[n > 0] = _summary([s for s in found if len(s)])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in found], pa.int64()),
-                     pa.array([int(np.searchsorted(s, np.uint64(COUNTED))) for s in found], pa.int64()),
-                     pa.array([signature(s) if len(s) else None for s in found], pa.int64()), part.column("key")],
+                    [part.column("doc_id"), pa.array(n), pa.array(counted), pa.array(cls, mask=n == 0), part.column("key")],
                     names=["doc_id", "n_shingles", "n_counted", "cls", "key"])
     return _keyed(docs).mapInArrow(run, SIGNED)
 
@@ -163,12 +179,12 @@ def shared_counts(docs: DataFrame, words: int = WORDS) -> DataFrame:
         step = np.uint64(COUNTED // ranges + 1)
         for batch in batches:
             for part in texts.slices(batch, "text", 16 << 20):
-                seen = {}
-                for s in sets(*texts.text_bytes(part.column("text")), words):
-                    if len(s):
-                        seen.setdefault(signature(s), s[:np.searchsorted(s, np.uint64(COUNTED))])
-                if not seen:
+                found = [s for s in sets(*texts.text_bytes(part.column("text")), words) if len(s)]
+                if not found:
                     continue
+                seen = {}
+                for name, counted, s in zip(*(x.tolist() for x in _summary(found)), found):
+                    seen.setdefault(name, s[:counted])
                 cls = np.fromiter(seen, np.int64, len(seen))
                 name = signature(cls.view(np.uint64))
                 hashes = np.concatenate(list(seen.values()))
@@ -327,7 +343,119 @@ def ties(found: DataFrame, share: int = SHARE) -> DataFrame:
     return dealt.repartition("part").sortWithinPartitions("part").mapInArrow(tie, "a long, b long")
 
 
+def sketches(members: list[np.ndarray]) -> np.ndarray:
+    """How many members of a set fall in each of ``WIDTH`` ranges of a hash, 255 at most. The sketches of two
+    sets differ by no more than the sets do, so what differs by more than a link allows is not linked."""
+    owner = np.repeat(np.arange(len(members)), [len(m) for m in members])
+    at = (texts.mix(np.concatenate(members) ^ _TWO) % np.uint64(WIDTH)).astype(np.int64)
+    counts = np.bincount(owner * WIDTH + at, minlength=len(members) * WIDTH)
+    return np.minimum(counts, 255).astype(np.uint8).reshape(-1, WIDTH)
+
+
+def _apart(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Differences of sketches, row by row."""
+    return np.abs(left.astype(np.int16) - right).sum(axis=-1, dtype=np.int64)
+
+
+def near_ties(hashes: np.ndarray, owner: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, share: int = SHARE) -> np.ndarray:
+    """Label of every set: sets that share a hash and may be linked by their sketches have the same.
+
+    Sets of a hash are compared in pairs while they are few. Of many, all that are as near to the first as
+    twice what a link allows are tied to it, and those within what a link allows are done: what is linked
+    with them is tied by now. After ``ROUNDS`` of this the rest is tied as it is.
+    """
+    found = Classes(len(sizes))
+    order = np.argsort(hashes, kind="stable")
+    hashes, owner = hashes[order], owner[order]
+    begins = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+    lengths = np.diff(begins, append=len(hashes))
+
+    def allowed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (sizes[a] + sizes[b]) * (100 - share) // (100 + share)
+    twos = begins[lengths == 2]
+    pairs = np.unique(np.stack([owner[twos], owner[twos + 1]]), axis=1) if len(twos) else np.zeros((2, 0), np.int64)
+    for at in range(0, pairs.shape[1], 1 << 15):
+        a, b = pairs[:, at:at + (1 << 15)]
+        near = _apart(sketch[a], sketch[b]) <= allowed(a, b)
+        for x, y in zip(a[near].tolist(), b[near].tolist()):
+            found.join(x, y)
+    for begin, end in zip(begins[lengths > 2].tolist(), (begins + lengths)[lengths > 2].tolist()):
+        pool = owner[begin:end]
+        if (found.label[pool] == found.label[pool[0]]).all():
+            continue
+        pool, rounds = np.unique(pool), 0
+        while len(pool) > 1:
+            c, rest = pool[0], pool[1:]
+            rounds += 1
+            if rounds > ROUNDS:
+                tied = rest = pool
+            elif len(rest) < PAIRED:
+                tied = rest[found.label[rest] != found.label[c]]
+                tied = tied[_apart(sketch[tied], sketch[c]) <= allowed(tied, c)]
+            else:
+                far, most = _apart(sketch[rest], sketch[c]), 2 * int(sizes[pool].max()) * (100 - share) // (100 + share)
+                tied, rest = rest[far <= 2 * most], rest[far > most]
+            for x in tied.tolist():
+                found.join(int(c), x)
+            pool = rest if rounds <= ROUNDS else rest[:0]
+            if len(pool) and (found.label[pool] == found.label[pool[0]]).all():
+                break
+    return found.label
+
+
+def refined(found: DataFrame, groups: DataFrame, share: int = SHARE, block: int = BLOCK) -> DataFrame:
+    """``groups`` (node, root) with those of more than ``block`` shingles dealt out anew by ``near_ties``.
+
+    Sets that share a part by chance chain ever more small sets to one group as the input grows, which has
+    no more links for that; sketches break such chains. No link is lost.
+    """
+    labels = groups.union(groups.select("root", "root").distinct())
+    grouped = stored(found.select("cls", "n").join(labels, F.col("cls") == F.col("node")).select("cls", "root", "n"), "jaccard-grouped")
+    large = grouped.groupBy(F.col("root").alias("__root")).agg(F.sum("n").alias("n")).filter(F.col("n") > block)
+    total = large.agg(F.sum("n")).first()[0]
+    if total is None:
+        return groups
+    large = stored(large.select("__root"), "jaccard-large")
+    inside = grouped.join(large, F.col("root") == F.col("__root")).select(F.col("cls").alias("__cls"))
+    rows = found.select("cls", "members").join(inside, F.col("cls") == F.col("__cls")).select("cls", "members")
+    ranges = 1 << max(1, (total >> 18).bit_length())
+    shift = np.uint64(64 - (ranges - 1).bit_length())
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                sets_ = [np.frombuffer(m, np.uint64) for m in part.column("members").to_pylist()]
+                own = [part_hashes(m, share) for m in sets_]
+                cls, sizes, sketch = part.column("cls").to_numpy(), np.array([len(m) for m in sets_], np.int32), sketches(sets_)
+                hashes, owner = np.concatenate(own), np.repeat(np.arange(len(own)), [len(f) for f in own])
+                target = hashes >> shift
+                order = np.argsort(target, kind="stable")
+                hashes, owner, target = hashes[order], owner[order], target[order]
+                rows = []
+                for i, j in zip(*_cut(target)):
+                    held, place = np.unique(owner[i:j], return_inverse=True)  # a set once in a range
+                    rows.append((int(target[i]), hashes[i:j].tobytes(), place.astype(np.uint16).tobytes(), cls[held].tobytes(),
+                                 sizes[held].tobytes(), sketch[held].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 5))],
+                                                 names=["part", "hashes", "owners", "cls", "sizes", "sketches"])
+
+    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_part(batches):
+            cls = [np.frombuffer(r[3], np.int64) for r in rows]
+            first = np.cumsum([0, *map(len, cls)])
+            owner = np.concatenate([np.frombuffer(r[2], np.uint16) + base for r, base in zip(rows, first.tolist())])
+            hashes, sizes, sketch = (np.frombuffer(b"".join(r[i] for r in rows), t) for i, t in ((1, np.uint64), (4, np.int32), (5, np.uint8)))
+            names, at = np.concatenate(cls), near_ties(hashes, owner, sizes.astype(np.int64), sketch.reshape(-1, WIDTH), share)
+            other = at != np.arange(len(at))
+            yield pa.RecordBatch.from_arrays([pa.array(names[other]), pa.array(names[at[other]])], names=["a", "b"])
+    dealt = rows.mapInArrow(deal, "part int, hashes binary, owners binary, cls binary, sizes binary, sketches binary")
+    ties_ = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(tie, "a long, b long")
+    return groups.join(large, F.col("root") == F.col("__root"), "left_anti").union(components(ties_, "jaccard-refined"))
+
+
 MU = 0.0085  # weight of a merge step against a probe, as the method's authors found
+PROBE = 8  # merge steps that a probe costs in arrays
 
 
 def search(members: list[np.ndarray], share: int = SHARE) -> list[tuple[int, int]]:
@@ -335,14 +463,17 @@ def search(members: list[np.ndarray], share: int = SHARE) -> list[tuple[int, int
     order = sorted(range(len(members)), key=lambda i: len(members[i]))
     sizes = np.array([len(members[i]) for i in order])
     tokens = np.concatenate([members[i] for i in order])
-    owner = np.repeat(np.arange(len(order)), sizes)
+    owner = np.repeat(np.arange(len(order), dtype=np.int32), sizes)
     by_token = np.argsort(tokens, kind="stable")  # lists ascend by owner
-    _, begins, inverse = np.unique(tokens, return_index=True, return_inverse=True)
+    in_order = tokens[by_token]
+    heads = np.flatnonzero(np.append(True, in_order[1:] != in_order[:-1]))
+    counts = np.diff(heads, append=len(tokens))
+    inverse = np.empty(len(tokens), np.int64)
+    inverse[by_token] = np.repeat(np.arange(len(heads)), counts)
     postings = owner[by_token]
-    counts = np.bincount(inverse)
-    heads = np.cumsum(counts) - counts
     of_query = np.cumsum(sizes) - sizes
-    forest, links = Forest(len(order)), []
+    sets_ = [members[i] for i in order]
+    classes_, links = Classes(len(order)), []
     for q in range(1, len(order)):
         n = int(sizes[q])
         lists = inverse[of_query[q]:of_query[q] + n]
@@ -356,13 +487,25 @@ def search(members: list[np.ndarray], share: int = SHARE) -> list[tuple[int, int
         short, long_ = lists[rank[:n - n_long]], lists[rank[n - n_long:]]
         merged = postings[texts.ranges(heads[short], counts[short])]
         merged = merged[merged < q]  # partners of the same size or smaller
-        found, occurs = np.unique(merged, return_counts=True)
+        occurs = np.bincount(merged)
+        found = np.flatnonzero(occurs)
+        occurs = occurs[found]
         needed = -(-share * (n + sizes[found]) // (100 + share))
         alive = occurs + n_long >= needed
         found, occurs, needed = found[alive], occurs[alive], needed[alive]
-        own = forest.root(q)
-        apart = np.array([forest.root(c) != own for c in found.tolist()], bool)
-        found, occurs, needed = found[apart], occurs[apart], needed[apart]
+        while len(found):  # a link with the likeliest one settles its whole class
+            c = int(found[np.argmax(occurs - needed)])
+            both = np.searchsorted(sets_[c], sets_[q])
+            both = int((sets_[c][np.minimum(both, len(sets_[c]) - 1)] == sets_[q]).sum())
+            if 100 * both < share * (n + len(sets_[c]) - both):
+                break
+            classes_.join(q, c)
+            links.append((order[q], order[c]))
+            apart = classes_.label[found] != classes_.label[q]
+            found, occurs, needed = found[apart], occurs[apart], needed[apart]
+        if len(found) * n_long * PROBE > int(counts[long_].sum()):  # so many probes cost more than to merge the rest
+            occurs = occurs + np.bincount(postings[texts.ranges(heads[long_], counts[long_])], minlength=q)[found]
+            long_ = long_[:0]
         for k, token in enumerate(long_.tolist()):
             if not len(found):
                 break
@@ -372,7 +515,7 @@ def search(members: list[np.ndarray], share: int = SHARE) -> list[tuple[int, int
             alive = occurs + (n_long - k - 1) >= needed
             found, occurs, needed = found[alive], occurs[alive], needed[alive]
         for c in found[occurs >= needed].tolist():
-            if forest.join(q, c):
+            if classes_.join(q, c):
                 links.append((order[q], order[c]))
     return links
 
@@ -451,7 +594,7 @@ def _rooted(docs: DataFrame, words: int, share: int, block: int) -> tuple[DataFr
     docs = docs.select("doc_id", "text")
     signed = stored(signatures(docs, words), "jaccard-signatures")
     found = stored(candidates(docs, signed, words, share), "jaccard-candidates")
-    groups = components(ties(found, share), "jaccard-ties")
+    groups = refined(found, components(ties(found, share), "jaccard-ties"), share, block)
     linked = components(links(found, groups, share, block), "jaccard-links")
     sets_ = signed.filter("cls is not null").select("cls").distinct()
     return signed, sets_.join(linked, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("root", "cls").alias("root"))
