@@ -46,7 +46,7 @@ BLOCK = 1_000_000  # shingles that one search task holds of a group
 RANGES_PER_PARTITION = 2
 COUNTED = (1 << 64) // 3  # shingle hashes below this are counted by the filter
 BAND = 1.2  # ratio of the sizes a band spans
-WIDTH = 128  # counts of a sketch
+WIDTHS, WIDE_BAND = (128, 1024), 40  # counts of a sketch, in the bands before 1,500 members and from there on
 PAIRED, ROUNDS = 512, 1024  # sets of one part hash that sketches compare in pairs; first sets that more are held against
 
 _ONE, _TWO = np.uint64(0x9E6C63D0676A9A99), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -129,10 +129,12 @@ def parts(band: int, share: int = SHARE) -> tuple[int, int]:
     return (1, 0) if differ == 0 else (differ + 4 + differ // 7, differ)
 
 
-def part_hashes(own: np.ndarray, share: int = SHARE) -> np.ndarray:
-    """Hashes of the parts of a set, over its bands."""
-    out = []
+def part_hashes(own: np.ndarray, share: int = SHARE, wide: bool | None = None) -> np.ndarray:
+    """Hashes of the parts of a set, over its bands, or over those from ``WIDE_BAND`` on or before it."""
+    out = [np.zeros(0, np.uint64)]
     for band in bands(len(own), share):
+        if wide is not None and wide != (band >= WIDE_BAND):
+            continue
         k, differ = parts(band, share)
         salt = np.uint64(band * 2 + 1)
         spread = texts.mix(own * _TWO + salt)
@@ -343,13 +345,13 @@ def ties(found: DataFrame, share: int = SHARE) -> DataFrame:
     return dealt.repartition("part").sortWithinPartitions("part").mapInArrow(tie, "a long, b long")
 
 
-def sketches(members: list[np.ndarray]) -> np.ndarray:
-    """How many members of a set fall in each of ``WIDTH`` ranges of a hash, 255 at most. The sketches of two
+def sketches(members: list[np.ndarray], width: int = WIDTHS[0]) -> np.ndarray:
+    """How many members of a set fall in each of ``width`` ranges of a hash, 255 at most. The sketches of two
     sets differ by no more than the sets do, so what differs by more than a link allows is not linked."""
     owner = np.repeat(np.arange(len(members)), [len(m) for m in members])
-    at = (texts.mix(np.concatenate(members) ^ _TWO) % np.uint64(WIDTH)).astype(np.int64)
-    counts = np.bincount(owner * WIDTH + at, minlength=len(members) * WIDTH)
-    return np.minimum(counts, 255).astype(np.uint8).reshape(-1, WIDTH)
+    at = (texts.mix(np.concatenate(members) ^ _TWO) % np.uint64(width)).astype(np.int64)
+    counts = np.bincount(owner * width + at, minlength=len(members) * width)
+    return np.minimum(counts, 255).astype(np.uint8).reshape(-1, width)
 
 
 def _apart(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -374,8 +376,9 @@ def near_ties(hashes: np.ndarray, owner: np.ndarray, sizes: np.ndarray, sketch:
         return (sizes[a] + sizes[b]) * (100 - share) // (100 + share)
     twos = begins[lengths == 2]
     pairs = np.unique(np.stack([owner[twos], owner[twos + 1]]), axis=1) if len(twos) else np.zeros((2, 0), np.int64)
-    for at in range(0, pairs.shape[1], 1 << 15):
-        a, b = pairs[:, at:at + (1 << 15)]
+    step = (1 << 22) // sketch.shape[1]
+    for at in range(0, pairs.shape[1], step):
+        a, b = pairs[:, at:at + step]
         near = _apart(sketch[a], sketch[b]) <= allowed(a, b)
         for x, y in zip(a[near].tolist(), b[near].tolist()):
             found.join(x, y)
@@ -426,19 +429,27 @@ def refined(found: DataFrame, groups: DataFrame, share: int = SHARE, block: int
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 sets_ = [np.frombuffer(m, np.uint64) for m in part.column("members").to_pylist()]
-                own = [part_hashes(m, share) for m in sets_]
-                cls, sizes, sketch = part.column("cls").to_numpy(), np.array([len(m) for m in sets_], np.int32), sketches(sets_)
-                hashes, owner = np.concatenate(own), np.repeat(np.arange(len(own)), [len(f) for f in own])
-                target = hashes >> shift
-                order = np.argsort(target, kind="stable")
-                hashes, owner, target = hashes[order], owner[order], target[order]
-                rows = []
-                for i, j in zip(*_cut(target)):
-                    held, place = np.unique(owner[i:j], return_inverse=True)  # a set once in a range
-                    rows.append((int(target[i]), hashes[i:j].tobytes(), place.astype(np.uint16).tobytes(), cls[held].tobytes(),
-                                 sizes[held].tobytes(), sketch[held].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 5))],
-                                                 names=["part", "hashes", "owners", "cls", "sizes", "sketches"])
+                cls, sizes = part.column("cls").to_numpy(), np.array([len(m) for m in sets_], np.int32)
+                for wide in (False, True):
+                    own = [part_hashes(m, share, wide) for m in sets_]
+                    here = np.flatnonzero([len(f) for f in own])  # most sets are small, or large
+                    if len(here):
+                        sketch = np.zeros((len(sets_), WIDTHS[wide]), np.uint8)
+                        sketch[here] = sketches([sets_[i] for i in here], WIDTHS[wide])
+                        yield dealt_out(own, cls, sizes, sketch, wide)
+
+    def dealt_out(own: list[np.ndarray], cls: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, wide: bool) -> pa.RecordBatch:
+        hashes, owner = np.concatenate(own), np.repeat(np.arange(len(own)), [len(f) for f in own])
+        target = hashes >> shift
+        order = np.argsort(target, kind="stable")
+        hashes, owner, target = hashes[order], owner[order], target[order]
+        rows = []
+        for i, j in zip(*_cut(target)):
+            held, place = np.unique(owner[i:j], return_inverse=True)  # a set once in a range
+            rows.append((2 * int(target[i]) + wide, hashes[i:j].tobytes(), place.astype(np.uint16).tobytes(), cls[held].tobytes(),
+                         sizes[held].tobytes(), sketch[held].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 5))],
+                                          names=["part", "hashes", "owners", "cls", "sizes", "sketches"])
 
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_part(batches):
@@ -446,7 +457,7 @@ def refined(found: DataFrame, groups: DataFrame, share: int = SHARE, block: int
             first = np.cumsum([0, *map(len, cls)])
             owner = np.concatenate([np.frombuffer(r[2], np.uint16) + base for r, base in zip(rows, first.tolist())])
             hashes, sizes, sketch = (np.frombuffer(b"".join(r[i] for r in rows), t) for i, t in ((1, np.uint64), (4, np.int32), (5, np.uint8)))
-            names, at = np.concatenate(cls), near_ties(hashes, owner, sizes.astype(np.int64), sketch.reshape(-1, WIDTH), share)
+            names, at = np.concatenate(cls), near_ties(hashes, owner, sizes.astype(np.int64), sketch.reshape(len(sizes), -1), share)
             other = at != np.arange(len(at))
             yield pa.RecordBatch.from_arrays([pa.array(names[other]), pa.array(names[at[other]])], names=["a", "b"])
     dealt = rows.mapInArrow(deal, "part int, hashes binary, owners binary, cls binary, sizes binary, sketches binary")

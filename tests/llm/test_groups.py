@@ -51,6 +51,24 @@ def test_chains_are_broken_and_links_are_not(spark):
     assert all(after[names[i]] == after[names[j]] for i, j in links)
 
 
+def test_chains_of_long_texts_are_broken(spark):
+    draw = random.Random(7)
+    # 2,000 words of ten passages each, one of them shared with every other text of its kind
+    pool = [passage(draw, 200) for _ in range(100)]
+    texts = [sum(draw.sample(pool, 10), []) for _ in range(30)]
+    texts += [t[:900] + ["x"] + t[901:] for t in texts[:4]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = jaccard.candidates(docs, jaccard.signatures(docs))
+    groups = components(jaccard.ties(found))
+    after = {r.node: r.root for r in jaccard.refined(found, groups, block=10_000).collect()}
+    assert groups.count() > 20  # nearly all in one group
+    assert len(after) == 4  # only the four copies are tied
+    rows = found.collect()
+    names, sets = [r.cls for r in rows], [np.frombuffer(r.members, np.uint64) for r in rows]
+    links = [(names[i], names[j]) for i, j in linked(sets)]
+    assert len(links) == 4 and all(after.get(a, a) == after.get(b, b) for a, b in links)
+
+
 @pytest.mark.parametrize("paired, rounds", [(512, 1024), (4, 1024), (4, 3)])
 def test_sketches_lose_no_link(monkeypatch, paired, rounds):
     monkeypatch.setattr(jaccard, "PAIRED", paired)
